@@ -1,0 +1,3 @@
+"""Nothing lives here: every load in the covered workload is a finite batch, so there is no
+stateful or windowed streaming operator to offer. The operators are plain DataFrame functions and
+can be called from ``foreachBatch`` when a deployment wants micro-batches."""
