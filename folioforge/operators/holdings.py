@@ -40,9 +40,7 @@ def widest_period(statements: DataFrame) -> DataFrame:
 
 def snapshot_dates(positions: DataFrame, statements: DataFrame) -> DataFrame:
     """Distinct statement dates per account that have positions."""
-    return with_account(positions.select("statement_id", "statement_date"), statements).select(
-        "account_id", "statement_date"
-    ).distinct()
+    return with_account(positions, statements).select("account_id", "statement_date").distinct()
 
 
 def dedup_positions(positions: DataFrame, statements: DataFrame) -> DataFrame:
@@ -61,11 +59,11 @@ def positions_as_of(positions: DataFrame, statements: DataFrame, day: date) -> D
 def latest_positions(positions: DataFrame, statements: DataFrame) -> DataFrame:
     """Deduplicated positions at each account's last snapshot date."""
     last = (
-        with_account(positions.select("statement_id", "statement_date"), statements)
+        with_account(positions, statements)
         .groupBy("account_id").agg(F.max("statement_date").alias("statement_date"))
     )
     tagged = with_account(positions, statements).join(last, ["account_id", "statement_date"], "left_semi")
-    return dedup_positions(tagged.drop("account_id"), statements)
+    return dedup_positions(tagged, statements)
 
 
 def position_fingerprints(positions: DataFrame, statements: DataFrame, exclude: str | None = None) -> DataFrame:
@@ -76,11 +74,9 @@ def position_fingerprints(positions: DataFrame, statements: DataFrame, exclude:
 
 def portfolio_symbols(positions: DataFrame, statements: DataFrame) -> DataFrame:
     """Distinct stock and ETF symbols of the newest statement of each account."""
-    newest = latest_statement(statements).select(F.col("id").alias("statement_id"), "account_id")
-    return (
-        positions.where(F.col("asset_class").isin("STK", "ETF"))
-        .join(newest, "statement_id").select("account_id", "symbol").distinct()
-    )
+    newest = latest_statement(statements).select(F.col("id").alias("statement_id"))
+    held = positions.where(F.col("asset_class").isin("STK", "ETF")).join(newest, "statement_id", "left_semi")
+    return with_account(held, statements).select("account_id", "symbol").distinct()
 
 
 def valued(positions: DataFrame) -> DataFrame:

@@ -35,32 +35,22 @@ def latest_pairs(pairs: DataFrame) -> DataFrame:
     return first_per_key(pairs, ["account_id"], [F.col("target_date").desc()])
 
 
-def _pair_days(trade_days: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(account, day, intraday) -> pairs that include it.
+def _in_pair(days: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows with a day joined to every pair that includes it.
 
     A day belongs to the pair with base < day <= target. Trades after midnight of a base date also
-    count in the pair that starts there, because the lower bound is that midnight. The first rule is
-    an as-of match on the next target, done with one window over days and targets; the second is an
-    equi-join.
+    count in the pair that starts there, because the lower bound is that midnight. Pairs are listed
+    per month they touch, so this is an equi-join on (account, month) with few candidates per row.
     """
-    following = Window.partitionBy("account_id").orderBy("day", "is_day").rowsBetween(0, Window.unboundedFollowing)
-    # Targets sort after trade days of the same date so that "day <= target" holds for them.
-    marks = trade_days.select(
-        "account_id", "day", "intraday", F.lit(None).cast("struct<base:date,target:date>").alias("pair"), F.lit(0).alias("is_day"),
-    ).unionByName(pairs.select(
-        "account_id", F.col("target_date").alias("day"), F.lit(False).alias("intraday"),
-        F.struct(F.col("base_date").alias("base"), F.col("target_date").alias("target")).alias("pair"),
-        F.lit(1).alias("is_day"),
-    ))
-    home = (
-        marks.withColumn("next", F.first("pair", ignorenulls=True).over(following))
-        .where((F.col("is_day") == 0) & (F.col("next.base") < F.col("day")))
-        .select("account_id", "day", "intraday", F.col("next.base").alias("base_date"), F.col("next.target").alias("target_date"))
+    monthly = pairs.withColumn(
+        "month", F.explode(F.sequence(F.trunc("base_date", "month"), F.trunc("target_date", "month"), F.expr("interval 1 month")))
+    )
+    day = F.col("day")
+    return (
+        days.withColumn("month", F.trunc("day", "month")).join(monthly, ["account_id", "month"])
+        .where(((day > F.col("base_date")) | (F.col("intraday") & (day == F.col("base_date")))) & (day <= F.col("target_date")))
+        .drop("month")
     )
-    same_day = trade_days.where("intraday").join(
-        pairs.withColumn("day", F.col("base_date")), ["account_id", "day"]
-    ).select("account_id", "day", "intraday", "base_date", "target_date")
-    return home.unionByName(same_day)
 
 
 def _dated(trades: DataFrame) -> DataFrame:
@@ -78,8 +68,7 @@ def paired_trades(trades: DataFrame, positions: DataFrame, statements: DataFrame
     """Deduplicated trades of every pair (a trade on a base date may appear in two pairs)."""
     pairs = snapshot_pairs(positions, statements) if pairs is None else pairs
     dated = _dated(dedup_trades(with_account(trades, statements)))
-    days = dated.select("account_id", "day", "intraday").distinct()
-    return dated.join(_pair_days(days, pairs), ["account_id", "day", "intraday"])
+    return _in_pair(dated, pairs)
 
 
 def reconcile(trades: DataFrame, positions: DataFrame, statements: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -97,15 +86,16 @@ def reconcile(trades: DataFrame, positions: DataFrame, statements: DataFrame, pa
     netted = dated.groupBy("account_id", *POSITION_KEY, "asset_class", "day", "intraday").agg(
         F.sum("signed").alias("net"), F.count("*").alias("n")
     )
-    days = netted.select("account_id", "day", "intraday").distinct()
-    moves = netted.join(_pair_days(days, pairs), ["account_id", "day", "intraday"]).select(
+    moves = _in_pair(netted, pairs).select(
         *PAIR, *POSITION_KEY, "asset_class", F.lit("move").alias("part"), F.col("net").alias("qty"), "n",
     )
-    base = held.join(pairs.withColumn("statement_date", F.col("base_date")), ["account_id", "statement_date"]).select(
-        *PAIR, *POSITION_KEY, "asset_class", F.lit("base").alias("part"), F.col("quantity").alias("qty"), F.lit(0).cast("long").alias("n"),
-    )
-    target = held.join(pairs.withColumn("statement_date", F.col("target_date")), ["account_id", "statement_date"]).select(
-        *PAIR, *POSITION_KEY, "asset_class", F.lit("target").alias("part"), F.col("quantity").alias("qty"), F.lit(0).cast("long").alias("n"),
+    # Each snapshot row is the target of the pair that ends there and the base of the next one.
+    roles = pairs.select("account_id", "base_date", "target_date", F.explode(F.array(
+        F.struct(F.lit("base").alias("part"), F.col("base_date").alias("statement_date")),
+        F.struct(F.lit("target").alias("part"), F.col("target_date").alias("statement_date")),
+    )).alias("r")).select(*PAIR, "r.part", "r.statement_date")
+    snapshots = held.join(roles, ["account_id", "statement_date"]).select(
+        *PAIR, *POSITION_KEY, "asset_class", "part", F.col("quantity").alias("qty"), F.lit(0).cast("long").alias("n"),
     )
     # The full outer match of the three sides is one aggregation over their union: an absent side
     # contributes nothing, and null option terms group together.
@@ -113,7 +103,7 @@ def reconcile(trades: DataFrame, positions: DataFrame, statements: DataFrame, pa
     part = F.col("part")
     side_sum = lambda p: F.coalesce(F.sum(F.when(part == p, F.col("qty"))), zero)
     merged = (
-        moves.unionByName(base).unionByName(target)
+        moves.unionByName(snapshots)
         .groupBy(*PAIR, *POSITION_KEY)
         .agg(
             F.min("asset_class").alias("asset_class"),

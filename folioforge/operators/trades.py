@@ -14,7 +14,13 @@ from folioforge.schemas import TRADE_FINGERPRINT
 
 
 def with_account(children: DataFrame, statements: DataFrame, *extra: str) -> DataFrame:
-    """Attach account_id (and other statement columns) to positions or trades."""
+    """Attach account_id (and other statement columns) to positions or trades.
+
+    Children written by this package already carry these columns; then no join is planned.
+    """
+    if all(c in children.columns for c in ("account_id", *extra)):
+        return children
+    children = children.drop("account_id", *extra)
     header = statements.select(F.col("id").alias("statement_id"), "account_id", *extra)
     return children.join(header, "statement_id")
 

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from folioforge.plans import holding_queries, trade_queries  # noqa: F401
+from folioforge.plans import holding_queries, technical_queries, trade_queries  # noqa: F401
 from folioforge.plans.registry import ORACLE, QUERIES  # noqa: F401

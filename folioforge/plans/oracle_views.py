@@ -78,23 +78,23 @@ FROM bar_sources GROUP BY symbol, price_date"""),
     "daily_prices": (["bars"], """
 SELECT symbol, price_date, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY price_date), close) AS open,
  high, low, close, close AS adj_close, volume FROM bars"""),
-    "year_close": (["bars"], f"""
-SELECT symbol AS p_brand, make_date(y, 12, 31) AS statement_date, arg_max(close, price_date) AS close
-FROM bars JOIN (SELECT unnest({YEARS}) AS y) ys ON year(price_date) <= y GROUP BY symbol, y"""),
-    "positions_base": (["trades_base", "year_close"], f"""
+    "positions_base": (["trades_base"], f"""
 SELECT *, CAST(market_value - cost_basis AS DECIMAL(18,4)) AS unrealized_pnl, 'USD' AS currency FROM (
 SELECT *, CAST(quantity * market_price * CASE WHEN asset_class = 'OPT' THEN 100 ELSE 1 END AS DECIMAL(18,4)) AS market_value
-FROM (SELECT s.*, CAST(CASE WHEN asset_class = 'OPT' THEN close * 0.05 ELSE close END AS DECIMAL(18,4)) AS market_price
-FROM (SELECT account_id, symbol, asset_class, expiry, strike, "right", p_brand, symbol_no, y,
-  make_date(y, 12, 31) AS statement_date, account_id || '-' || y AS statement_id,
+FROM (SELECT account_id, symbol, asset_class, expiry, strike, "right", symbol_no, y,
+  make_date(y, 12, 31) AS statement_date, CAST(make_date(y, 12, 31) + 5 AS DATE) AS created_at,
+  account_id || '-' || y AS statement_id,
   CAST(net + CASE WHEN (symbol_no + 31 * y + 7 * CAST(substr(account_id, 2) AS INT)) % 13 = 0 THEN 5 ELSE 0 END
-   AS DECIMAL(18,4)) AS quantity, CAST(cost AS DECIMAL(18,4)) AS cost_basis
- FROM (SELECT account_id, symbol, asset_class, expiry, strike, "right", p_brand, symbol_no, y,
+   AS DECIMAL(18,4)) AS quantity, CAST(cost AS DECIMAL(18,4)) AS cost_basis,
+  CAST(CAST({_UNITS.format(c='cents', q='volume')} AS DECIMAL(18,0)) * CASE WHEN asset_class = 'OPT' THEN 0.000005 ELSE 0.000100 END
+   AS DECIMAL(18,4)) AS market_price
+ FROM (SELECT account_id, symbol, asset_class, expiry, strike, "right", symbol_no, y,
    sum(CASE WHEN side = 'BOT' THEN quantity ELSE -quantity END) AS net,
-   sum(CASE WHEN side = 'BOT' THEN -proceeds ELSE 0 END) AS cost
+   sum(CASE WHEN side = 'BOT' THEN -proceeds ELSE 0 END) AS cost,
+   CAST(sum(abs(proceeds)) * 100 AS BIGINT) AS cents, CAST(sum(quantity) AS BIGINT) AS volume
   FROM trades_base JOIN (SELECT unnest({YEARS}) AS y) ys ON year(trade_date) <= y
   GROUP BY ALL) g WHERE net <> 0) s
- LEFT JOIN year_close USING (p_brand, statement_date) WHERE quantity <> 0) a) b"""),
+ WHERE quantity <> 0) b"""),
     "positions": (["positions_base"], """
 SELECT statement_id, symbol, asset_class, quantity, cost_basis, market_price, market_value, unrealized_pnl,
  currency, statement_date, expiry, strike, "right" FROM positions_base"""),

@@ -16,8 +16,20 @@ YEARS = list(range(1995, 2002))
 BENCHMARKS = ["MKT", "STD"]
 
 
+# Declared schemas spare a footer-reading job per table when a query is built.
+_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _year_end(year: Column) -> Column:
@@ -83,14 +95,16 @@ def trades_base(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(opt, right).alias("right"),
             "account_id", "p_brand",
             F.when(opt, F.col("p_partkey")).otherwise(F.col("brand_no")).alias("symbol_no"),
-            "l_orderkey",
+            "l_orderkey", "qty", "cents",
         )
     )
 
 
+# Children carry the account of their statement, stamped when they are written, so that per-account
+# work needs no join with the headers.
 TRADE_COLUMNS = [
     "statement_id", "trade_date", "symbol", "asset_class", "side", "quantity", "price",
-    "proceeds", "commission", "realized_pnl", "currency", "expiry", "strike", "right",
+    "proceeds", "commission", "realized_pnl", "currency", "expiry", "strike", "right", "account_id",
 ]
 
 
@@ -171,68 +185,48 @@ def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year-end snapshots: net signed quantity to date, one row in thirteen perturbed by +5.
 
-    One aggregation produces all year-end totals of a holding as conditional sums; they are then
-    unfolded to one row per year.
+    One aggregation produces all year-end totals of a holding as conditional integer sums; they are
+    then unfolded to one row per year. The market price is the average traded price to date.
     """
     base = trades_base(spark, sf_dir)
-    signed = F.when(F.col("side") == "BOT", F.col("quantity")).otherwise(-F.col("quantity"))
-    bought = F.when(F.col("side") == "BOT", -F.col("proceeds")).otherwise(F.lit(0))
-    zero = F.expr("cast(0 as decimal(18,4))")
+    bought = F.col("side") == "BOT"
     aggregates = []
     for y in YEARS:
         seen = F.year("trade_date") <= y
         aggregates += [
-            F.sum(F.when(seen, signed).otherwise(zero)).alias(f"q{y}"),
-            F.sum(F.when(seen, bought).otherwise(zero)).alias(f"c{y}"),
+            F.sum(F.when(seen, F.when(bought, F.col("qty")).otherwise(-F.col("qty"))).otherwise(0)).alias(f"n{y}"),
+            F.sum(F.when(seen & bought, F.col("cents")).otherwise(0)).alias(f"b{y}"),
+            F.sum(F.when(seen, F.col("cents")).otherwise(0)).alias(f"t{y}"),
+            F.sum(F.when(seen, F.col("qty")).otherwise(0)).alias(f"v{y}"),
         ]
-    keys = ["account_id", "symbol", "asset_class", "expiry", "strike", "right", "p_brand", "symbol_no"]
+    keys = ["account_id", "symbol", "asset_class", "expiry", "strike", "right", "symbol_no"]
     per_year = F.array(*[
-        F.struct(F.lit(y).alias("y"), F.col(f"q{y}").alias("net"), F.col(f"c{y}").alias("cost"))
+        F.struct(F.lit(y).alias("y"), F.col(f"n{y}").alias("net"), F.col(f"b{y}").alias("bought"),
+                 F.col(f"t{y}").alias("cents"), F.col(f"v{y}").alias("qty"))
         for y in YEARS
     ])
-    snapshots = (
+    perturbed = (
+        "net + case when (symbol_no + 31 * y + 7 * cast(substring(account_id, 2) as int)) % 13 = 0 then 5 else 0 end"
+    )
+    return (
         base.groupBy(*keys).agg(*aggregates)
-        .select(*keys, F.explode(per_year).alias("s"))
-        .where(F.col("s.net") != 0)
-        .select(
-            *keys, _year_end(F.col("s.y")).alias("statement_date"),
-            F.concat_ws("-", "account_id", "s.y").alias("statement_id"),
-            F.expr(
-                "cast(s.net + case when (symbol_no + 31 * s.y + 7 * cast(substring(account_id, 2) as int)) % 13 = 0"
-                " then 5 else 0 end as decimal(18,4))"
-            ).alias("quantity"),
-            F.col("s.cost").cast("decimal(18,4)").alias("cost_basis"),
-        )
+        .select(*keys, F.explode(F.filter(per_year, lambda s: s["net"] != 0)).alias("s"))
+        .select(*keys, "s.*")
+        .withColumn("quantity", F.expr(f"cast({perturbed} as decimal(18,4))"))
         .where(F.col("quantity") != 0)
-    )
-    bars = daily_prices(spark, sf_dir).select("symbol", "price_date", "close")
-    year_close = (
-        bars.groupBy("symbol")
-        .agg(*[
-            F.max_by(
-                F.when(F.year("price_date") <= y, F.col("close")),
-                F.when(F.year("price_date") <= y, F.col("price_date")),
-            ).alias(f"p{y}")
-            for y in YEARS
-        ])
         .select(
-            F.col("symbol").alias("p_brand"),
-            F.explode(F.array(*[
-                F.struct(_year_end(F.lit(y)).alias("statement_date"), F.col(f"p{y}").alias("close"))
-                for y in YEARS
-            ])).alias("x"),
+            *keys, "quantity",
+            F.concat_ws("-", "account_id", "y").alias("statement_id"),
+            _year_end(F.col("y")).alias("statement_date"),
+            F.expr("date_add(make_date(y, 12, 31), 5)").alias("created_at"),
+            F.expr("cast(cast(bought as decimal(18,0)) * 0.01 as decimal(18,4))").alias("cost_basis"),
+            F.expr(
+                f"cast(cast({_PRICE_UNITS} as decimal(18,0)) * case when asset_class = 'OPT' then 0.000005"
+                " else 0.000100 end as decimal(18,4))"
+            ).alias("market_price"),
         )
-        .select("p_brand", "x.statement_date", "x.close")
-    )
-    opt = F.col("asset_class") == "OPT"
-    price = F.when(opt, F.col("close") * F.expr("0.05")).otherwise(F.col("close")).cast("decimal(18,4)")
-    value = F.expr(
-        "cast(quantity * market_price * case when asset_class = 'OPT' then 100 else 1 end as decimal(18,4))"
-    )
-    return (
-        snapshots.join(year_close, ["p_brand", "statement_date"], "left")
-        .withColumn("market_price", price)
-        .withColumn("market_value", value)
+        .withColumn("market_value", F.expr(
+            "cast(quantity * market_price * case when asset_class = 'OPT' then 100 else 1 end as decimal(18,4))"))
         .withColumn("unrealized_pnl", F.expr("cast(market_value - cost_basis as decimal(18,4))"))
         .withColumn("currency", F.lit("USD"))
     )
@@ -241,6 +235,7 @@ def positions_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSITION_COLUMNS = [
     "statement_id", "symbol", "asset_class", "quantity", "cost_basis", "market_price",
     "market_value", "unrealized_pnl", "currency", "statement_date", "expiry", "strike", "right",
+    "account_id", "created_at",
 ]
 
 
@@ -252,19 +247,16 @@ def positions_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots plus corrected copies (quantity + 1) of some rows under the overlapping statement."""
     base = positions_base(spark, sf_dir)
     copied = (F.col("symbol_no") % 10 == 3) & F.col("statement_date").isin(date(1999, 12, 31), date(2001, 12, 31))
-    rows = F.when(
-        copied,
-        F.array(
-            F.struct(F.col("statement_id").alias("sid"), F.col("quantity").alias("q")),
-            F.struct(
-                F.concat("account_id", F.lit("-overlap")).alias("sid"),
-                F.expr("cast(quantity + 1 as decimal(18,4))").alias("q"),
-            ),
-        ),
-    ).otherwise(F.array(F.struct(F.col("statement_id").alias("sid"), F.col("quantity").alias("q"))))
-    return base.withColumn("copy", F.explode(rows)).select(
-        F.col("copy.sid").alias("statement_id"), "symbol", "asset_class",
-        F.col("copy.q").alias("quantity"), *POSITION_COLUMNS[4:],
+    row = lambda sid, q, made: F.struct(sid.alias("sid"), q.alias("q"), made.alias("made"))
+    own = row(F.col("statement_id"), F.col("quantity"), F.col("created_at"))
+    copy = row(
+        F.concat("account_id", F.lit("-overlap")), F.expr("cast(quantity + 1 as decimal(18,4))"),
+        F.lit(date(2001, 2, 1)),
+    )
+    return (
+        base.withColumn("copy", F.explode(F.when(copied, F.array(own, copy)).otherwise(F.array(own))))
+        .withColumns({"statement_id": F.col("copy.sid"), "quantity": F.col("copy.q"), "created_at": F.col("copy.made")})
+        .select(*POSITION_COLUMNS)
     )
 
 
