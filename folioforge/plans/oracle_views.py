@@ -112,7 +112,7 @@ SELECT c_nationkey AS n, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_ord
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""),
     "period_rows": (["quarter_totals"], f"""
 SELECT *, CASE WHEN {REVERSE_RULE} THEN ({SHARES_RULE}) // 10 ELSE {SHARES_RULE} END AS shares,
- ({INV_RULE}) * CASE WHEN {REVERSE_RULE} THEN 10 ELSE 1 END AS inv_shares
+ CAST(({INV_RULE}) * CASE WHEN {REVERSE_RULE} THEN 10 ELSE 1 END AS DECIMAL(12,9)) AS inv_shares
 FROM (SELECT n, y, CASE WHEN q = 4 THEN 'FY' ELSE 'Q' || q END AS fp,
   CASE WHEN n % 2 = 0 OR q = 4 THEN ytd_rev ELSE qrev END AS rev,
   CASE WHEN n % 2 = 0 OR q = 4 THEN ytd_ni ELSE qni END AS ni, cum,

@@ -333,7 +333,7 @@ def period_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reverse = F.expr(REVERSE_RULE)
     return rows.withColumns({
         "shares": F.when(reverse, F.expr(f"({SHARES_RULE}) div 10")).otherwise(F.expr(SHARES_RULE)),
-        "inv_shares": F.expr(f"({INV_RULE}) * case when {REVERSE_RULE} then 10 else 1 end"),
+        "inv_shares": F.expr(f"cast(({INV_RULE}) * case when {REVERSE_RULE} then 10 else 1 end as decimal(12,9))"),
     })
 
 
