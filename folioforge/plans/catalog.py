@@ -1,4 +1,11 @@
 """Imports every query module so that the registry is complete."""
 
-from folioforge.plans import beta_queries, fundamental_queries, holding_queries, technical_queries, trade_queries  # noqa: F401
+from folioforge.plans import (  # noqa: F401
+    beta_queries,
+    fundamental_queries,
+    holding_queries,
+    technical_queries,
+    trade_queries,
+    valuation_queries,
+)
 from folioforge.plans.registry import ORACLE, QUERIES  # noqa: F401

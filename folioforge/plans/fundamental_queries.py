@@ -16,9 +16,9 @@ _COMMON = "[2, 3, 4, 5, 7, 8, 10, 15, 20, 1/2, 1/3, 1/4, 1/5, 1/8, 1/10, 1/15, 1
 
 def half_even_sql(x: str, digits: int) -> str:
     """Half-even rounding of the shortest decimal form of a positive double, as Spark's bround does it."""
-    d = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28,12)) * {10 ** digits})"
+    d = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,20)) * {10 ** digits})"
     return (f"CAST(CASE WHEN {d} - floor({d}) = 0.5 AND floor({d}) % 2 = 0 THEN floor({d}) / {10 ** digits}"
-            f" ELSE round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28,12)), {digits}) END AS DOUBLE)")
+            f" ELSE round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,20)), {digits}) END AS DOUBLE)")
 
 
 def ttm_views(prefix: str, source: str) -> dict:
