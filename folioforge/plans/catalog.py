@@ -4,6 +4,7 @@ from folioforge.plans import (  # noqa: F401
     beta_queries,
     fundamental_queries,
     holding_queries,
+    landed_queries,
     technical_queries,
     trade_queries,
     valuation_queries,

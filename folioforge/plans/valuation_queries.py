@@ -192,7 +192,7 @@ def valuation_snapshot(spark, sf):
 
 
 # A history that starts days before the newest bars, so that some symbols have too few values.
-LATE = {**VAL, "history": (VAL["history"][0], VAL["history"][1] + " AND price_date >= DATE '2001-10-28'")}
+LATE = {**VAL, "history": (VAL["history"][0], VAL["history"][1].replace("> 0) x", "> 0 AND price_date >= DATE '2001-10-28') x"))}
 
 
 @query("missing_history", ("valued",), f"""
