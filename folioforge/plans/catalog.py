@@ -2,6 +2,7 @@
 
 from folioforge.plans import (  # noqa: F401
     beta_queries,
+    context_queries,
     fundamental_queries,
     holding_queries,
     landed_queries,

@@ -63,17 +63,17 @@ def row_diagnosis_counts(spark, sf):
 
 
 @query("problem_context_rows", ("statements",), """
-SELECT id AS file_id, CAST(1 AS BIGINT) AS problems FROM statements WHERE id NOT LIKE '%overlap'""")
+SELECT id AS file_id, CAST(15 AS BIGINT) AS rows, CAST(1 AS BIGINT) AS problems FROM statements WHERE id NOT LIKE '%overlap'""")
 def problem_context_rows(spark, sf):
     context = S.problem_context(S.diagnose(_classified(spark, sf)))
-    return show(context.groupBy("file_id").agg(F.count_if(F.col("classification").isin(S.PROBLEM_CLASSES)).alias("problems")))
+    return show(context.groupBy("file_id").agg(F.count("*").alias("rows"), F.count_if(F.col("classification").isin(S.PROBLEM_CLASSES)).alias("problems")))
 
 
 @query("statement_row_search", ("positions",), """
-SELECT statement_id AS file_id, symbol AS detail FROM positions WHERE lower(symbol) LIKE '%brand#2 %'""")
+SELECT statement_id AS file_id, symbol AS detail FROM positions WHERE lower(symbol) LIKE '%brand#2%'""")
 def statement_row_search(spark, sf):
-    found = S.search_rows(S.diagnose(_classified(spark, sf)), " BRAND#2 ".strip() + " ")
-    return found.where((F.col("classification") == "parsed") & F.lower("detail").contains("brand#2 ")).select("file_id", "detail")
+    found = S.search_rows(S.diagnose(_classified(spark, sf)), " BRAND#2 ")
+    return found.where(F.col("classification") == "parsed").select("file_id", "detail")
 
 
 def _facts(spark, sf):
