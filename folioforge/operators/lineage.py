@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The folder of a local session; it disappears with the process.
+_LOCAL_FOLDERS: list[tempfile.TemporaryDirectory] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a local session without one gets a temporary folder."""
@@ -18,9 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="folioforge-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS.append(tempfile.TemporaryDirectory(prefix="folioforge-", ignore_cleanup_errors=True))
+    return _LOCAL_FOLDERS[0].name
 
 
 def written_once(df: DataFrame) -> DataFrame:

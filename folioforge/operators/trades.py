@@ -184,9 +184,10 @@ def win_loss_stats(trades: DataFrame) -> DataFrame:
 def pnl_histogram(trades: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width, right-closed bins over closing trades; empty bins are kept."""
     values = closing(trades).select(as_double("realized_pnl").alias("v"))
-    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    placed = values.withColumns({"lo": lo, "hi": hi}).select(
+    # One scalar subquery yields both bounds; its two uses are planned once.
+    bounds = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("bounds")).scalar()
+    spread = lambda df: df.withColumn("bounds", bounds).withColumns({"lo": F.col("bounds.lo"), "hi": F.col("bounds.hi")})
+    placed = spread(values).select(
         F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2))
         .otherwise(F.greatest(F.lit(1), F.ceil((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))).cast("int")))
         .alias("bin")
@@ -194,8 +195,7 @@ def pnl_histogram(trades: DataFrame, bins: int = 20) -> DataFrame:
     counts = placed.groupBy("bin").agg(F.count("*").alias("n"))
     all_bins = trades.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return (
-        all_bins.join(counts, "bin", "left")
-        .withColumns({"lo": lo, "hi": hi})
+        spread(all_bins.join(counts, "bin", "left"))
         .select(
             F.col("bin").cast("long").alias("bin"),
             (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") - 1) / bins).alias("bin_low"),

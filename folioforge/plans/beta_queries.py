@@ -9,6 +9,7 @@ from folioforge.functions.numeric import _HART_DENOMINATOR, _HART_NUMERATOR
 from folioforge.operators import beta as B
 from folioforge.operators import holdings as H
 from folioforge.operators import prices as P
+from folioforge.operators.lineage import written_once
 from folioforge.plans import views as V
 from folioforge.plans.holding_queries import DEDUP, _latest
 from folioforge.plans.registry import query, show
@@ -71,8 +72,8 @@ UNION ALL SELECT account_id, symbol, asset_class, benchmark, option_beta, market
 }
 
 
-def _betas(spark, sf):
-    prices = P.lookback(V.daily_prices(spark, sf), V.AS_OF, 400)
+def _betas(spark, sf, prices=None):
+    prices = P.lookback(V.stored(V.daily_prices, spark, sf) if prices is None else prices, V.AS_OF, 400)
     return B.betas(prices.where(F.col("symbol").startswith("Brand")), prices.where(F.col("symbol").isin(V.BENCHMARKS)))
 
 
@@ -103,8 +104,14 @@ def beta_with_overrides(spark, sf):
     return show(B.override_missing(computed, manual).drop("rows"), beta=8)
 
 
+def _inputs(spark, sf):
+    """Latest positions, bars and betas; each is read several times below, so each is written once."""
+    prices = V.stored(V.daily_prices, spark, sf)
+    return written_once(_latest(spark, sf)), prices, written_once(_betas(spark, sf, prices)), V.AS_OF
+
+
 def _greeks(spark, sf):
-    return B.option_greeks(_latest(spark, sf), V.daily_prices(spark, sf), _betas(spark, sf), V.AS_OF, **WINDOWS)
+    return B.option_greeks(*_inputs(spark, sf), **WINDOWS)
 
 
 @query("option_greeks", ("greeks",), """
@@ -119,7 +126,7 @@ def option_greeks(spark, sf):
 SELECT account_id, symbol, benchmark, round(effective_beta, 6) AS effective_beta,
  round(CASE WHEN weight_value <> 0 THEN effective_beta * weight_value END, 1) AS dollar_beta FROM effective""", extra=BETA)
 def position_dollar_beta(spark, sf):
-    rows = B.effective_betas(_latest(spark, sf), V.daily_prices(spark, sf), _betas(spark, sf), V.AS_OF, **WINDOWS)
+    rows = B.effective_betas(*_inputs(spark, sf), **WINDOWS)
     return show(rows.select("account_id", "symbol", "benchmark", "effective_beta", "dollar_beta"), effective_beta=6, dollar_beta=1)
 
 
@@ -127,7 +134,7 @@ def position_dollar_beta(spark, sf):
 SELECT account_id, benchmark, round(sum(effective_beta * weight_value) / sum(abs(weight_value)) FILTER (WHERE effective_beta IS NOT NULL), 8) AS portfolio_beta,
  round(coalesce(sum(effective_beta * weight_value), 0), 1) AS portfolio_dollar_beta FROM effective GROUP BY 1, 2""", extra=BETA)
 def option_adjusted_beta(spark, sf):
-    rows = B.effective_betas(_latest(spark, sf), V.daily_prices(spark, sf), _betas(spark, sf), V.AS_OF, **WINDOWS)
+    rows = B.effective_betas(*_inputs(spark, sf), **WINDOWS)
     return show(B.option_adjusted_beta(rows), portfolio_beta=8, portfolio_dollar_beta=1)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import enrich as E
 from folioforge.operators import statements as ST
+from folioforge.operators.lineage import written_once
 from folioforge.plans import views as V
 from folioforge.plans.beta_queries import _FAR, _NEAR, _UPPER, BETA  # noqa: F401
 from folioforge.plans.fundamental_queries import FUND
@@ -61,7 +62,7 @@ SELECT 'positions' AS child, count(*) AS rows FROM positions_overlap WHERE state
 UNION ALL SELECT 'statements', count(*) FROM statements WHERE id NOT LIKE '%-1998'
 UNION ALL SELECT 'trades', count(*) FROM trades_overlap WHERE statement_id NOT LIKE '%-1998'""")
 def cascade_delete_counts(spark, sf):
-    statements = V.statements(spark, sf)
+    statements = V.stored(V.statements, spark, sf)
     doomed = statements.where(F.year("period_end") == 1998).select("id")
     parts = ST.cascade_delete(statements, V.positions_overlap(spark, sf), V.trades_overlap(spark, sf), doomed)
     names = ("statements", "positions", "trades")
@@ -109,7 +110,7 @@ _DIGITS = {"moneyness": 8, "sigma": 8, "delta": 8, "option_beta_mkt": 6, "option
 @query("enriched_positions", ("enriched",), "SELECT " + ", ".join(
     f"round({c}, {_DIGITS[c]}) AS {c}" if c in _DIGITS else c for c in _POSITION_OUT) + " FROM enriched", extra=CONTEXT)
 def enriched_positions(spark, sf):
-    rows = E.enriched_positions(_latest(spark, sf), V.daily_prices(spark, sf), V.AS_OF, V.BENCHMARKS)
+    rows = E.enriched_positions(_latest(spark, sf), V.stored(V.daily_prices, spark, sf), V.AS_OF, V.BENCHMARKS)
     return show(rows.select(*_POSITION_OUT), **_DIGITS)
 
 
@@ -125,7 +126,8 @@ LEFT JOIN (SELECT account_id, p_brand, least(count(*), 20) AS n, CAST(max(trade_
  ON t.account_id = e.account_id AND t.p_brand = underlying""", extra=CONTEXT, days=("newest",))
 def underlying_context(spark, sf):
     rows = E.underlying_context(
-        _latest(spark, sf), V.trades(spark, sf), V.daily_prices(spark, sf), V.stock_metrics(spark, sf), None, V.AS_OF, V.BENCHMARKS)
+        written_once(_latest(spark, sf)), V.trades(spark, sf), V.stored(V.daily_prices, spark, sf), V.stock_metrics(spark, sf), None,
+        V.AS_OF, V.BENCHMARKS)
     return show(rows.select(
         "account_id", "underlying", "market_value", "current_price", "realized_vol", "rsi_14_score", "sma_trend_score", "macd_score",
         "above_sma50", F.size("fundamentals").alias("metrics"), F.try_element_at("fundamentals", F.lit("revenue")).alias("revenue"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.operators import fundamentals as U
+from folioforge.operators.lineage import written_once
 from folioforge.plans import views as V
 from folioforge.plans.registry import query, show
 from folioforge.schemas import FLOW_METRICS
@@ -108,6 +109,10 @@ WHERE l.metric_name IN ({', '.join(f"'{m}'" for m in U.DISPLAY_METRICS)})"""),
 }
 
 
+def _display(spark, sf):
+    return U.display_values(V.stored(V.stock_metrics, spark, sf))
+
+
 def _flows(spark, sf):
     return V.stock_metrics(spark, sf).where(U.is_flow())
 
@@ -148,14 +153,14 @@ def ttm_series(spark, sf):
 
 @query("ttm_latest", ("norm_ttm_latest",), "SELECT * FROM norm_ttm_latest", extra=FUND)
 def ttm_latest(spark, sf):
-    metrics = V.stock_metrics(spark, sf)
+    metrics = V.stored(V.stock_metrics, spark, sf)
     flows = U.normalize_splits(metrics, U.detect_splits(metrics)).where(U.is_flow())
     return show(U.latest_trailing(U.trailing_series(flows, "normalized_value")))
 
 
 @query("quarterly_latest", ("norm_quarter_latest",), "SELECT * FROM norm_quarter_latest", extra=FUND)
 def quarterly_latest(spark, sf):
-    metrics = V.stock_metrics(spark, sf)
+    metrics = V.stored(V.stock_metrics, spark, sf)
     flows = U.normalize_splits(metrics, U.detect_splits(metrics)).where(U.is_flow())
     return show(U.latest_quarter(U.isolate_quarters(flows, "normalized_value")))
 
@@ -183,7 +188,7 @@ def splits(spark, sf):
 SELECT symbol, metric_name, period_end, fiscal_period, round(factor, 8) AS split_factor, val AS normalized_value, split_adjusted FROM normalized""",
        extra=FUND, days=("period_end",))
 def split_normalized(spark, sf):
-    metrics = V.stock_metrics(spark, sf)
+    metrics = V.stored(V.stock_metrics, spark, sf)
     return show(U.normalize_splits(metrics, U.detect_splits(metrics)).select(
         "symbol", "metric_name", "period_end", "fiscal_period", "split_factor", "normalized_value", "split_adjusted"), split_factor=8)
 
@@ -192,7 +197,7 @@ def split_normalized(spark, sf):
 SELECT symbol, metric_name, val AS normalized_value, split_adjusted FROM latest
 WHERE metric_name IN ('eps_basic', 'eps_diluted', 'shares_outstanding')""", extra=FUND)
 def normalized_latest(spark, sf):
-    metrics = V.stock_metrics(spark, sf)
+    metrics = V.stored(V.stock_metrics, spark, sf)
     rows = U.normalize_splits(U.latest_metrics(metrics), U.detect_splits(metrics))
     return show(rows.where(F.col("metric_name").isin("eps_basic", "eps_diluted", "shares_outstanding"))
                 .select("symbol", "metric_name", "normalized_value", "split_adjusted"))
@@ -200,13 +205,13 @@ def normalized_latest(spark, sf):
 
 @query("metric_display", ("display",), "SELECT * FROM display", extra=FUND, days=("period_end",))
 def metric_display(spark, sf):
-    return show(U.display_values(V.stock_metrics(spark, sf)))
+    return show(_display(spark, sf))
 
 
 @query("metric_overview", ("display",), "SELECT symbol, " + ", ".join(
     f"max(value) FILTER (WHERE metric_name = '{m}') AS {m}" for m in U.DISPLAY_METRICS) + " FROM display GROUP BY 1", extra=FUND)
 def metric_overview(spark, sf):
-    return show(U.wide_display(U.display_values(V.stock_metrics(spark, sf))))
+    return show(U.wide_display(_display(spark, sf)))
 
 
 @query("metric_kpis", ("display",), """
@@ -215,7 +220,7 @@ SELECT count(DISTINCT symbol) AS symbols, round(sum(value) FILTER (WHERE metric_
  round(sum(value) FILTER (WHERE metric_name = 'stockholders_equity'), 2) AS total_equity,
  round(sum(value) FILTER (WHERE metric_name = 'cash_and_equivalents'), 2) AS total_cash FROM display""", extra=FUND)
 def metric_kpis(spark, sf):
-    wide = U.wide_display(U.display_values(V.stock_metrics(spark, sf)))
+    wide = U.wide_display(_display(spark, sf))
     return show(U.kpi_totals(wide), total_revenue=2, total_net_income=2, total_equity=2, total_cash=2)
 
 
@@ -224,4 +229,4 @@ SELECT symbol, metric_name, value, round((value - m) / CASE WHEN sd = 0 THEN 1 E
  SELECT symbol, metric_name, value, avg(value) OVER p AS m, stddev_samp(value) OVER p AS sd FROM display
  WHERE metric_name IN ({', '.join(f"'{m}'" for m in U.HEATMAP_METRICS)}) WINDOW p AS (PARTITION BY metric_name)) x""", extra=FUND)
 def zscore_matrix(spark, sf):
-    return show(U.z_scores(U.display_values(V.stock_metrics(spark, sf))), z=8)
+    return show(U.z_scores(written_once(_display(spark, sf))), z=8)

@@ -85,7 +85,7 @@ def _dedup(spark, sf):
 
 
 def _latest(spark, sf):
-    return H.latest_positions(V.positions_overlap(spark, sf), V.statements(spark, sf))
+    return H.latest_positions(V.stored(V.positions_overlap, spark, sf), V.statements(spark, sf))
 
 
 @query("positions_of_statement", ("positions_overlap",), f"""
@@ -256,7 +256,7 @@ FROM (SELECT account_id, base_date, target_date, symbol, expiry, strike, "right"
 
 
 def _recon(spark, sf):
-    return R.reconcile(V.trades_overlap(spark, sf), V.positions_overlap(spark, sf), V.statements(spark, sf))
+    return R.reconcile(V.trades_overlap(spark, sf), V.stored(V.positions_overlap, spark, sf), V.statements(spark, sf))
 
 
 @query("snapshot_pairs", ("pairs",), "SELECT account_id, base_date, target_date FROM pairs", extra=RECON,
@@ -306,7 +306,7 @@ SELECT account_id, base_date, target_date, count(*) FILTER (WHERE NOT match) AS
 FROM recon WHERE NOT suppressed AND (account_id, target_date) IN (SELECT (account_id, max(target_date)) FROM pairs GROUP BY account_id)
 GROUP BY 1, 2, 3""", extra=RECON, days=("base_date", "target_date"))
 def reconcile_last_pair(spark, sf):
-    positions, statements = V.positions_overlap(spark, sf), V.statements(spark, sf)
+    positions, statements = V.stored(V.positions_overlap, spark, sf), V.statements(spark, sf)
     last = R.latest_pairs(R.snapshot_pairs(positions, statements))
     result = R.reconcile(V.trades_overlap(spark, sf), positions, statements, last)
     return show(R.pair_summary(result).select(*R.PAIR, "mismatches"))
@@ -321,7 +321,7 @@ FROM moves m LEFT JOIN positions_dedup b ON b.account_id = m.account_id AND b.st
  AND b.expiry IS NOT DISTINCT FROM m.expiry AND b.strike IS NOT DISTINCT FROM m.strike AND b."right" IS NOT DISTINCT FROM m."right" """,
        extra=RECON, days=("base_date", "target_date"))
 def trade_ledger(spark, sf):
-    rows = R.ledger(V.trades_overlap(spark, sf), V.positions_overlap(spark, sf), V.statements(spark, sf))
+    rows = R.ledger(V.stored(V.trades_overlap, spark, sf), V.stored(V.positions_overlap, spark, sf), V.statements(spark, sf))
     return show(rows.select(
         *R.PAIR, "symbol", F.date_format("trade_date", "yyyy-MM-dd HH:mm:ss").alias("trade_time"), "side", "quantity", "running_qty"))
 
@@ -403,7 +403,7 @@ FROM daily_prices WHERE price_date >= DATE '2001-01-01'"""),
 
 
 def _price_loads(spark, sf):
-    prices = V.daily_prices(spark, sf)
+    prices = V.stored(V.daily_prices, spark, sf)
     stored = prices.where(F.col("price_date") < F.lit(date(2001, 1, 1)))
     copies = F.array(*[
         F.when(F.col("price_date") >= F.lit(d), F.lit(n)) for n, d in ((1, date(2000, 1, 1)), (2, date(2001, 1, 1)))

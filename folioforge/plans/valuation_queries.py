@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import keyed as K
 from folioforge.operators import valuation as X
+from folioforge.operators.lineage import written_once
 from folioforge.operators.prices import latest_prices
 from folioforge.plans import views as V
 from folioforge.plans.fundamental_queries import _FLOW_LIST, _PREF, FUND
@@ -124,11 +125,15 @@ FROM valued v CROSS JOIN (SELECT preset, a::DOUBLE AS wv, b::DOUBLE AS wp, c::DO
 
 def _ratios(spark, sf):
     spot = latest_prices(V.daily_prices(spark, sf)).select("symbol", F.col("adj_close").cast("double").alias("price"))
-    return X.ratios(X.valuation_inputs(V.stock_metrics(spark, sf)).join(spot, "symbol"))
+    return X.ratios(X.valuation_inputs(V.stored(V.stock_metrics, spark, sf)).join(spot, "symbol"))
 
 
 def _valued(spark, sf):
-    return X.valuation(V.stock_metrics(spark, sf), V.daily_prices(spark, sf))
+    return X.valuation(V.stored(V.stock_metrics, spark, sf), V.stored(V.daily_prices, spark, sf))
+
+
+def _history(spark, sf):
+    return X.ratio_history(V.stored(V.stock_metrics, spark, sf), V.daily_prices(spark, sf))
 
 
 @query("ratios", ("ratios",), f"SELECT symbol, price, {_rounded(RATIO_DIGITS)} FROM ratios", extra=VAL)
@@ -152,14 +157,14 @@ def growth_3y(spark, sf):
 @query("ratio_history", ("history",), f"SELECT symbol, price_date, price, {_rounded({r: 5 for r in X.HISTORY_RATIOS})} FROM history",
        extra=VAL, days=("price_date",))
 def ratio_history(spark, sf):
-    return show(X.ratio_history(V.stock_metrics(spark, sf), V.daily_prices(spark, sf)), **{r: 5 for r in X.HISTORY_RATIOS})
+    return show(_history(spark, sf), **{r: 5 for r in X.HISTORY_RATIOS})
 
 
 @query("ratio_percentiles", ("summary",), """
 SELECT symbol, ratio, round(current, 6) AS current, round(mean, 4) AS mean, round(low, 6) AS low, round(high, 5) AS high, n,
  round(percentile, 9) AS percentile FROM summary""", extra=VAL)
 def ratio_percentiles(spark, sf):
-    history = X.ratio_history(V.stock_metrics(spark, sf), V.daily_prices(spark, sf))
+    history = _history(spark, sf)
     return show(X.history_summary(history).where("n > 0"), current=6, mean=4, low=6, high=5, percentile=9)
 
 
@@ -175,7 +180,7 @@ def fundamental_score(spark, sf):
 SELECT symbol, preset, round(score_composite, 1) AS score_composite, row_number() OVER (PARTITION BY preset
  ORDER BY round(score_composite, 1) DESC NULLS LAST, symbol) AS rank FROM scored""", extra=VAL)
 def score_ranking(spark, sf):
-    return show(X.score_table(_valued(spark, sf)).select("symbol", "preset", "score_composite", "rank"))
+    return show(X.score_table(written_once(_valued(spark, sf))).select("symbol", "preset", "score_composite", "rank"))
 
 
 _PCTL = {"pe_percentile": "pe_ttm_pctl", "pb_percentile": "pb_pctl", "ps_percentile": "ps_pctl", "ev_ebitda_percentile": "ev_ebitda_pctl"}
@@ -199,7 +204,8 @@ LATE = {**VAL, "history": (VAL["history"][0], VAL["history"][1].replace("> 0) x"
 SELECT symbol, {', '.join(f'coalesce(n_{r}, 0) AS n_{r}' for r in X.HISTORY_RATIOS)} FROM valued
 WHERE coalesce({', '.join(f'{r}_pctl' for r in X.HISTORY_RATIOS)}) IS NULL""", extra=LATE)
 def missing_history(spark, sf):
-    valued = X.valuation(V.stock_metrics(spark, sf), V.daily_prices(spark, sf), history_from=date(2001, 10, 28))
+    valued = X.valuation(
+        V.stored(V.stock_metrics, spark, sf), V.stored(V.daily_prices, spark, sf), history_from=date(2001, 10, 28))
     return show(X.missing_history(valued))
 
 
@@ -230,7 +236,7 @@ FROM history JOIN (SELECT unnest(range(1997, 2002)) AS y) ys ON year(price_date)
 
 def _snaps(spark, sf):
     """Year-end snapshot rows of two presets, derived from the ratio history."""
-    history = X.ratio_history(V.stock_metrics(spark, sf), V.daily_prices(spark, sf))
+    history = _history(spark, sf)
     years = range(1997, 2002)
     seen = {y: F.year("price_date") <= y for y in years}
     cells = []
@@ -271,7 +277,7 @@ def latest_snapshot(spark, sf):
 SELECT symbol, snapshot_date, preset, price_used + CASE WHEN snapshot_date >= DATE '2000-01-01' THEN 1 ELSE 0 END AS price_used FROM snaps""",
        extra=SNAPS, days=("snapshot_date",))
 def upsert_snapshots(spark, sf):
-    rows = _snaps(spark, sf).drop("pb")
+    rows = written_once(_snaps(spark, sf).drop("pb"))
     stored = rows.where(F.col("snapshot_date") < F.lit(date(2001, 1, 1)))
     loaded = rows.where(F.col("snapshot_date") >= F.lit(date(2000, 1, 1))).withColumn("price_used", F.col("price_used") + 1)
     return show(K.upsert(stored, loaded, ["symbol", "snapshot_date", "preset"], [F.col("price_used").desc()]))

@@ -11,6 +11,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.operators.lineage import written_once
+
 AS_OF = date(2001, 12, 31)
 YEARS = list(range(1995, 2002))
 BENCHMARKS = ["MKT", "STD"]
@@ -260,6 +262,11 @@ def positions_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(view, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view written once, for queries whose operators read it several times."""
+    return written_once(view(spark, sf_dir))
+
+
 # --- fundamentals ---------------------------------------------------------------------------------
 
 # metric -> (kind, expression over the period row). Flow amounts are per reported period; point
