@@ -16,10 +16,14 @@ _COMMON = "[2, 3, 4, 5, 7, 8, 10, 15, 20, 1/2, 1/3, 1/4, 1/5, 1/8, 1/10, 1/15, 1
 
 
 def half_even_sql(x: str, digits: int) -> str:
-    """Half-even rounding of the shortest decimal form of a positive double, as Spark's bround does it."""
-    d = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,20)) * {10 ** digits})"
-    return (f"CAST(CASE WHEN {d} - floor({d}) = 0.5 AND floor({d}) % 2 = 0 THEN floor({d}) / {10 ** digits}"
-            f" ELSE round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,20)), {digits}) END AS DOUBLE)")
+    """Half-even rounding of the shortest decimal form of a double, as Spark's bround does it.
+
+    Ties matter for small per-share values only; large amounts are rounded directly.
+    """
+    text = f"TRY_CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,20))"
+    d = f"({text} * {10 ** digits})"
+    return (f"CASE WHEN abs({x}) < 1000000 THEN CAST(CASE WHEN {d} - floor({d}) = 0.5 AND floor({d}) % 2 = 0 THEN floor({d}) / {10 ** digits}"
+            f" ELSE round({text}, {digits}) END AS DOUBLE) ELSE round_even({x}, {digits}) END")
 
 
 def ttm_views(prefix: str, source: str) -> dict:
@@ -40,9 +44,9 @@ FROM {source} JOIN (SELECT symbol AS sy, metric_name AS mn,
 SELECT *, row_number() OVER (PARTITION BY symbol, metric_name ORDER BY fy, quarter, CASE WHEN fp = 'FY' THEN 0 ELSE 1 END) AS pos FROM (
 SELECT a.symbol, a.metric_name, a.fy, a.fp, style, CASE WHEN a.fp = 'FY' THEN 'Q4' ELSE a.fp END AS quarter, a.pe, a.val AS ytd,
  CASE WHEN style = 'standalone_quarterly' THEN CASE WHEN a.fp <> 'FY' THEN a.val
-   ELSE coalesce(round_even(a.val - (q1.val + q2.val + q3.val), 4), a.val) END
-  WHEN a.fp = 'Q1' THEN a.val WHEN a.fp = 'Q2' THEN round_even(a.val - q1.val, 4) WHEN a.fp = 'Q3' THEN round_even(a.val - q2.val, 4)
-  ELSE coalesce(round_even(a.val - q3.val, 4), a.val) END AS isolated,
+   ELSE coalesce({half_even_sql('a.val - (q1.val + q2.val + q3.val)', 4)}, a.val) END
+  WHEN a.fp = 'Q1' THEN a.val WHEN a.fp = 'Q2' THEN {half_even_sql('a.val - q1.val', 4)} WHEN a.fp = 'Q3' THEN {half_even_sql('a.val - q2.val', 4)}
+  ELSE coalesce({half_even_sql('a.val - q3.val', 4)}, a.val) END AS isolated,
  CASE WHEN style = 'standalone_quarterly' THEN CASE WHEN a.fp <> 'FY' THEN 'standalone'
    WHEN q1.val IS NOT NULL AND q2.val IS NOT NULL AND q3.val IS NOT NULL THEN 'subtracted' ELSE 'annual_only' END
   WHEN a.fp = 'Q1' THEN 'direct' WHEN a.fp IN ('Q2', 'Q3') THEN 'subtracted' WHEN q3.val IS NOT NULL THEN 'subtracted'
@@ -55,10 +59,10 @@ WHERE isolated IS NOT NULL"""),
         f"{prefix}_ttm": ([f"{prefix}_iso"], f"""
 SELECT symbol, metric_name, pe, arg_max(isolated, pos) AS quarterly_value,
  arg_max(ttm, pos) FILTER (WHERE ttm IS NOT NULL) AS ttm, arg_max(tm, pos) FILTER (WHERE ttm IS NOT NULL) AS ttm_method
-FROM (SELECT *, CASE WHEN method = 'annual_only' THEN ytd WHEN k = 4 AND labels = 4 THEN round_even(s4, 4) END AS ttm,
+FROM (SELECT *, CASE WHEN method = 'annual_only' THEN ytd WHEN k = 4 AND labels = 4 THEN {half_even_sql('s4', 4)} END AS ttm,
   CASE WHEN method = 'annual_only' THEN 'annual' WHEN k = 4 AND labels = 4 THEN 'sum_4q' END AS tm
- FROM (SELECT *, count(*) OVER w AS k, len(list_distinct(list(quarter) OVER w)) AS labels, sum(isolated) OVER w AS s4 FROM {prefix}_iso
-  WINDOW w AS (PARTITION BY symbol, metric_name ORDER BY pos ROWS 3 PRECEDING)) y) z GROUP BY 1, 2, 3"""),
+ FROM (SELECT *, count(*) OVER w AS k, len(list_distinct(list(quarter) OVER w)) AS labels, lag(isolated, 3) OVER v + lag(isolated, 2) OVER v + lag(isolated) OVER v + isolated AS s4 FROM {prefix}_iso
+  WINDOW w AS (PARTITION BY symbol, metric_name ORDER BY pos ROWS 3 PRECEDING), v AS (PARTITION BY symbol, metric_name ORDER BY pos)) y) z GROUP BY 1, 2, 3"""),
         f"{prefix}_series": ([f"{prefix}_ttm", f"{prefix}_style", source], f"""
 SELECT m.symbol, m.metric_name, m.period_end, m.fiscal_period, t.quarterly_value,
  CASE WHEN fiscal_period = 'FY' AND t.ttm IS NULL THEN val ELSE t.ttm END AS ttm_value,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.operators.keyed import delete_keys, upsert
+from folioforge.operators.keyed import delete_keys, first_per_key
 from folioforge.operators.lineage import written_once
 from folioforge.schemas import KEYS, TABLES
 
@@ -61,14 +61,13 @@ def upsert_table(df: DataFrame, root: str, table: str, last: Sequence[Column], k
     """
     spark = df.sparkSession
     keys = list(keys or KEYS[table])
-    # Row order is decided on the incoming columns; the winner is then cut to the table schema.
-    incoming = conform(df, table).withColumn(PARTITION_COLUMN, _partition_value(table))
-    if not _exists(spark, f"{root}/{table}"):
-        merged = upsert(incoming.limit(0), incoming, keys, last)
-    else:
+    # ``last`` may use columns that the table does not have, such as a load number.
+    incoming = conform(first_per_key(df, keys, last), table).withColumn(PARTITION_COLUMN, _partition_value(table))
+    merged = incoming
+    if _exists(spark, f"{root}/{table}"):
         touched = incoming.select(PARTITION_COLUMN).distinct()
         stored = read_table(spark, root, table).join(touched, PARTITION_COLUMN, "left_semi").select(*incoming.columns)
-        merged = upsert(stored, incoming, keys, last)
+        merged = delete_keys(stored, incoming, keys).unionByName(incoming)
     (
         written_once(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(PARTITION_COLUMN).parquet(f"{root}/{table}")
