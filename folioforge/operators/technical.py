@@ -18,9 +18,9 @@ MIN_ROWS = 15
 
 
 def numbered(prices: DataFrame) -> DataFrame:
-    """Bars as doubles with position from both ends and the previous close."""
+    """Bars as doubles with position from both ends and the previous close, on one sort order."""
     by_date = Window.partitionBy("symbol").orderBy("price_date")
-    newest_first = Window.partitionBy("symbol").orderBy(F.col("price_date").desc())
+    rows = F.count("*").over(Window.partitionBy("symbol"))
     c = F.col("c")
     return (
         prices.select(
@@ -29,7 +29,7 @@ def numbered(prices: DataFrame) -> DataFrame:
         )
         .withColumn("rn", F.row_number().over(by_date))
         .withColumn("prev", F.lag("c").over(by_date))
-        .withColumn("back", F.row_number().over(newest_first))
+        .withColumn("back", rows - F.col("rn") + 1)
         .withColumn("ret", F.ln(c / F.col("prev")))
     )
 
