@@ -24,6 +24,8 @@ def betas(
 ) -> DataFrame:
     """Beta of every symbol against every benchmark series; null where the data does not suffice.
 
+    Every pair has a row, also one without a common day.
+
     Rows are matched by day first, then cut to the newest ones, then differenced, so the returns of
     both sides always span the same days. The benchmark side has one row per day and benchmark; it
     is broadcast only if its measured size allows.
@@ -47,7 +49,18 @@ def betas(
         F.var_samp(rb).alias("bench_var"), F.covar_samp(rs, rb).alias("cov"),
     )
     ok = (F.col("rows") >= min_periods) & (F.col("returns") >= min_periods - 1)
-    return stats.select(*pair, "rows", F.when(ok, safe_div(F.col("cov"), F.col("bench_var"))).alias("beta"))
+    # The handful of benchmark names comes from a scalar subquery, so no cross join is planned.
+    names = benchmarks.agg(F.collect_set("symbol").alias("names")).scalar()
+    pairs = prices.select("symbol").distinct().withColumn("benchmark", F.explode(names))
+    return pairs.join(stats, pair, "left").select(
+        *pair, F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.when(ok, safe_div(F.col("cov"), F.col("bench_var"))).alias("beta"),
+    )
+
+
+def per_benchmark(rows: DataFrame, benchmarks: list[str]) -> DataFrame:
+    """Each row once per benchmark."""
+    return rows.withColumn("benchmark", F.explode(F.array(*[F.lit(b) for b in benchmarks])))
 
 
 def override_missing(computed: DataFrame, manual: DataFrame) -> DataFrame:
@@ -57,9 +70,10 @@ def override_missing(computed: DataFrame, manual: DataFrame) -> DataFrame:
     ).drop("manual_beta")
 
 
-def dollar_betas(values: DataFrame, beta: DataFrame) -> DataFrame:
-    """Value per underlying joined with its betas, plus beta times value."""
-    return values.join(beta.withColumnRenamed("symbol", "underlying"), "underlying", "left").withColumn(
+def dollar_betas(values: DataFrame, beta: DataFrame, benchmarks: list[str]) -> DataFrame:
+    """Value per underlying and benchmark with its beta (null if unknown), plus beta times value."""
+    known = beta.withColumnRenamed("symbol", "underlying")
+    return per_benchmark(values, benchmarks).join(known, ["underlying", "benchmark"], "left").withColumn(
         "dollar_beta", F.col("beta") * as_double("market_value")
     )
 
@@ -98,7 +112,7 @@ def spot_prices(positions: DataFrame, prices: DataFrame, as_of: date, days: int
 
 
 def option_greeks(
-    positions: DataFrame, prices: DataFrame, beta: DataFrame, as_of: date,
+    positions: DataFrame, prices: DataFrame, beta: DataFrame, benchmarks: list[str], as_of: date,
     price_days: int = 10, vol_days: int = 60, min_option_price: float | None = None,
 ) -> DataFrame:
     """Delta and option beta of every option row, one row per (position, benchmark).
@@ -122,23 +136,26 @@ def option_greeks(
         })
         .withColumn("delta", option_delta(F.col("spot"), F.col("strike"), F.col("years"), F.col("sigma"), F.col("right")))
     )
+    known = beta.select(F.col("symbol").alias("underlying"), "benchmark", F.col("beta").alias("underlying_beta"))
     return (
-        rows.join(beta.select(F.col("symbol").alias("underlying"), "benchmark", F.col("beta").alias("underlying_beta")), "underlying", "left")
+        per_benchmark(rows, benchmarks).join(known, ["underlying", "benchmark"], "left")
         .withColumn("option_beta", option_beta(F.col("underlying_beta"), F.col("spot"), F.col("option_price"), F.col("delta")))
     )
 
 
-def effective_betas(positions: DataFrame, prices: DataFrame, beta: DataFrame, as_of: date, **windows: int) -> DataFrame:
+def effective_betas(
+    positions: DataFrame, prices: DataFrame, beta: DataFrame, benchmarks: list[str], as_of: date, **windows: int
+) -> DataFrame:
     """Per position and benchmark: share beta on the unsigned value, option beta on the signed value."""
     shares = (
-        positions.where(F.col("asset_class").isin("STK", "ETF"))
-        .join(beta.select("symbol", "benchmark", "beta"), "symbol")
+        per_benchmark(positions.where(F.col("asset_class").isin("STK", "ETF")), benchmarks)
+        .join(beta.select("symbol", "benchmark", "beta"), ["symbol", "benchmark"], "left")
         .select(
             "account_id", "symbol", "asset_class", "benchmark", F.col("beta").alias("effective_beta"),
             F.coalesce(F.abs(as_double("market_value")), F.lit(0.0)).alias("weight_value"),
         )
     )
-    options = option_greeks(positions, prices, beta, as_of, **windows).where(F.col("benchmark").isNotNull()).select(
+    options = option_greeks(positions, prices, beta, benchmarks, as_of, **windows).select(
         "account_id", "symbol", "asset_class", "benchmark", F.col("option_beta").alias("effective_beta"),
         F.coalesce(as_double("market_value"), F.lit(0.0)).alias("weight_value"),
     )

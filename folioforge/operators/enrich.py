@@ -97,7 +97,7 @@ def underlying_context(
         ))).alias("recent_trades")
     )
     bench = betas(recent.where(~F.col("symbol").isin(benchmarks)), recent.where(F.col("symbol").isin(benchmarks)))
-    wide = _wide_betas(dollar_betas(exposure, bench), ["account_id", "underlying"], benchmarks, ["beta", "dollar_beta"])
+    wide = _wide_betas(dollar_betas(exposure, bench, benchmarks), ["account_id", "underlying"], benchmarks, ["beta", "dollar_beta"])
     out = exposure.join(listed, ["account_id", "underlying"], "left").join(wide, ["account_id", "underlying"], "left")
     for side in (close, vol, technical, facts):
         out = out.join(side, "underlying", "left")

@@ -38,9 +38,11 @@ FROM (SELECT p.symbol, q.symbol AS benchmark, p.price_date, p.adj_close::DOUBLE
  FROM daily_prices p JOIN daily_prices q ON p.price_date = q.price_date AND q.symbol IN ('MKT', 'STD')
  WHERE p.symbol LIKE 'Brand%' AND p.price_date >= DATE '2001-12-31' - 400 AND p.price_date <= DATE '2001-12-31') j
 WHERE back <= 252 WINDOW w AS (PARTITION BY symbol, benchmark ORDER BY price_date)"""),
-    "betas": (["beta_rows"], """
-SELECT symbol, benchmark, count(*) AS rows,
- CASE WHEN count(*) >= 60 AND count(rs) >= 59 THEN regr_slope(rs, rb) END AS beta FROM beta_rows GROUP BY 1, 2"""),
+    "betas": (["beta_rows", "daily_prices"], """
+SELECT symbol, benchmark, count(price_date) AS rows,
+ CASE WHEN count(price_date) >= 60 AND count(rs) >= 59 THEN regr_slope(rs, rb) END AS beta
+FROM (SELECT DISTINCT symbol FROM daily_prices WHERE symbol LIKE 'Brand%' AND price_date BETWEEN DATE '2001-12-31' - 400 AND DATE '2001-12-31') s
+CROSS JOIN (SELECT unnest(['MKT', 'STD']) AS benchmark) b LEFT JOIN beta_rows USING (symbol, benchmark) GROUP BY 1, 2"""),
     "spots": (["positions_latest", "daily_prices"], """
 SELECT account_id, underlying, CASE WHEN hp > 0 THEN hp::DOUBLE WHEN lc > 0 THEN lc::DOUBLE END AS spot
 FROM (SELECT account_id, CASE WHEN asset_class = 'OPT' THEN split_part(symbol, ' ', 1) ELSE symbol END AS underlying,
@@ -91,7 +93,7 @@ FROM (SELECT account_id, CASE WHEN asset_class = 'OPT' THEN split_part(symbol, '
  sum(abs(market_value))::DOUBLE AS mv FROM positions_latest GROUP BY 1, 2) v LEFT JOIN betas b ON b.symbol = v.underlying
 GROUP BY 1, 2""", extra=BETA)
 def portfolio_beta(spark, sf):
-    exposure = B.dollar_betas(H.value_by_underlying(_latest(spark, sf)), _betas(spark, sf))
+    exposure = B.dollar_betas(H.value_by_underlying(_latest(spark, sf)), _betas(spark, sf), V.BENCHMARKS)
     return show(B.portfolio_beta(exposure), portfolio_beta=8, portfolio_dollar_beta=2)
 
 
@@ -107,7 +109,7 @@ def beta_with_overrides(spark, sf):
 def _inputs(spark, sf):
     """Latest positions, bars and betas; each is read several times below, so each is written once."""
     prices = V.stored(V.daily_prices, spark, sf)
-    return written_once(_latest(spark, sf)), prices, written_once(_betas(spark, sf, prices)), V.AS_OF
+    return written_once(_latest(spark, sf)), prices, written_once(_betas(spark, sf, prices)), V.BENCHMARKS, V.AS_OF
 
 
 def _greeks(spark, sf):
