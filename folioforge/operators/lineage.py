@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The folder of a local session; it disappears with the process.
-_LOCAL_FOLDERS: list[tempfile.TemporaryDirectory] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a local session without one gets a temporary folder."""
+    """A folder that the driver and every executor reach.
+
+    That is ``spark.checkpoint.dir`` of the session, else the checkpoint folder of its context, else a
+    folder inside ``spark.sql.warehouse.dir``, which tables need to be shared anyway.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = current.get() if current.isDefined() else None
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS.append(tempfile.TemporaryDirectory(prefix="folioforge-", ignore_cleanup_errors=True))
-    return _LOCAL_FOLDERS[0].name
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/folioforge-scratch"
+
+
+def fresh_path(spark: SparkSession, name: str = "part") -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/folioforge-{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path made by :func:`fresh_path` once nothing reads it any more."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def written_to(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """Write the relation to a path and read it back with the same schema."""
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written_once(df: DataFrame) -> DataFrame:
     """Write the relation to the shared folder and read it back.
 
     Later steps then scan columns of a table instead of repeating its plan, and a lost executor
-    costs a re-read. The caller's retention policy for the shared folder removes the files.
+    costs a re-read. The files go when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/folioforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_to(df, fresh_path(df.sparkSession))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from folioforge.plans import catalog
 from tools.check import TABLES, normal
 from tools.plans import findings
 
@@ -17,7 +18,7 @@ SAMPLE = [
 ]
 # One row per calendar day reaches this window.
 DAY_BOUNDED = {"cumulative_pnl"}
-NAMES = list(contract.queries()) if os.environ.get("FOLIOFORGE_ALL") else SAMPLE
+NAMES = list(catalog.QUERIES) if os.environ.get("FOLIOFORGE_ALL") else SAMPLE
 
 
 @pytest.fixture(scope="module")
@@ -39,5 +40,6 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(catalog.QUERIES) <= set(contract.queries()) and set(catalog.ORACLE) <= set(contract.oracle_sql())
     assert contract.entry(spark).count() > 0
