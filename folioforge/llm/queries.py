@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import quality
+from folioforge.llm import packing, quality, tokenfile
 from folioforge.llm.common import table
+from folioforge.operators.lineage import fresh_path
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
+
+
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    return tokenfile.read(spark, path)
+
+
+def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
