@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import packing, quality, tokenfile
+from folioforge.llm import chat, packing, quality, tokenfile, warc
 from folioforge.llm.common import table
 from folioforge.operators.lineage import fresh_path
 
@@ -21,3 +22,18 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op9_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op1_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts look like control strings."""
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.examples(conversations))
