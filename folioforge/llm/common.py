@@ -27,21 +27,22 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def each_batch(
-    df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict[str, list]],
+    df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict[str, object]],
 ) -> DataFrame:
     """Map every Arrow batch to columns of ``schema``; a batch may return any number of rows."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    types = _arrow_types(df, schema)
+    types = _arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = step(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[n], type=t) for n, t in zip(names, types, strict=True)], names=names)
+            arrays = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=t) for n, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow_types(df: DataFrame, schema: str) -> list[pa.DataType]:
+def _arrow_types(schema: str) -> list[pa.DataType]:
     simple = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
               "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
               "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import chat, packing, quality, tokenfile, warc
+from folioforge.llm import chat, packing, quality, simhash, tokenfile, warc
 from folioforge.llm.common import table
 from folioforge.operators.lineage import fresh_path
 
@@ -37,3 +37,7 @@ def op1_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return chat.digests(chat.examples(conversations))
+
+
+def op7_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.clusters(table(spark, sf_dir, "documents"))
