@@ -157,7 +157,7 @@ def pieces(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, en
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            encoded = encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])
+            encoded = encoder(tokenizer).stream(batch.column("text"))
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 raw = ids + end

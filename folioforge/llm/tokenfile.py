@@ -2,7 +2,7 @@
 
 Ids are cut into blocks of a fixed size. The bytes (or bits) of a block are transposed into planes, so that the
 rarely changing high parts lie together, and every plane is compressed with zstandard by itself. Blocks are
-grouped into segments that begin at a document, hold about a million ids, and are the unit of reading; an index
+grouped into segments that begin at a document, hold about 262,144 ids, and are the unit of reading; an index
 gives every segment's place in the whole id stream.
 
 Layout under ``path``: ``blocks`` (part, segment, n_ids, doc_ids, doc_lengths, block_ids, planes) and ``index``
@@ -29,7 +29,7 @@ from folioforge.llm.common import texts
 from folioforge.llm.tokens import WORD_BPE, encoder
 
 BLOCK_IDS = 65_536
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 _BLOCKS = ("part int, segment int, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
            "block_ids array<int>, planes array<binary>")
 
@@ -74,7 +74,7 @@ def write(documents: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: in
                 ("doc_lengths", pa.list_(pa.int64())), ("block_ids", pa.list_(pa.int32())), ("planes", pa.list_(pa.binary()))]))
 
         for batch in batches:
-            encoded = encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])
+            encoded = encoder(tokenizer).stream(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 doc_ids.append(doc_id)
                 stream.append(ids + end)

@@ -1,85 +1,115 @@
-"""Token ids by a public tokenizer, encoded word by word with a bounded cache.
+"""Token ids by a public tokenizer, encoded word by word with bounded caches.
 
-The tokenizer drops white space and never merges across it, so the ids of a text are the ids of its
-space-separated words in order. Words repeat, so each worker keeps the ids of words it has seen, up to
-``CACHE_WORDS`` of them; the cache only saves work and never changes a result.
+The tokenizer drops white space and never merges across it, nor across the borders of its own pre-tokens (runs of
+letters, single digits, runs of other signs). So the ids of a text are the ids of its words in order, and those of a plain word the ids of its pre-tokens. Each worker keeps the ids of words and pre-tokens it
+has seen, up to ``CACHE_WORDS`` and ``CACHE_PARTS``; the caches only save work and never change a result. Words with
+anything but printable ASCII and common Latin letters are given to the tokenizer as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import public_tokenizers
+import pyarrow as pa
 
 # One worker per core: the library must not start threads of its own. Set before it is imported.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+CACHE_PARTS = 500_000
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+# The tokenizer's pre-token pattern, restricted to the letters that _PLAIN lets through, and its word end.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+_WORD_END = "</w>"
+
 
 class WordEncoder:
     """Encodes whole texts; ids come as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
+        self._np = np
         self._tokenizer = Tokenizer.from_file(path)
-        added = self._tokenizer.get_added_tokens_decoder()
-        # A special token between words keeps their ids apart, so that one call encodes many words.
-        self._mark, self._mark_text = next(((k, v.content) for k, v in sorted(added.items()) if v.special), (None, None))
-        self._special = tuple(v.content for v in added.values())
-        self._cache: dict[str, bytes] = {}
+        self._special = tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._closes[[k for token, k in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
 
     def _encode_direct(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        import numpy as np
-
-        if len(self._cache) + len(words) > CACHE_WORDS:
-            self._cache.clear()
-        plain = [w for w in words if self._mark is not None and not any(s in w for s in self._special)]
-        for w in set(words).difference(plain):
-            self._cache[w] = self._encode_direct(w)
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            joined = self._tokenizer.encode_batch_fast([self._mark_text.join(part)], add_special_tokens=False)[0]
-            ids = np.array(joined.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self._mark), len(ids))
-            if len(ends) != len(part):
-                raise ValueError("the separator token did not keep the words apart")
-            start = 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                self._cache[word] = ids[start:end].tobytes()
-                start = end + 1
+        return self._np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Every pre-token ends with the only one of its ids that closes a word, so one call encodes many."""
+        learned: dict[str, bytes] = {}
+        for at in range(0, len(parts), 10_000):
+            some = parts[at:at + 10_000]
+            joined = self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = self._np.array(joined.ids, "<u4")
+            ends = self._np.flatnonzero(self._closes[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not close each pre-token once")
+            raw, start = ids.tobytes(), 0
+            for part, end in zip(some, (4 * ends).tolist(), strict=True):
+                learned[part] = raw[start:end]
+                start = end
+        return learned
+
+    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
+        plain, split, known = _PLAIN.fullmatch, _PARTS.findall, self._parts
+        # Mostly no word holds a special token's text; only then each word is looked at.
+        joined = " ".join(words)
+        special = [s for s in self._special if s in joined]
+        learned: dict[str, bytes] = {}
+        waiting: dict[str, list[str]] = {}
+        for word in words:
+            if not plain(word) or (special and any(s in word for s in special)):
+                learned[word] = self._encode_direct(word)
+                continue
+            parts = split(word.lower())
+            try:
+                learned[word] = b"".join([known[p] for p in parts])
+            except KeyError:
+                waiting[word] = parts
+        if waiting:
+            needed = {p for parts in waiting.values() for p in parts}
+            fresh = self._learn_parts([p for p in needed if p not in known])
+            fresh |= {p: known[p] for p in needed if p in known}
+            for word, parts in waiting.items():
+                learned[word] = b"".join([fresh[p] for p in parts])
+            if len(known) + len(fresh) > CACHE_PARTS:
+                known.clear()
+            if len(fresh) <= CACHE_PARTS:
+                known.update(fresh)
+        return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Texts are handled in small groups, so that the cache may be cleared between them.
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            group, chars = [], 0
-            while at < len(texts) and (not group or chars < 2_000_000):
-                group.append(texts[at].split(" "))
-                chars += len(texts[at])
-                at += 1
-            cache = self._cache
-            missing = list({w for words in group for w in words if w not in cache})
-            if len(missing) > CACHE_WORDS // 2:
-                out += [self._encode_direct(" ".join(words)) for words in group]
-                continue
-            if missing:
-                kept = len(cache)
-                self._learn(missing)
-                if len(cache) < kept + len(missing):  # it was cleared
-                    self._learn(list({w for words in group for w in words if w not in cache}))
-            out += [b"".join([cache[w] for w in words]) for words in group]
-        return out
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        cache = self._words
+        missing = list({w for words in split for w in words if w not in cache})
+        if len(cache) + len(missing) > CACHE_WORDS:
+            cache.clear()
+            missing = list({w for words in split for w in words})
+        learned = self._learn_words(missing) if missing else {}
+        if len(learned) > CACHE_WORDS:
+            return [b"".join([learned[w] for w in words]) for words in split]
+        cache.update(learned)
+        return [b"".join([cache[w] for w in words]) for words in split]
+
+    def stream(self, column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+        """The ids of each text of a column (null: none), a few rows at a time to bound what is held at once."""
+        for at in range(0, len(column), rows):
+            yield from self.encode([t or "" for t in column.slice(at, rows).to_pylist()])
 
 
 @lru_cache(maxsize=2)
