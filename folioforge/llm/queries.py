@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import chat, packing, quality, simhash, tokenfile, toxicity, warc
+from folioforge.llm import chat, decontaminate, packing, quality, simhash, tokenfile, toxicity, warc
 from folioforge.llm.common import table
 from folioforge.operators.lineage import fresh_path
 
@@ -46,3 +46,7 @@ def op7_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.scores(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
+
+
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
