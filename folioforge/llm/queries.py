@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import chat, decontaminate, packing, quality, simhash, tokenfile, toxicity, warc
+from folioforge.llm import chat, decontaminate, packing, pii, quality, simhash, tokenfile, toxicity, warc
 from folioforge.llm.common import table
 from folioforge.operators.lineage import fresh_path
 
@@ -50,3 +50,7 @@ def op6_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
