@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import chat, decontaminate, packing, pii, quality, simhash, tokenfile, toxicity, warc
+from folioforge.llm import chat, decontaminate, packing, pii, quality, rlz, simhash, tokenfile, toxicity, warc
 from folioforge.llm.common import table
 from folioforge.operators.lineage import fresh_path
 
@@ -54,3 +54,7 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
+def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.deduplicated(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
