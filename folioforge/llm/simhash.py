@@ -135,15 +135,37 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     return found
 
 
+def _named(members: DataFrame, dense: int) -> DataFrame:
+    """(fp, component_id, component_fp): the component's smallest doc_id and a fingerprint that it has there."""
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")
+    classes = written_once(members.groupBy("fp").agg(F.min(order).alias("first")))
+    rooted = roots(links(classes, dense)).select(F.col("node").alias("fp"), "root")
+    joined = classes.join(rooted, "fp")
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    linked = joined.join(least, "root").select("fp", "least")
+    whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    return whole.select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.fp").alias("component_fp"))
+
+
 def clusters(documents: DataFrame, dense: int = DENSE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; the component is named by its smallest doc_id."""
     members = written_once(fingerprints(documents))
-    classes = members.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    classes = written_once(classes)
-    rooted = roots(links(classes, dense)).select(F.col("node").alias("fp"), "root")
-    joined = classes.join(rooted, "fp")
-    named = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = joined.join(named, "root").select("fp", "component_id")
-    whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return members.join(whole, "fp").select(
+    return members.join(_named(members, dense).drop("component_fp"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(documents: DataFrame, text_col: str = "text", dense: int = DENSE) -> DataFrame:
+    """One row of each component with all its columns: the one with the smallest doc_id (any of fully repeated rows)."""
+    @F.arrow_udf("long")
+    def fp_of(column: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t) for t in text_bytes(column)], np.uint64).view(np.int64))
+
+    columns = documents.columns
+    members = written_once(fingerprints(documents.select("doc_id", F.col(text_col).alias("text"))))
+    chosen = _named(members, dense).select(F.col("component_id").alias("_id"), F.col("component_fp").alias("_fp")).distinct()
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), fp_of(documents[text_col].cast("string")).alias("_own"))
+    same = [F.xxhash64("_row.doc_id", "_own") == F.xxhash64(F.col("_id").cast(documents.schema["doc_id"].dataType), "_fp"),
+            F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp"))]
+    kept = rows.join(chosen, same, "left_semi").select("_row", F.col("_row.doc_id").alias("_id"), "_own").dropDuplicates(["_id", "_own"])
+    return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
