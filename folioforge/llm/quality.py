@@ -32,10 +32,10 @@ class Bands:
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 9.0), (128, 0.35, 1.2), (512, 0.32, 0.95), (2048, 0.28, 0.85), (16384, 0.22, 0.80),
+        (0, 0.0, 9.0), (128, 0.35, 1.2), (512, 0.32, 0.95), (2048, 0.28, 0.78), (16384, 0.22, 0.72),
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.20, 0.85)
+    chunk: tuple[float, float] = (0.20, 0.76)
     max_bad_chunks: float = 0.34
     level: int = 3
     min_words: int = 50
