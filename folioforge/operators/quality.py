@@ -54,7 +54,7 @@ def price_rules() -> dict[str, Column]:
     return {
         "symbol": _ok(_named("symbol")),
         "price_date": F.col("price_date").isNotNull(),
-        **{c: F.col(c).isNotNull() for c in bars},
+        **{c: F.col(c).isNotNull() & (F.col(c) > 0 if c != "volume" else F.lit(True)) for c in bars},
     }
 
 

@@ -262,7 +262,7 @@ def diagnose(classified: DataFrame) -> DataFrame:
         .when(F.col("symbol") == "", "skipped_empty_symbol")
         .when(complete, "parsed").otherwise("error")
     )
-    detail = F.when(F.col("symbol") != "", F.col("symbol")).otherwise(F.substring("first", 1, 40))
+    detail = F.when(F.col("symbol") != "", F.col("symbol")).otherwise(F.col("first"))
     return state.select(
         *GROUP, F.col("row_num").cast("long").alias("row_num"), "cells", "first", label.alias("classification"),
         "asset_class", detail.alias("detail"),

@@ -223,13 +223,16 @@ def date_presets(as_of: date) -> dict[str, date | None]:
 
 
 def totals_by_preset(trades: DataFrame, as_of: date) -> DataFrame:
-    """Trade totals for every named date range in one scan (a trade may fall in several ranges)."""
+    """Trade totals for every named date range in one scan (a trade may fall in several ranges).
+
+    A range without a start holds every trade, also later and undated ones.
+    """
     ranges = F.array(*[
-        F.struct(F.lit(name).alias("preset"), F.lit((start or date(1900, 1, 1)).isoformat()).cast("date").alias("start"))
+        F.struct(F.lit(name).alias("preset"), F.lit(start and start.isoformat()).cast("date").alias("start"))
         for name, start in date_presets(as_of).items()
     ])
     day = F.to_date("trade_date")
-    matching = F.filter(ranges, lambda r: (r["start"] <= day) & (day <= F.lit(as_of)))
+    matching = F.filter(ranges, lambda r: r["start"].isNull() | ((r["start"] <= day) & (day <= F.lit(as_of))))
     return (
         trades.select(F.explode(F.transform(matching, lambda r: r["preset"])).alias("preset"), "realized_pnl", "commission")
         .groupBy("preset")

@@ -20,16 +20,16 @@ from folioforge.plans.technical_queries import TECH
 
 
 def _load(spark, sf):
-    """Stored: yearly statements up to 1999. Loaded: 1999 again, 2000, and the overlapping ones."""
+    """Stored: yearly statements up to 1999. Loaded: 1999 again, all later years, and the overlapping ones."""
     rows = V.trades_overlap(spark, sf)
     name = F.substring_index("statement_id", "-", -1)
     stored = rows.where((name != "overlap") & (name <= "1999"))
-    return stored, rows.where(name.isin("1999", "2000", "overlap"))
+    return stored, rows.where(name >= "1999")
 
 
 @query("replace_statement_trades", ("trades_overlap", "statements"), """
 SELECT statement_id, count(*) AS trades, sum(quantity)::DOUBLE AS quantity FROM trades_overlap
-WHERE split_part(statement_id, '-', 2) <= '2000' OR (statement_id LIKE '%overlap' AND year(trade_date) = 2001) GROUP BY 1""")
+WHERE statement_id NOT LIKE '%overlap' GROUP BY 1""")
 def replace_statement_trades(spark, sf):
     stored, incoming = _load(spark, sf)
     out = ST.replace_trades(stored, incoming, V.statements(spark, sf))
@@ -37,9 +37,9 @@ def replace_statement_trades(spark, sf):
 
 
 @query("statement_load_counts", ("trades_overlap", "statements"), """
-SELECT statement_id, count(*) AS received, count(*) FILTER (WHERE statement_id NOT LIKE '%overlap' OR year(trade_date) = 2001) AS stored,
- count(*) FILTER (WHERE statement_id LIKE '%overlap' AND year(trade_date) <> 2001) AS skipped
-FROM trades_overlap WHERE split_part(statement_id, '-', 2) IN ('1999', '2000', 'overlap') GROUP BY 1""")
+SELECT statement_id, count(*) AS received, count(*) FILTER (WHERE statement_id NOT LIKE '%overlap') AS stored,
+ count(*) FILTER (WHERE statement_id LIKE '%overlap') AS skipped
+FROM trades_overlap WHERE statement_id LIKE '%overlap' OR CAST(split_part(statement_id, '-', 2) AS INT) >= 1999 GROUP BY 1""")
 def statement_load_counts(spark, sf):
     stored, incoming = _load(spark, sf)
     loaded = incoming.select("statement_id").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.plans.views import INV_RULE, METRIC_RULES, REVERSE_RULE, SHARES_RULE, YEARS
+from folioforge.plans.views import INV_RULE, METRIC_RULES, REVERSE_RULE, SHARES_RULE
 
 _UNITS = "(2 * {c} * 100 + {q}) // (2 * {q})"
 _FLOWS = ["revenue", "net_income", "operating_income", "gross_profit", "eps_basic", "eps_diluted",
@@ -21,6 +21,8 @@ _metric_union = "\nUNION ALL\n".join(
 
 # name -> (dependencies, SQL)
 VIEWS: dict[str, tuple[list[str], str]] = {
+    "ship_years": ([], """
+SELECT unnest(generate_series(lo, hi)) AS y FROM (SELECT min(year(l_shipdate)) AS lo, max(year(l_shipdate)) AS hi FROM lineitem) b"""),
     "line_parts": ([], """
 SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, CAST(l_quantity AS BIGINT) AS qty,
  CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_discount AS DECIMAL(4,2)) AS discount,
@@ -57,11 +59,11 @@ SELECT statement_id, trade_date, symbol, asset_class, side, quantity, price, pro
 UNION ALL
 SELECT account_id || '-overlap', trade_date, symbol, asset_class, side, quantity, price, proceeds, commission,
  realized_pnl, currency, expiry, strike, "right" FROM trades_base WHERE l_orderkey % 20 = 0"""),
-    "statements": ([], f"""
+    "statements": (["ship_years"], """
 SELECT account_id || '-' || y AS id, account_id, make_date(y, 1, 1) AS period_start,
  make_date(y, 12, 31) AS period_end, 'USD' AS base_currency, CAST(make_date(y, 12, 31) + 5 AS DATE) AS created_at
 FROM (SELECT DISTINCT 'U' || CAST(o_custkey % 10 AS VARCHAR) AS account_id FROM orders) a,
- (SELECT unnest({YEARS}) AS y) ys
+ ship_years
 UNION ALL
 SELECT account_id || '-overlap', account_id, DATE '1995-01-01', DATE '2000-06-30', 'USD', DATE '2001-02-01'
 FROM (SELECT DISTINCT 'U' || CAST(o_custkey % 10 AS VARCHAR) AS account_id FROM orders) a"""),
@@ -78,7 +80,7 @@ FROM bar_sources GROUP BY symbol, price_date"""),
     "daily_prices": (["bars"], """
 SELECT symbol, price_date, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY price_date), close) AS open,
  high, low, close, close AS adj_close, volume FROM bars"""),
-    "positions_base": (["trades_base"], f"""
+    "positions_base": (["trades_base", "ship_years"], f"""
 SELECT *, CAST(market_value - cost_basis AS DECIMAL(18,4)) AS unrealized_pnl, 'USD' AS currency FROM (
 SELECT *, CAST(quantity * market_price * CASE WHEN asset_class = 'OPT' THEN 100 ELSE 1 END AS DECIMAL(18,4)) AS market_value
 FROM (SELECT account_id, symbol, asset_class, expiry, strike, "right", symbol_no, y,
@@ -92,19 +94,19 @@ FROM (SELECT account_id, symbol, asset_class, expiry, strike, "right", symbol_no
    sum(CASE WHEN side = 'BOT' THEN quantity ELSE -quantity END) AS net,
    sum(CASE WHEN side = 'BOT' THEN -proceeds ELSE 0 END) AS cost,
    CAST(sum(abs(proceeds)) * 100 AS BIGINT) AS cents, CAST(sum(quantity) AS BIGINT) AS volume
-  FROM trades_base JOIN (SELECT unnest({YEARS}) AS y) ys ON year(trade_date) <= y
+  FROM trades_base JOIN ship_years ON year(trade_date) <= y
   GROUP BY ALL) g WHERE net <> 0) s
  WHERE quantity <> 0) b"""),
     "positions": (["positions_base"], """
 SELECT statement_id, symbol, asset_class, quantity, cost_basis, market_price, market_value, unrealized_pnl,
  currency, statement_date, expiry, strike, "right" FROM positions_base"""),
-    "positions_overlap": (["positions_base"], """
+    "positions_overlap": (["positions_base", "ship_years"], """
 SELECT statement_id, symbol, asset_class, quantity, cost_basis, market_price, market_value, unrealized_pnl,
  currency, statement_date, expiry, strike, "right" FROM positions_base
 UNION ALL
 SELECT account_id || '-overlap', symbol, asset_class, CAST(quantity + 1 AS DECIMAL(18,4)), cost_basis,
  market_price, market_value, unrealized_pnl, currency, statement_date, expiry, strike, "right"
-FROM positions_base WHERE symbol_no % 10 = 3 AND statement_date IN (DATE '1999-12-31', DATE '2001-12-31')"""),
+FROM positions_base WHERE symbol_no % 10 = 3 AND y IN (SELECT max(y) - k FROM ship_years CROSS JOIN (VALUES (0), (2)) t(k) GROUP BY k)"""),
     "quarter_totals": ([], """
 SELECT c_nationkey AS n, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q,
  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(20,2)) AS qrev,
@@ -149,5 +151,6 @@ def compose(sql: str, *needed: str, extra: dict[str, tuple[list[str], str]] | No
         visit(name)
     if not ordered:
         return sql
-    ctes = ",\n".join(f"{n} AS ({registry[n][1].strip()})" for n in ordered)
+    # Each view is computed once, however often it is used.
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({registry[n][1].strip()})" for n in ordered)
     return f"WITH {ctes}\n{sql.strip()}"

@@ -83,8 +83,8 @@ def pnl_histogram(spark, sf):
 @query("totals_by_date_preset", ("trades",), """
 SELECT preset, sum(realized_pnl)::DOUBLE AS total_realized, sum(commission)::DOUBLE AS total_commission, count(*) AS trades
 FROM trades JOIN (VALUES ('1W', DATE '2001-12-31' - 7), ('1M', DATE '2001-12-31' - 30), ('3M', DATE '2001-12-31' - 90),
- ('1Y', DATE '2001-12-31' - 365), ('YTD', DATE '2001-01-01'), ('All', DATE '1900-01-01')) p(preset, start)
- ON CAST(trade_date AS DATE) >= start AND CAST(trade_date AS DATE) <= DATE '2001-12-31' GROUP BY 1""")
+ ('1Y', DATE '2001-12-31' - 365), ('YTD', DATE '2001-01-01'), ('All', NULL)) p(preset, start)
+ ON start IS NULL OR (CAST(trade_date AS DATE) >= start AND CAST(trade_date AS DATE) <= DATE '2001-12-31') GROUP BY 1""")
 def totals_by_date_preset(spark, sf):
     return show(T.totals_by_preset(V.trades(spark, sf), V.AS_OF))
 

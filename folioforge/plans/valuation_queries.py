@@ -14,7 +14,7 @@ from folioforge.plans import views as V
 from folioforge.plans.fundamental_queries import _FLOW_LIST, _PREF, FUND
 from folioforge.plans.holding_queries import DEDUP, _latest
 from folioforge.plans.registry import query, show
-from folioforge.schemas import FLOW_METRICS, POINT_METRICS, SNAPSHOT_MEASURES
+from folioforge.schemas import FLOW_METRICS, POINT_METRICS, SNAPSHOT_MEASURES, VALUATION_PRESETS
 
 RATIO_DIGITS = {
     "market_cap": 1, "enterprise_value": 1, "pe_ttm": 6, "pb": 6, "ps": 6, "ev_ebitda": 6, "ev_revenue": 6,
@@ -230,27 +230,31 @@ SNAPS = {
     **VAL,
     "snaps": (["history", "stock_metrics"], """
 SELECT symbol, make_date(y, 12, 31) AS snapshot_date, preset, arg_max(price, price_date) AS price_used, arg_max(pb, price_date) FILTER (WHERE pb IS NOT NULL) AS pb
-FROM history JOIN (SELECT unnest(range(1997, 2002)) AS y) ys ON year(price_date) <= y CROSS JOIN (SELECT unnest(['Balanced', 'Value']) AS preset) p GROUP BY 1, 2, 3"""),
+FROM history JOIN (SELECT unnest(generate_series(lo, hi)) AS y FROM (SELECT min(year(price_date)) AS lo, max(year(price_date)) AS hi FROM history) b) ys ON year(price_date) <= y
+ CROSS JOIN (SELECT unnest(['Balanced', 'Value', 'Growth', 'Quality']) AS preset) p GROUP BY 1, 2, 3"""),
 }
 
 
 def _snaps(spark, sf):
-    """Year-end snapshot rows of two presets, derived from the ratio history."""
+    """Year-end snapshot rows of every preset and year, derived from the ratio history.
+
+    The newest values of each year are carried on to years without prices of the symbol.
+    """
     history = _history(spark, sf)
-    years = range(1997, 2002)
-    seen = {y: F.year("price_date") <= y for y in years}
-    cells = []
-    for y in years:
-        cells += [
-            F.max_by("price", F.when(seen[y], F.col("price_date"))).alias(f"p{y}"),
-            F.max_by("pb", F.when(seen[y] & F.col("pb").isNotNull(), F.col("price_date"))).alias(f"b{y}"),
-        ]
-    rows = F.array(*[
-        F.struct(F.lit(date(y, 12, 31)).alias("snapshot_date"), F.col(f"p{y}").alias("price_used"), F.col(f"b{y}").alias("pb")) for y in years
-    ])
-    presets = F.explode(F.array(F.lit("Balanced"), F.lit("Value")))
+    year = F.year("price_date")
+    years = history.agg(F.sequence(F.min(year), F.max(year)).alias("years")).scalar()
+    by_year = history.groupBy("symbol", year.alias("y")).agg(
+        F.max_by("price", "price_date").alias("price"), F.max_by("pb", F.when(F.col("pb").isNotNull(), F.col("price_date"))).alias("pb"))
+    listed = by_year.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("y", "price", "pb"))).alias("known"))
+
+    def newest(field):
+        return F.try_element_at(F.filter("known", lambda k: (k["y"] <= F.col("year_end")) & k[field].isNotNull()), F.lit(-1))[field]
+
+    presets = F.explode(F.array(*[F.lit(p) for p in VALUATION_PRESETS]))
     return (
-        history.groupBy("symbol").agg(*cells).select("symbol", F.explode(rows).alias("r")).select("symbol", "r.*")
+        listed.select("symbol", "known", F.explode(years).alias("year_end"))
+        .select("symbol", F.make_date("year_end", F.lit(12), F.lit(31)).alias("snapshot_date"),
+                newest("price").alias("price_used"), newest("pb").alias("pb"))
         .where(F.col("price_used").isNotNull()).withColumn("preset", presets)
     )
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from folioforge.operators.lineage import written_once
 
 AS_OF = date(2001, 12, 31)
-YEARS = list(range(1995, 2002))
 BENCHMARKS = ["MKT", "STD"]
 
 
@@ -34,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trade_years(spark: SparkSession, sf_dir: str) -> Column:
+    """Every calendar year from the first to the last trade, as one array value computed from the data."""
+    year = F.year("l_shipdate")
+    return table(spark, sf_dir, "lineitem").agg(F.sequence(F.min(year), F.max(year)).alias("years")).scalar()
+
+
 def _year_end(year: Column) -> Column:
     return F.make_date(year, F.lit(12), F.lit(31))
 
@@ -132,7 +137,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("concat('U', o_custkey % 10)").alias("account_id")
     ).distinct()
     yearly = accounts.select(
-        "account_id", F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("y")
+        "account_id", F.explode(trade_years(spark, sf_dir)).alias("y")
     ).select(
         F.concat_ws("-", "account_id", "y").alias("id"), "account_id",
         F.expr("make_date(y, 1, 1)").alias("period_start"), _year_end(F.col("y")).alias("period_end"),
@@ -187,33 +192,33 @@ def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year-end snapshots: net signed quantity to date, one row in thirteen perturbed by +5.
 
-    One aggregation produces all year-end totals of a holding as conditional integer sums; they are
-    then unfolded to one row per year. The market price is the average traded price to date.
+    Trades are first netted per holding and year; a holding's few yearly sums are then summed up to
+    each year end, also in years without a trade. The market price is the average traded price to date.
     """
     base = trades_base(spark, sf_dir)
     bought = F.col("side") == "BOT"
-    aggregates = []
-    for y in YEARS:
-        seen = F.year("trade_date") <= y
-        aggregates += [
-            F.sum(F.when(seen, F.when(bought, F.col("qty")).otherwise(-F.col("qty"))).otherwise(0)).alias(f"n{y}"),
-            F.sum(F.when(seen & bought, F.col("cents")).otherwise(0)).alias(f"b{y}"),
-            F.sum(F.when(seen, F.col("cents")).otherwise(0)).alias(f"t{y}"),
-            F.sum(F.when(seen, F.col("qty")).otherwise(0)).alias(f"v{y}"),
-        ]
     keys = ["account_id", "symbol", "asset_class", "expiry", "strike", "right", "symbol_no"]
-    per_year = F.array(*[
-        F.struct(F.lit(y).alias("y"), F.col(f"n{y}").alias("net"), F.col(f"b{y}").alias("bought"),
-                 F.col(f"t{y}").alias("cents"), F.col(f"v{y}").alias("qty"))
-        for y in YEARS
-    ])
+    measures = ["net", "bought", "cents", "qty"]
+    by_year = (
+        base.groupBy(*keys, F.year("trade_date").alias("y")).agg(
+            F.sum(F.when(bought, F.col("qty")).otherwise(-F.col("qty"))).alias("net"),
+            F.sum(F.when(bought, F.col("cents")).otherwise(0)).alias("bought"),
+            F.sum("cents").alias("cents"), F.sum("qty").alias("qty"))
+        .groupBy(*keys).agg(F.collect_list(F.struct("y", *measures)).alias("by_year"))
+    )
+    nothing = F.struct(*[F.lit(0).cast("bigint").alias(m) for m in measures])
+
+    def to_date(year: Column) -> Column:
+        return F.aggregate(
+            F.filter("by_year", lambda s: s["y"] <= year), nothing,
+            lambda acc, s: F.struct(*[(acc[m] + s[m]).alias(m) for m in measures]))
+
     perturbed = (
         "net + case when (symbol_no + 31 * y + 7 * cast(substring(account_id, 2) as int)) % 13 = 0 then 5 else 0 end"
     )
     return (
-        base.groupBy(*keys).agg(*aggregates)
-        .select(*keys, F.explode(F.filter(per_year, lambda s: s["net"] != 0)).alias("s"))
-        .select(*keys, "s.*")
+        by_year.select(*keys, "by_year", F.explode(trade_years(spark, sf_dir)).alias("y"))
+        .select(*keys, "y", to_date(F.col("y")).alias("sums")).select(*keys, "y", "sums.*").where("net != 0")
         .withColumn("quantity", F.expr(f"cast({perturbed} as decimal(18,4))"))
         .where(F.col("quantity") != 0)
         .select(
@@ -246,9 +251,11 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots plus corrected copies (quantity + 1) of some rows under the overlapping statement."""
+    """Snapshots plus corrected copies (quantity + 1) of some rows, of the last year and of two years before,
+    under the overlapping statement."""
     base = positions_base(spark, sf_dir)
-    copied = (F.col("symbol_no") % 10 == 3) & F.col("statement_date").isin(date(1999, 12, 31), date(2001, 12, 31))
+    age = F.element_at(trade_years(spark, sf_dir), -1) - F.year("statement_date")
+    copied = (F.col("symbol_no") % 10 == 3) & age.isin(0, 2)
     row = lambda sid, q, made: F.struct(sid.alias("sid"), q.alias("q"), made.alias("made"))
     own = row(F.col("statement_id"), F.col("quantity"), F.col("created_at"))
     copy = row(
