@@ -6,6 +6,7 @@ from folioforge.plans import (  # noqa: F401
     fundamental_queries,
     holding_queries,
     landed_queries,
+    stored_queries,
     technical_queries,
     trade_queries,
     valuation_queries,

@@ -11,7 +11,8 @@ def _struct(spec: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in spec])
 
 
-_S, _D, _TS, _I, _L = T.StringType(), T.DateType(), T.TimestampType(), T.IntegerType(), T.LongType()
+# Statement times carry no zone, in the tables as in the views.
+_S, _D, _TS, _I, _L = T.StringType(), T.DateType(), T.TimestampNTZType(), T.IntegerType(), T.LongType()
 _OPTION_FIELDS = [("expiry", _D), ("strike", NUMERIC), ("right", _S)]
 
 STATEMENTS = _struct([
@@ -22,11 +23,12 @@ POSITIONS = _struct([
     ("statement_id", _S), ("symbol", _S), ("asset_class", _S), ("quantity", NUMERIC),
     ("cost_basis", NUMERIC), ("market_price", NUMERIC), ("market_value", NUMERIC),
     ("unrealized_pnl", NUMERIC), ("currency", _S), ("statement_date", _D), *_OPTION_FIELDS,
+    ("account_id", _S), ("created_at", _TS),
 ])
 TRADES = _struct([
     ("statement_id", _S), ("trade_date", _TS), ("symbol", _S), ("asset_class", _S), ("side", _S),
     ("quantity", NUMERIC), ("price", NUMERIC), ("proceeds", NUMERIC), ("commission", NUMERIC),
-    ("realized_pnl", NUMERIC), ("currency", _S), *_OPTION_FIELDS,
+    ("realized_pnl", NUMERIC), ("currency", _S), *_OPTION_FIELDS, ("account_id", _S),
 ])
 STOCK_METRICS = _struct([
     ("symbol", _S), ("metric_name", _S), ("metric_value", NUMERIC), ("period_end", _D),

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.operators.keyed import delete_keys, first_per_key
-from folioforge.operators.lineage import written_once
+from folioforge.operators.lineage import remove, written_once
+from folioforge.operators.statements import accepted_trades
 from folioforge.schemas import KEYS, TABLES
 
 # Tables are partitioned by the year of their date: coarse enough for large files, fine enough that
@@ -53,31 +55,83 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -
     )
 
 
+def _years(df: DataFrame) -> set[int]:
+    """The partitions of some rows; there are as many as calendar years."""
+    return {int(r[0]) for r in df.select(PARTITION_COLUMN).distinct().collect()}
+
+
+def _replace(
+    spark: SparkSession, root: str, table: str, doomed: DataFrame, keys: Sequence[str], incoming: DataFrame | None, years: set[int],
+) -> None:
+    """Rewrite only the partitions ``years``: their rows without the doomed keys, and the incoming rows.
+
+    The merged rows are staged first, because a path must not be overwritten while it is read. Partitions that
+    end up empty are removed.
+    """
+    path = f"{root}/{table}"
+    parts = [incoming] if incoming is not None else []
+    if _exists(spark, path) and years:
+        stored = read_table(spark, root, table).where(F.col(PARTITION_COLUMN).isin(sorted(years)))
+        parts.append(delete_keys(stored, doomed, keys))
+    if not parts:
+        return
+    merged = written_once(reduce(DataFrame.unionByName, parts))
+    (
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PARTITION_COLUMN).parquet(path)
+    )
+    for year in years - _years(merged):
+        remove(spark, f"{path}/{PARTITION_COLUMN}={year}")
+
+
+def _staged(df: DataFrame, table: str) -> DataFrame:
+    return written_once(conform(df, table).withColumn(PARTITION_COLUMN, _partition_value(table)))
+
+
 def upsert_table(df: DataFrame, root: str, table: str, last: Sequence[Column], keys: Sequence[str] | None = None) -> None:
-    """Keyed upsert that rewrites only the partitions the load touches.
+    """Keyed upsert that reads and rewrites only the partitions the load touches.
 
-    The key contains the partition's date, so a stored row and its replacement share a partition.
-    The merged rows are staged first, because a path must not be overwritten while it is read.
+    The key must contain the partition's date, so that a stored row and its replacement share a partition.
     """
-    spark = df.sparkSession
     keys = list(keys or KEYS[table])
+    if _PARTITION_DATE[table] not in keys:
+        raise ValueError(f"the key of {table} has to contain {_PARTITION_DATE[table]}")
     # ``last`` may use columns that the table does not have, such as a load number.
-    incoming = conform(first_per_key(df, keys, last), table).withColumn(PARTITION_COLUMN, _partition_value(table))
-    merged = incoming
-    if _exists(spark, f"{root}/{table}"):
-        touched = incoming.select(PARTITION_COLUMN).distinct()
-        stored = read_table(spark, root, table).join(touched, PARTITION_COLUMN, "left_semi").select(*incoming.columns)
-        merged = delete_keys(stored, incoming, keys).unionByName(incoming)
-    (
-        written_once(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION_COLUMN).parquet(f"{root}/{table}")
-    )
+    incoming = _staged(first_per_key(df, keys, last), table)
+    _replace(df.sparkSession, root, table, incoming, keys, incoming, _years(incoming))
 
 
 def delete_from_table(spark: SparkSession, root: str, table: str, doomed: DataFrame, keys: Sequence[str]) -> None:
-    """Delete by key. The whole table is replaced, so that partitions left empty disappear too."""
-    kept = written_once(delete_keys(read_table(spark, root, table).drop(PARTITION_COLUMN), doomed, keys))
-    write_table(kept, root, table)
+    """Delete by key, rewriting only the partitions that hold a doomed row."""
+    hit = read_table(spark, root, table).join(doomed.select(*keys).distinct(), list(keys), "left_semi")
+    _replace(spark, root, table, doomed, keys, None, _years(hit))
+
+
+def store_statements(root: str, statements: DataFrame, positions: DataFrame, trades: DataFrame) -> None:
+    """Store statements with their positions and trades.
+
+    A header replaces the one with its key. The positions and trades of the same statement ids are replaced whole;
+    trades that another stored statement of the account already has are left out.
+    """
+    spark = statements.sparkSession
+    headers = written_once(statements)
+    ids = headers.select(F.col("id").alias("statement_id")).distinct()
+    upsert_table(headers, root, "statements", [F.col("created_at").desc(), F.col("id")])
+
+    def stored(table: str) -> DataFrame | None:
+        return read_table(spark, root, table) if _exists(spark, f"{root}/{table}") else None
+
+    old_trades, old_positions = stored("trades"), stored("positions")
+    if old_trades is not None:
+        accounts = headers.select("account_id").distinct()
+        others = delete_keys(old_trades.join(accounts, "account_id", "left_semi"), ids, ["statement_id"])
+        trades = accepted_trades(trades, others)
+    for table, old, new in (("positions", old_positions, positions), ("trades", old_trades, trades)):
+        incoming = _staged(new, table)
+        years = _years(incoming)
+        if old is not None:
+            years |= _years(old.join(ids, "statement_id", "left_semi"))
+        _replace(spark, root, table, ids, ["statement_id"], incoming, years)
 
 
 def export_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:

@@ -1,12 +1,16 @@
 import json
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import facts as A
 from folioforge.operators import quality as Q
 from folioforge.operators import statement_rows as S
+from folioforge.operators import trades as T
+from folioforge.plans import views as V
 from folioforge.sources import landed, tables
 
 PH = ["Symbol", "Quantity", "Mult", "Cost Price", "Cost Basis", "Close Price", "Value", "Unrealized P/L", "Code"]
@@ -142,3 +146,39 @@ def test_quality_rules(spark):
     assert Q.quarantine(clean, Q.metric_rules()).first().violations == ["symbol", "metric_value", "period_end", "cik"]
     snaps = spark.createDataFrame([("A", "Value"), ("A", "Other")], "symbol string, preset string")
     assert Q.accept(snaps, Q.snapshot_rules()).count() == 1
+
+
+def test_writes_touch_only_their_partitions(spark, tmp_path):
+    root = f"{tmp_path}/pruned"
+    rows = [("A", date(y, 1, 2), float(y), 0) for y in range(2010, 2020)] + [("B", date(2015, 1, 2), 1.0, 0)]
+    schema = "symbol string, price_date date, close double, n int"
+    tables.upsert_table(spark.createDataFrame(rows, schema), root, "daily_prices", [F.col("n").desc()])
+    files = lambda: {p.parent.name: p.name for p in Path(root).rglob("*.parquet")}
+    before = files()
+    tables.upsert_table(spark.createDataFrame([("A", date(2013, 1, 2), 9.0, 1)], schema), root, "daily_prices", [F.col("n").desc()])
+    after = files()
+    assert {k for k in before if before[k] != after[k]} == {"part_year=2013"}
+    tables.delete_from_table(spark, root, "daily_prices", spark.createDataFrame([("A", date(2015, 1, 2)), ("A", date(2016, 1, 2))], "symbol string, price_date date"),
+                             ["symbol", "price_date"])
+    left = files()
+    assert "part_year=2016" not in left and {k for k in left if after[k] != left[k]} == {"part_year=2015"}
+    assert tables.read_table(spark, root, "daily_prices").count() == 9
+    with pytest.raises(ValueError, match="has to contain"):
+        tables.upsert_table(spark.createDataFrame(rows, schema), root, "daily_prices", [F.col("n").desc()], keys=["symbol"])
+
+
+def test_years_come_from_the_trades(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for name in ("part", "orders", "customer"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    year = F.when(F.col("l_orderkey") % 97 == 0, 1990).when(F.col("l_orderkey") % 89 == 0, 2005)
+    moved = lines.withColumn("l_shipdate", F.coalesce(F.make_timestamp_ntz(year, F.lit(6), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), "l_shipdate"))
+    moved.write.parquet(f"{tmp_path}/lineitem.parquet")
+    where = str(tmp_path)
+    for view, column in ((V.statements, "period_end"), (V.positions, "statement_date")):
+        years = {r[0] for r in view(spark, where).select(F.year(column)).distinct().collect()}
+        assert {1990, 1992, 2005} <= years
+    totals = {r.preset: r.trades for r in T.totals_by_preset(V.trades(spark, where), V.AS_OF).collect()}
+    assert totals["All"] == lines.count()
+    assert V.trades(spark, where).join(V.statements(spark, where), F.col("statement_id") == F.col("id"), "left_anti").count() == 0
