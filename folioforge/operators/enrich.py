@@ -36,12 +36,13 @@ def _wide_betas(rows: DataFrame, keys: list[str], benchmarks: list[str], columns
 
 def enriched_positions(
     positions: DataFrame, prices: DataFrame, today: date, benchmarks: list[str],
-    vol_overrides: DataFrame | None = None,
+    vol_overrides: DataFrame | None = None, use_override: bool = False,
 ) -> DataFrame:
     """Latest positions with days to expiry, moneyness, breakeven, delta and option betas.
 
     ``positions`` are the deduplicated latest positions of all accounts. ``vol_overrides``
-    (underlying, volatility_override) replaces the volatility in the delta where given.
+    (underlying, volatility_override) is shown beside the realized volatility; with ``use_override`` it also replaces
+    it in the delta.
     """
     recent = lookback(prices, today, LOOKBACK_DAYS)
     close = _named(latest_prices(prices).select("symbol", as_double("close").alias("current_price")))
@@ -55,7 +56,7 @@ def enriched_positions(
     sigma = drop_zero(F.col("realized_vol"))
     if vol_overrides is not None:
         rows = rows.join(vol_overrides, "underlying", "left")
-        sigma = F.coalesce(F.col("volatility_override"), sigma)
+        sigma = F.coalesce(F.col("volatility_override"), sigma) if use_override else sigma
     dte = days_to_expiry("expiry", today)
     delta = option_delta(
         F.col("current_price"), F.col("strike"), F.col("dte") / F.lit(DAYS_PER_YEAR), F.col("sigma"), F.col("right")
@@ -105,6 +106,3 @@ def underlying_context(
         renamed = _named(snapshots).select("underlying", F.struct(*[c for c in snapshots.columns if c != "symbol"]).alias("valuation"))
         out = out.join(renamed, "underlying", "left")
     return out
-
-
-SIGNAL_COLUMNS = [*SIGNALS, *[f"{s}_score" for s in SIGNALS]]

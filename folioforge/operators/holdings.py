@@ -107,16 +107,17 @@ def consolidate(positions: DataFrame, scope: tuple[str, ...] = (), option_notion
             F.sum("value").alias("market_value"),
             F.sum(F.abs("cost_basis")).alias("total_cost"),
             F.sum(F.abs("quantity")).alias("quantity"),
-            F.min("asset_class").alias("asset_class"),
-            F.min("strike").alias("strike"),
-            F.min("right").alias("right"),
+            # Class, strike and right of one row: the earliest contract of the symbol.
+            F.min_by(F.struct("asset_class", "strike", "right"), F.struct("asset_class", "expiry", "strike", "right")).alias("contract"),
         )
+        .select(*keys, "market_value", "total_cost", "quantity", "contract.*")
         .withColumn(
             "breakeven",
             holding_breakeven(F.col("asset_class"), F.col("strike"), F.col("total_cost"), F.col("quantity"), F.col("right")),
         )
     )
-    return share_of_total(grouped, "market_value", "pct_of_account", scope)
+    shares = share_of_total(grouped, "market_value", "pct_of_account", scope)
+    return shares.withColumn("pct_of_account", F.coalesce("pct_of_account", F.lit(0.0)))
 
 
 def headline_totals(positions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:

@@ -74,8 +74,3 @@ def upsert_counts(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
 def delete_keys(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target without the rows whose key appears in ``doomed``."""
     return null_safe_join(target, doomed.select(*keys).distinct(), keys, "left_anti")
-
-
-def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Source rows whose key is absent from the target."""
-    return null_safe_join(source, target.select(*keys).distinct(), keys, "left_anti")

@@ -182,3 +182,12 @@ def test_years_come_from_the_trades(spark, tmp_path):
     totals = {r.preset: r.trades for r in T.totals_by_preset(V.trades(spark, where), V.AS_OF).collect()}
     assert totals["All"] == lines.count()
     assert V.trades(spark, where).join(V.statements(spark, where), F.col("statement_id") == F.col("id"), "left_anti").count() == 0
+
+
+def test_bars_and_statement_rows_from_files(spark, tmp_path):
+    (tmp_path / "bars.csv").write_text("symbol,price_date,open,high,low,close,adj_close,volume\n aapl ,2024-01-02,1,2,0.5,1.5,1.5,10\n,2024-01-02,1,1,1,1,1,1\nBAD,nope,x,1,1,-1,1,1\n")
+    bars = landed.read_bars(spark, str(tmp_path / "bars.csv"))
+    assert [(r.symbol, float(r.close), r.volume) for r in Q.accept(bars, Q.price_rules()).collect()] == [("AAPL", 1.5, 10)]
+    assert {v for r in Q.quarantine(bars, Q.price_rules()).collect() for v in r.violations} >= {"symbol", "price_date", "open", "close"}
+    (tmp_path / "rows.json").write_text(json.dumps({"file_id": "f", "page": 1, "table_no": 0, "row_no": 0, "cells": ["a", None]}) + "\n")
+    assert landed.read_statement_rows(spark, str(tmp_path / "rows.json")).first().cells == ["a", ""]
