@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: a word is a maximal run of characters other than these six.
@@ -21,6 +21,11 @@ def texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row: a lambda over a one-element array binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text of a batch; null becomes empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

@@ -20,6 +20,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import let
 from folioforge.operators.lineage import written_once
 
 # The kinds in their order, and their expressions. Matching may begin only where a run begins or the last
@@ -42,11 +43,6 @@ MIN_IDENTIFIER_DIGITS = 6
 _BLOCK = 256
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: a lambda over a one-element array binds it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _running(lengths: Column) -> Column:
     """Prefix sums of an array, in blocks so that the work stays near linear."""
     def extend(acc: Column, x: Column) -> Column:
@@ -62,7 +58,7 @@ def _running(lengths: Column) -> Column:
         return F.flatten(F.zip_with(parts, bases, lambda part, base: F.slice(
             F.aggregate(part, F.array(base), extend), F.lit(2), F.size(part))))
 
-    return _let(lengths, lambda values: _let(blocks(values), summed))
+    return let(lengths, lambda values: let(blocks(values), summed))
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -82,7 +78,7 @@ def _valid(kind: str, match: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.length(mirrored)), F.lit(0), add) % 10 == 0
 
-    return F.when(F.length(match) < 14, False).when(F.length(digits).between(14, 19), _let(F.reverse(digits), luhn)).otherwise(False)
+    return F.when(F.length(match) < 14, False).when(F.length(digits).between(14, 19), let(F.reverse(digits), luhn)).otherwise(False)
 
 
 def _may_hold(kind: str, text: Column) -> Column:
