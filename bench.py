@@ -20,7 +20,7 @@ HEADLINE = [
     "trade_totals", "pnl_by_symbol", "win_loss_stats", "cumulative_pnl", "trade_dedup", "duplicate_counts",
     "latest_positions", "holdings_consolidated", "reconcile_summary", "tech_ranking", "indicator_series",
     "beta_by_symbol", "option_adjusted_beta", "ttm_series", "splits", "ratio_history", "fundamental_score",
-    "facts_to_metrics",
+    "facts_to_metrics", "trade_ledger", "parsed_trades", "valuation_snapshot", "stored_statement_load",
 ]
 
 

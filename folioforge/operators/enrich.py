@@ -12,7 +12,6 @@ from folioforge.functions.instruments import (
     option_delta, underlying,
 )
 from folioforge.functions.numeric import as_double, drop_zero, safe_div
-from folioforge.functions.scores import SIGNALS
 from folioforge.operators.beta import betas, dollar_betas
 from folioforge.operators.fundamentals import latest_metrics
 from folioforge.operators.holdings import value_by_underlying
