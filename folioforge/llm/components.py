@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.lineage import fresh_path, remove, written_to
+from folioforge.operators.lineage import fresh_path, remove, written_once, written_to
 
 
 def _state(links: DataFrame) -> tuple:
@@ -19,7 +19,8 @@ def _state(links: DataFrame) -> tuple:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b"), F.col("a"))).toDF("a", "b")
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    # Written first, so that the links of one node with very many can be split over tasks in the join.
+    least = written_once(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")))
     return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 

@@ -143,7 +143,8 @@ def _named(members: DataFrame, dense: int) -> DataFrame:
     joined = classes.join(rooted, "fp")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     linked = joined.join(least, "root").select("fp", "least")
-    whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    # Written before rows are joined to it: the rows are then dealt out by themselves, and frequent fingerprints can be split.
+    whole = written_once(classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")))
     return whole.select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.fp").alias("component_fp"))
 
 
