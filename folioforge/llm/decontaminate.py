@@ -148,9 +148,10 @@ def hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document: doc_id, item_ids (ascending), n_items, start and similarity of the best overlap."""
-    found = hits(documents, benchmark).groupBy("text_key").agg(
+    # Written before rows are joined to it, so that the rows of a text with very many copies can be split over tasks.
+    found = written_once(hits(documents, benchmark).groupBy("text_key").agg(
         F.sort_array(F.collect_set("item_id")).alias("item_ids"),
-        F.max(F.struct((F.col("matched") / F.col("length")).alias("similarity"), (-F.col("start")).alias("place"))).alias("best"))
+        F.max(F.struct((F.col("matched") / F.col("length")).alias("similarity"), (-F.col("start")).alias("place"))).alias("best")))
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
     return ids.join(found, "text_key").select(
         "doc_id", "item_ids", F.size("item_ids").cast("long").alias("n_items"), (-F.col("best.place")).cast("long").alias("start"),
@@ -159,5 +160,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without contamination, with all their columns."""
-    bad = hits(documents, benchmark, text_col).select("text_key").distinct()
+    bad = written_once(hits(documents, benchmark, text_col).select("text_key").distinct())
     return documents.join(bad, text_key(documents[text_col]) == bad["text_key"], "left_anti")

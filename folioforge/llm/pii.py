@@ -179,7 +179,8 @@ def detect(documents: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -
     spans = written_once(base_spans(documents, text_col))
     occurrences = written_once(_occurrences(spans))
     trusted, discovered = bootstrap(occurrences, rounds)
-    added = (
+    # Written before rows are joined to it, so that the rows of a text with very many copies can be split over tasks.
+    added = written_once(
         occurrences.where("kind IS NULL").join(trusted.select("pattern", "kind"), ["pattern"]).drop(occurrences["kind"])
         .join(discovered, ["instance", "kind"]).select("text_key", F.struct("start", "kind", "end").alias("span")).distinct()
         .groupBy("text_key").agg(F.array_sort(F.collect_list("span")).alias("added")))
