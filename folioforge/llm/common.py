@@ -26,9 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 of every text of a batch; null becomes empty."""
-    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
+def text_bytes(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """UTF-8 of every text of a batch, a few rows at a time; null becomes empty."""
+    for at in range(0, len(column), rows):
+        for value in column.slice(at, rows).cast(pa.binary()).to_pylist():
+            yield value or b""
 
 
 def each_batch(
@@ -43,6 +45,7 @@ def each_batch(
             columns = step(batch)
             arrays = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=t) for n, t in zip(names, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on and shares its executor's memory
 
     return df.mapInArrow(run, schema)
 
