@@ -99,7 +99,7 @@ def _keys(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _index(documents: DataFrame, window: int) -> DataFrame:
     """One row per block: seed, block, k1, k2, place (first window x 2**20 + number of windows)."""
     def step(batch: pa.RecordBatch) -> dict[str, object]:
-        values = text_bytes(batch.column("text"))
+        values = list(text_bytes(batch.column("text")))
         found = [blocks(v.split(), window) for v in values]
         k1, k2 = _keys(values)
         counts = [len(f[0]) for f in found]
@@ -116,7 +116,7 @@ def _compressed(documents: DataFrame) -> DataFrame:
     """doc_id, content key and the compressed text, which is what moves when texts have to."""
     def step(batch: pa.RecordBatch) -> dict[str, object]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        values = text_bytes(batch.column("text"))
+        values = list(text_bytes(batch.column("text")))
         k1, k2 = _keys(values)
         return {"doc_id": batch.column("doc_id"), "k1": k1, "k2": k2, "body": [squeeze.compress(v) for v in values]}
 
@@ -155,7 +155,8 @@ def factors(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     path = fresh_path(spark, "blocks")
     index = written_to(_index(documents, window), path)
 
-    shared = (
+    # Written before it is joined: each side of the join is then dealt out by itself, and frequent anchors can be split.
+    shared = written_once(
         index.groupBy("seed").agg(F.count("*").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"))
         .where("n > 1").select("seed", (F.col("least") == F.col("most")).alias("alike")))
     met_path = fresh_path(spark, "met")
@@ -169,10 +170,11 @@ def factors(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         met.where("NOT alike").join(mixed.where("n > 1").select("seed", "block"), ["seed", "block"]).select("k1", "k2", "place"))
 
     places = F.collect_list(F.struct(F.col("one.place").alias("place"), (F.col("n") > 1).alias("known")))
-    asked = mixed.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(places.alias("places"))
+    asked = written_once(mixed.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(places.alias("places")))
     single = written_once(_windows(_compressed(documents).join(asked, ["k1", "k2"]), window))
     twice = single.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("known").alias("all_known")).where("n > 1 AND NOT all_known")
-    boundary = single.where("NOT known").join(twice.select("h1", "h2"), ["h1", "h2"]).select("k1", "k2", (F.col("start") * (1 << 20) + 1).alias("place"))
+    twice = written_once(twice.select("h1", "h2"))
+    boundary = single.where("NOT known").join(twice, ["h1", "h2"]).select("k1", "k2", (F.col("start") * (1 << 20) + 1).alias("place"))
 
     # Copies of a text have the same factors: they are told once.
     result = whole.union(boundary).distinct().groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
