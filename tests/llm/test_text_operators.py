@@ -1,6 +1,7 @@
 """Quality rules, SimHash, decontamination, personal data, substring dedup and toxicity against brute force."""
 
 import hashlib
+import base64
 import random
 import re
 from collections import Counter, defaultdict
@@ -64,6 +65,32 @@ def test_quality(spark):
     assert quality.assess(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_quality_limits_come_from_the_corpus(spark):
+    rng = random.Random(12)
+    letters = "eeeeeetttttaaaaoooiiinnnsssrrrhhllddcummfpgwybvk"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(20_000)]
+    weights = [1 / (k + 3) for k in range(20_000)]
+
+    def sentences(n):
+        words = rng.choices(vocabulary, weights, k=n)
+        return " ".join(w.capitalize() if k % 12 == 0 else w + "." * (k % 12 == 11) for k, w in enumerate(words))
+    lengths = (600, 1200, 2400)
+    clean = [sentences(rng.randint(300, 3500)) for _ in range(500)]
+    junk = [text for n in lengths for text in (
+        " ".join(w + rng.choice(["%%%", "&&&", "$$$", "###"]) for w in sentences(n).split(" ")),
+        " ".join(f"http://www.{rng.choice(vocabulary)}.example.com/{rng.choice(vocabulary)}.html" for _ in range(n)),
+        " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(n)))]
+    rows = [*enumerate(clean), *((1000 + k, t) for k, t in enumerate(junk))]
+    # Copies and near copies of one text are no reason to reject the others.
+    rows += [(2000 + k, clean[0]) for k in range(400)] + [(3000 + k, f"{clean[1]} {vocabulary[k]}") for k in range(60)]
+    got = {r.doc_id: r for r in quality.assess(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [k for k in range(1000, 1000 + len(junk)) if got[k].kept] == []
+    assert sum(not got[k].kept for k in range(len(clean))) <= len(clean) // 50
+    assert all(got[k].kept for k in got if k >= 2000)
+    assert sorted(r.doc_id for r in quality.accepted(frame(spark, rows)).select("doc_id").collect()) == sorted(k for k in got if got[k].kept)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("ab"), max_size=14))
 def test_repeated_words(words):
