@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioforge.llm import components, decontaminate, pii, quality, rlz, simhash, toxicity
+from folioforge.llm import components, decontaminate, pii, quality, rlz, similar, simhash, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -177,6 +177,32 @@ def test_clusters_and_representatives(spark):
     assert simhash.clusters(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_by_similarity(spark):
+    rng = random.Random(13)
+    rows, k = [(i, prose(rng, 230)) for i in range(40)], 1000
+    near = {}
+    for i in range(30):
+        words = rows[i][1].split(" ")
+        for at in range(20, 230, 60):
+            words[at] = f"new{i}x{at}"
+        rows.append((k + i, " ".join(words)))
+        near[k + i] = i
+    # Ten replaced words of 230 leave a similarity of about 0.64.
+    far = rows[35][1].split(" ")
+    for at in range(10, 230, 22):
+        far[at] = "other"
+    rows += [(2000, " ".join(far)), (2001, rows[36][1].upper()), (2002, None), (2003, " "), (2004, "one two"), (None, "three four")]
+    # A dense group in which every text is a copy with one word changed.
+    base = prose(rng, 200).split(" ")
+    rows += [(3000 + i, " ".join([*base[:i], f"q{i}", *base[i + 1:]])) for i in range(150)]
+    want = [-1, *range(40), 2000, 2002, 2004, 3000]
+    for dense in (similar.DENSE, 3):
+        kept = similar.representatives(frame(spark, rows), dense=dense)
+        assert kept.columns == frame(spark, rows).columns
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == want
+    assert similar.representatives(frame(spark, rows).limit(0)).count() == 0
+
+
 # decontamination -----------------------------------------------------------------------------------------
 
 def test_decontamination(spark):
