@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from folioforge.llm import registry, tokens
+from folioforge.llm import packing, registry, tokens
 from folioforge.operators.lineage import written_once
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,19 @@ def test_entry_points_keep_their_columns(spark):
     for name, columns in fixed.items():
         out = contract.queries()[name](spark, SF)
         assert columns <= set(out.columns) and out.where(F.lit(True)).count() > 0
+
+
+def test_pipeline_returns_training_sequences(spark, tmp_path):
+    item, rows = corpus()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    out = written_once(corpus_pipeline.run(spark, str(tmp_path)))
+    sequences = {r.sequence_id: r.ids for r in packing.sequences(out).collect()}
+    pieces = out.collect()
+    assert {r.sequence_id for r in pieces} == set(sequences) and sum(r.length for r in pieces) == sum(map(len, sequences.values()))
+    for r in pieces:
+        assert zlib.crc32(np.array(sequences[r.sequence_id][r.offset:r.offset + r.length], "<u4").tobytes()) == r.ids_crc32
+    text = next(t for d, t in rows if d == 50).replace("me.you@mail.example.com", "[EMAIL]")
+    want = [*Tokenizer.from_file(tokens.WORD_BPE).encode(text, add_special_tokens=False).ids, 1]
+    assert [list(r.ids) for r in pieces if r.doc_id == 50] == [want]
