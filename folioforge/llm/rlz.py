@@ -1,14 +1,14 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by anchor blocks and window hashes, in place of a relative Lempel-Ziv parse.
 
-Every document is both parsed and part of the reference. The reference is cut into blocks at anchors: in each window
-of ``WINDOW`` words the smallest hash of ``ANCHOR`` consecutive words is its anchor, equal windows have equal anchors,
-and the windows with one anchor occurrence form a block. Blocks of all documents are indexed by their anchor.
+The texts of all documents are cut into blocks at anchors: in each window of ``WINDOW`` words the smallest hash of
+``ANCHOR`` consecutive words is its anchor, equal windows have equal anchors, and the windows with one anchor
+occurrence form a block. Blocks of all documents are indexed by their anchor.
 
-Parsing is greedy and starts with whole blocks: a block that occurs elsewhere is a long factor as it stands. Where an
-anchor occurs elsewhere but the block does not, a factor begins or ends inside it; at such boundaries the single windows
-are looked up among the windows of all other blocks with that anchor. Adjoining factors are joined, and what they cover
-is duplicate. The result is exactly the set of words under windows that occur twice or more, because two equal windows
-always share their anchor. Equality is equality of 128 hash bits.
+Nothing is parsed into (position, length) factors. Whole blocks are compared by their hashes; where an anchor occurs
+elsewhere but the block does not, the hashes of its single windows are looked up among the windows of all other blocks
+with that anchor. Adjoining hits are joined, and what they cover is duplicate. The result is exactly the set of words
+under windows that occur twice or more, because two equal windows always share their anchor. Equality is equality of
+128 hash bits. A greedy parse would need the reference's text next to every document; joins of hashes need neither.
 
 Anchors take about two in 27 word positions, so the index is a small part of the text; anchors that occur once never
 meet anything. Counts are aggregated before they move, and frequent anchors or texts are only joined, never collected.
