@@ -53,5 +53,5 @@ def each_batch(
 def _arrow_types(schema: str) -> list[pa.DataType]:
     simple = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
               "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
-              "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+              "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary())}
     return [simple[part.strip().split(" ")[1]] for part in schema.split(",")]

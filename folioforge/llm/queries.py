@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import chat, decontaminate, packing, pii, quality, rlz, simhash, tokenfile, toxicity, warc
+from folioforge.llm import chat, decontaminate, fim, packing, periods, pii, quality, ranker, rlz, simhash, tokenfile, toxicity, warc
 from folioforge.llm.common import table
 from folioforge.operators.lineage import fresh_path
 
@@ -58,3 +58,15 @@ def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.deduplicated(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op11_counted_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.examples(table(spark, sf_dir, "documents")))
+
+
+def op12_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranker.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_seeded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.detect(periods.planted(table(spark, sf_dir, "documents"))))
