@@ -12,12 +12,25 @@ from pyspark.sql import functions as F
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+# Bytes of an Arrow batch, unless the session has its own limit: Spark's 64 MB, held twice over on either side, is a
+# large part of what an executor of a few GB has beside its heap.
+BATCH_BYTES = 8_000_000
+_BATCH_LIMIT, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 * 2**20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session to BATCH_BYTES where it has Spark's default."""
+    if spark.conf.get(_BATCH_LIMIT, f"{_SPARK_DEFAULT}b").lower() in (f"{_SPARK_DEFAULT}b", str(_SPARK_DEFAULT), "64m", "64mb"):
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; other columns cannot clash with an operator's own."""
+    small_batches(documents.sparkSession)
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -47,6 +60,7 @@ def each_batch(
             yield pa.RecordBatch.from_arrays(arrays, names=names)
         pa.default_memory_pool().release_unused()  # the worker lives on and shares its executor's memory
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import texts
-from folioforge.llm.tokens import WORD_BPE, encoder
+from folioforge.llm.tokens import CACHE_ENTRIES, WORD_BPE, encoder
 from folioforge.operators.lineage import written_once
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
@@ -148,7 +148,8 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], in
     return chosen + best_fit({n: c for n, c in left.items() if c}, size)
 
 
-def pieces(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pieces(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, end_id: int = 1, with_ids: bool = False,
+           cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Every document as pieces of at most ``size`` ids; a piece also knows its rank among its task's equal lengths."""
     end = np.array([end_id], "<u4").tobytes()
     schema = _PIECES + ", ids array<int>" * with_ids
@@ -157,7 +158,7 @@ def pieces(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, en
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            encoded = encoder(tokenizer).stream(batch.column("text"))
+            encoded = encoder(tokenizer, cache_entries).stream(batch.column("text"))
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 raw = ids + end
@@ -214,9 +215,10 @@ def pack(cut: DataFrame, size: int = 4096) -> DataFrame:
         *[c for c in cut.columns if c not in ("part", "local_rank")], "at.sequence_id", "at.offset")
 
 
-def packed(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def packed(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, end_id: int = 1, with_ids: bool = False,
+           cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Cut, write the pieces once, and pack them: one row per piece."""
-    return pack(written_once(pieces(documents, size, tokenizer, end_id, with_ids)), size)
+    return pack(written_once(pieces(documents, size, tokenizer, end_id, with_ids, cache_entries)), size)
 
 
 def sequences(packed_pieces: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import text_bytes, texts
+from folioforge.llm.common import small_batches, text_bytes, texts
 
 
 @dataclass(frozen=True)
@@ -235,5 +235,6 @@ def assess(documents: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 def accepted(documents: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
     """The documents that pass, with all their columns."""
+    small_batches(documents.sparkSession)
     text = documents[text_col].cast("string")
     return documents.where(verdict(text, bands, learned_limits(documents.select(text.alias("text")), bands))["kept"])

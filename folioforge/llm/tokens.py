@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and never merges across it, nor across the borders of its own pre-tokens (runs of
 letters, single digits, runs of other signs). So the ids of a text are the ids of its words in order, and those of a plain word the ids of its pre-tokens. Each worker keeps the ids of words and pre-tokens it
-has seen, up to ``CACHE_WORDS`` and ``CACHE_PARTS``; the caches only save work and never change a result. Words with
+has seen, up to a number of entries and of bytes; the caches only save work and never change a result. Words with
 anything but printable ASCII and common Latin letters are given to the tokenizer as they are.
 """
 
@@ -20,8 +20,9 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-CACHE_WORDS = 400_000
-CACHE_PARTS = 500_000
+CACHE_ENTRIES = 450_000
+# Bytes of words and ids that a cache holds per entry on average at most; long words fill it sooner.
+_ENTRY_BYTES = 96
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 # The tokenizer's pre-token pattern, restricted to the letters that _PLAIN lets through, and its word end.
@@ -30,10 +31,14 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-
 _WORD_END = "</w>"
 
 
+def _bytes(entries: dict[str, bytes]) -> int:
+    return sum(map(len, entries)) + sum(map(len, entries.values()))
+
+
 class WordEncoder:
     """Encodes whole texts; ids come as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         import numpy as np
         from tokenizers import Tokenizer
 
@@ -45,6 +50,7 @@ class WordEncoder:
         self._closes[[k for token, k in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self._words: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
+        self._most, self._word_bytes, self._part_bytes = cache_entries, 0, 0
 
     def _encode_direct(self, text: str) -> bytes:
         return self._np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -87,23 +93,30 @@ class WordEncoder:
             fresh |= {p: known[p] for p in needed if p in known}
             for word, parts in waiting.items():
                 learned[word] = b"".join([fresh[p] for p in parts])
-            if len(known) + len(fresh) > CACHE_PARTS:
+            size = _bytes(fresh)
+            if len(known) + len(fresh) > self._most or self._part_bytes + size > self._most * _ENTRY_BYTES:
                 known.clear()
-            if len(fresh) <= CACHE_PARTS:
+                self._part_bytes = 0
+            if len(fresh) <= self._most and size <= self._most * _ENTRY_BYTES:
                 known.update(fresh)
+                self._part_bytes += size
         return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         cache = self._words
         missing = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(missing) > CACHE_WORDS:
+        if len(cache) + len(missing) > self._most or self._word_bytes > self._most * _ENTRY_BYTES // 2:
             cache.clear()
+            self._word_bytes = 0
             missing = list({w for words in split for w in words})
         learned = self._learn_words(missing) if missing else {}
-        if len(learned) > CACHE_WORDS:
-            return [b"".join([learned[w] for w in words]) for words in split]
-        cache.update(learned)
+        size = _bytes(learned)
+        if len(learned) > self._most or size > self._most * _ENTRY_BYTES // 2:
+            cache = cache | learned
+        else:
+            cache.update(learned)
+            self._word_bytes += size
         return [b"".join([cache[w] for w in words]) for words in split]
 
     def stream(self, column: pa.Array, rows: int = 256) -> Iterator[bytes]:
@@ -113,6 +126,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
-    return WordEncoder(path)
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> WordEncoder:
+    """One encoder per worker process, file and cache size."""
+    return WordEncoder(path, cache_entries)

@@ -203,6 +203,69 @@ def test_near_duplicates_by_similarity(spark):
     assert similar.representatives(frame(spark, rows).limit(0)).count() == 0
 
 
+def groups_by_hand(rows):
+    """The smallest id of each group of five-word similarity 0.8, from all pairs that share a shingle set of the right size."""
+    sets = {}
+    for d, text in rows:
+        words = text.lower().split()
+        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return sorted({top(d) for d in ids}), sum(d != top(d) for d in ids)
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Texts that share a passage fill the buckets: 250 pairs of 0.84 among others of 0.7 to 0.79, and chains around a dense group."""
+    rng = random.Random(17)
+    passage = prose(rng, 100).split(" ")
+    rows = []
+    for k in range(250):
+        tail = prose(rng, 20, 10**6).split(" ")
+        rows += [(2 * k, " ".join(passage + tail)), (2 * k + 1, " ".join(passage + tail[:9] + prose(rng, 9, 10**6).split(" ")))]
+    rows += [(600 + k, " ".join(passage + prose(rng, rng.randrange(8, 22), 10**6).split(" "))) for k in range(100)]
+    base = prose(rng, 200).split(" ")
+    for k in range(60):  # each further text moves on by a few words from the one before: neighbours are similar, the ends are not
+        rows.append((1000 + k, " ".join(base[k * 2:] + prose(random.Random(18), 2 * k, 10**6).split(" ")[:2 * k])))
+    rows += [(2000 + k, " ".join([*base[:k], f"q{k}", *base[k + 1:]])) for k in range(100)]
+    want, lost = groups_by_hand(rows)
+    assert lost > 300 and len(want) > 200
+    for dense in (2, similar.DENSE):
+        kept = similar.representatives(spark.createDataFrame(rows, "doc_id long, text string"), dense=dense)
+        assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_crowded_links_by_brute_force(spark):
+    """Without any bucket: the exact search alone joins what all pairs join."""
+    rng = random.Random(19)
+    sets = []
+    for k in range(400):
+        base = sets[rng.randrange(len(sets))] if sets and rng.random() < 0.7 else [rng.randrange(300) for _ in range(rng.randrange(1, 40))]
+        sets.append(sorted({v if rng.random() > 0.08 else rng.randrange(300) for v in base} | {rng.randrange(300)}))
+    df = spark.createDataFrame(list(enumerate(sets)), "key long, s array<long>")
+    joined = spark.createDataFrame([], "node long, root long")
+    found = {(r.a, r.b) for r in similar.crowded_links(df, joined).collect()}
+    want = set()
+    for a in range(400):
+        for b in range(a + 1, 400):
+            common = len(set(sets[a]) & set(sets[b]))
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                want.add((a, b))
+    assert found == want and len(want) > 100
+    known = spark.createDataFrame([(b, a) for a, b in sorted(want)[:1]] + [(a, a) for a, b in sorted(want)[:1]], "node long, root long")
+    assert {(r.a, r.b) for r in similar.crowded_links(df, known).collect()} == want - {sorted(want)[0]}
+
+
 # decontamination -----------------------------------------------------------------------------------------
 
 def test_decontamination(spark):
