@@ -1,8 +1,10 @@
 """Ordered computations that survive a hot key, and global ones that avoid a single-task window.
 
 A plain window sends all rows of a key to one task. The two-level forms below first reduce each
-block of a key (a day, a page) with an ordinary aggregation, scan the few block results, and
-finish inside each block, so the largest unit of work is one block.
+block of a key (a day) with an ordinary aggregation, scan the few block results, and
+finish inside each block, so the largest unit of work is one block. Where the data has no block of
+bounded size, :func:`in_segments` cuts the ordered rows into some and :func:`segment_scan` scans them in
+three levels.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.operators.keyed import null_safe_join
+from folioforge.operators.lineage import written_once
+
+SEGMENT_ROWS = 20_000
 
 
 def running_total(
@@ -76,6 +81,58 @@ def carry_forward(
     )
 
 
+def in_segments(df: DataFrame, order: Sequence[str], rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The rows in segments of at most ``rows`` neighbours in ``order``, as columns ``part`` and ``seg``.
+
+    Rows are dealt out by ranges of the order, sorted within their partition and counted there, so a segment is bounded
+    whatever the keys look like: a hot key simply has many of them. ``part`` numbers the ranges, ``seg`` the segments of one range.
+    The result is written once, because the numbers must not be drawn again.
+    """
+    place = F.col("__place")
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    return written_once(ordered.withColumns({
+        "part": F.shiftright(place, 33).cast("int"), "seg": F.floor(F.pmod(place, F.lit(1 << 33)) / rows).cast("int"),
+    }).drop("__place"))
+
+
+def segment_scan(
+    df: DataFrame, keys: Sequence[str], order: str, last: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Running state per key over rows placed by :func:`in_segments` (or summaries that kept their ``part`` and ``seg``).
+
+    ``last`` names expressions whose last non-null value up to the row is wanted, ``sums`` running sums, the row
+    included. A segment's state is summarised, the summaries are combined over the segments of a range, those of the
+    ranges over the key ("last set wins", sums add up), and rows are finished inside their segment. No window holds more
+    than a segment's rows, a range's segments or the ranges of a key. Keys must not be null.
+    """
+    last, sums = last or {}, sums or {}
+    c = F.col
+    whole, ranges = [*keys, "part", "seg"], [*keys, "part"]
+    staged = df.withColumns({f"__set_{n}": e for n, e in last.items()} | {f"__add_{n}": e for n, e in sums.items()})
+
+    def newest(prefix: str, by: str) -> list[Column]:
+        return [F.max_by(f"{prefix}{n}", F.when(c(f"{prefix}{n}").isNotNull(), c(by))).alias(f"__last_{n}") for n in last]
+
+    def earlier(partition: Sequence[str], by: str, tag: str) -> dict[str, Column]:
+        before = Window.partitionBy(*partition).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return {f"__{tag}_{n}": F.last(f"__last_{n}", ignorenulls=True).over(before) for n in last} | {
+            f"__{tag}_{n}": F.sum(f"__sum_{n}").over(before) for n in sums}
+
+    by_segment = staged.groupBy(*whole).agg(*newest("__set_", order), *[F.sum(f"__add_{n}").alias(f"__sum_{n}") for n in sums])
+    by_range = by_segment.groupBy(*ranges).agg(*newest("__last_", "seg"), *[F.sum(f"__sum_{n}").alias(f"__sum_{n}") for n in sums])
+    outer = by_range.withColumns(earlier(keys, "part", "outer")).select(*ranges, *[f"__outer_{n}" for n in [*last, *sums]])
+    carried = by_segment.withColumns(earlier(ranges, "seg", "inner")).join(outer, ranges).select(
+        *whole, *[F.coalesce(f"__inner_{n}", f"__outer_{n}").alias(f"__before_{n}") for n in last],
+        *[(F.coalesce(f"__inner_{n}", F.lit(0)) + F.coalesce(f"__outer_{n}", F.lit(0))).alias(f"__before_{n}") for n in sums])
+    inside = Window.partitionBy(*whole).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        staged.join(carried, whole)
+        .withColumns({n: F.coalesce(F.last(f"__set_{n}", ignorenulls=True).over(inside), c(f"__before_{n}")) for n in last} | {
+            n: F.sum(f"__add_{n}").over(inside) + c(f"__before_{n}") for n in sums})
+        .drop(*[f"__set_{n}" for n in last], *[f"__add_{n}" for n in sums], *[f"__before_{n}" for n in [*last, *sums]])
+    )
+
+
 def exponential_average(
     df: DataFrame, key: str, order: str, value: str, span: int, alias: str, position: str
 ) -> DataFrame:

@@ -1,8 +1,9 @@
 """Landed statement rows -> statements, positions and trades, for many files in one job.
 
-Rows are (file_id, page, table_no, row_no, cells). The row-by-row reading state (section, asset
-class, currency, column header) is "last value set before this row", computed page-wise in two
-levels, so one huge file is spread over its pages.
+Rows are (file_id, page, table_no, row_no, cells); a row belongs to a file, so file_id is not null. The row-by-row reading
+state (account, section, asset class, currency, column header, row number) is "last value set before this row" or a count up to
+it. All of it comes from one scan over segments of a bounded number of rows (:func:`classify_rows`), so a file is spread
+over its rows even if a single page or table holds most of them; extractions only filter and project.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import option_terms, to_decimal, to_period_date, to_trade_time
-from folioforge.operators.scans import carry_forward, running_total
+from folioforge.operators.scans import SEGMENT_ROWS, in_segments, segment_scan
 
 # Vocabulary of the statement layout.
 ASSET_LABELS = {"Stocks": "STK", "Equity and Index Options": "OPT", "ETFs": "ETF"}
@@ -59,6 +60,15 @@ def _match(first: Column, names: list[str], min_prefix: int) -> Column:
     return F.when(first.isin(names), first).when(F.length(first) >= min_prefix, starts)
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with further columns that are computed once per row.
+
+    Filters on them are not pushed below, where their expressions would be evaluated again.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select(*[c for c in rows.columns if c not in columns], made)
+
+
 def section_name(cells: str = "cells") -> Column:
     return F.when(_alone(cells), _match(_first(cells), SECTIONS, _MIN_SECTION_PREFIX))
 
@@ -75,69 +85,84 @@ def _asset_class(label: Column) -> Column:
     return out
 
 
-def merge_fragments(rows: DataFrame) -> DataFrame:
-    """Append headerless table fragments to the preceding headed table of the file, and number accounts.
+def _tables(placed: DataFrame) -> DataFrame:
+    """One row per table: whether it starts a section of its own, the width that its rows take, and the file's markers.
 
-    Fragment rows take the width of that table (padded or cut) and lose repeated page headers. The
-    scan over a file runs on one row per table; ``account_seq`` counts the account markers so far,
-    those of earlier tables plus those inside the own table.
+    A headless fragment takes the width of the headed table before it; the first table of a file counts as headed.
+    """
+    headed = _first("head").isin(HEADER_WORDS) | section_name("head").isNotNull() | asset_label("head").isNotNull()
+    tables = placed.groupBy("file_id", F.struct("page", "table_no").alias("table")).agg(
+        F.min_by("cells", "row_no").alias("head"), F.max(F.size("cells")).alias("width"), F.sum("marker").alias("markers"),
+        F.min(F.struct("part", "seg")).alias("at"),
+    ).withColumn("headed", F.coalesce(headed, F.lit(False)))
+    files = tables.groupBy("file_id").agg(
+        F.min("table").alias("first_table"), F.min_by("width", "table").alias("first_width"), F.sum("markers").alias("markers_in_file"))
+    scanned = segment_scan(
+        tables.select("file_id", "table", "headed", "width", "at.part", "at.seg"), ["file_id"], "table",
+        last={"target": F.when(F.col("headed"), F.col("width"))})
+    return scanned.join(files, "file_id").select(
+        "file_id", "table.page", "table.table_no", (F.col("headed") | (F.col("table") == F.col("first_table"))).alias("starts"),
+        F.coalesce("target", "first_width").alias("target"), "markers_in_file")
+
+
+def merge_fragments(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Rows in segments, headerless table fragments fitted to the preceding headed table of the file.
+
+    Fragment rows take the width of that table (padded or cut) and lose repeated page headers; ``marker`` is 1 where an
+    account starts.
     """
     clean = rows.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit("")))).withColumn(
         "marker", (_first() == "Account Information").cast("long")
     )
-    headed = _first("head").isin(HEADER_WORDS) | section_name("head").isNotNull() | asset_label("head").isNotNull()
-    order = Window.partitionBy("file_id").orderBy("page", "table_no")
-    so_far, earlier = (order.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
-    whole_file = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tables = (
-        clean.groupBy("file_id", "page", "table_no")
-        .agg(F.min_by("cells", "row_no").alias("head"), F.max(F.size("cells")).alias("width"), F.sum("marker").alias("markers"))
-        .withColumn("starts", F.coalesce(headed, F.lit(False)) | (F.row_number().over(order) == 1))
-        .withColumns({
-            "target": F.last(F.when(F.col("starts"), F.col("width")), ignorenulls=True).over(so_far),
-            "markers_before": F.coalesce(F.sum("markers").over(earlier), F.lit(0)),
-            "markers_in_file": F.sum("markers").over(whole_file),
-        })
-        .select("file_id", "page", "table_no", "starts", "target", "markers_before", "markers_in_file")
-    )
+    placed = in_segments(clean, ["file_id", *_PLACE], segment_rows)
     cells, target = F.col("cells"), F.col("target")
     fitted = F.when(F.size("cells") < target, F.concat("cells", F.array_repeat(F.lit(""), target - F.size("cells")))).when(
         (F.size("cells") > target) & (target > 0), F.slice("cells", F.lit(1), target)).otherwise(cells)
-    inside = Window.partitionBy("file_id", "page", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        clean.join(tables, ["file_id", "page", "table_no"])
-        .withColumn("account_seq", F.col("markers_before") + F.sum("marker").over(inside))
+        placed.join(_tables(placed), ["file_id", "page", "table_no"])
         .where(F.col("starts") | ~((_first() == "Open Positions") & _alone()))
         .withColumn("cells", F.when(F.col("starts"), cells).otherwise(fitted))
-        # Rows before the first marker belong to no account, unless the file has no marker at all.
-        .where((F.col("account_seq") > 0) | (F.col("markers_in_file") == 0))
-        .select("file_id", "account_seq", *_PLACE, "cells")
+        .select("file_id", "part", "seg", "page", F.struct(*_PLACE).alias("pos"), "cells", "marker", "markers_in_file")
     )
 
 
-def classify_rows(rows: DataFrame) -> DataFrame:
-    """Rows of each account with their layout facts.
+def classify_rows(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Rows of each account with their layout facts and the reading state at each of them.
 
-    Output: file_id, account_seq, page, pos (sortable place), cells, first, section, label, kind.
-    Several extractions read it, so callers usually write it once.
+    Output: file_id, account_seq, row_num (within the account), pos (sortable place), cells, first, section, label, kind; the
+    state is ``current`` (section) and ``asset``, ``currency``, ``header``: what was set last in the account, as (at, value) with
+    ``at`` the place where it was set. Several extractions read it, so callers usually write it once.
     """
-    first = F.col("first")
+    first, pos = F.col("first"), F.col("pos")
     kind = (
         F.when(F.size("cells") == 0, "empty").when(F.col("section").isNotNull(), "section")
         .when(first.isin(HEADER_WORDS), "header").when(F.col("label").isNotNull(), "asset")
         .when(first.isin(CURRENCIES) & _alone(), "currency").when(first.startswith("Total"), "total").otherwise("data")
     )
-    return (
-        merge_fragments(rows)
-        .withColumns({"first": _first(), "section": section_name(), "label": asset_label()})
-        .select(*GROUP, "page", F.struct(*_PLACE).alias("pos"), "cells", "first", "section", "label", kind.alias("kind"))
+    named = computed(merge_fragments(rows, segment_rows), first=_first(), section=section_name(), label=asset_label())
+    facts = named.withColumn("kind", kind)
+    put = lambda cond, value: F.when(cond, F.struct(pos.alias("at"), value.alias("value")))
+    state = segment_scan(facts, ["file_id"], "pos", last={
+        "account_at": F.when(F.col("marker") == 1, pos),
+        "current": put(F.col("section").isNotNull(), F.col("section")),
+        "asset": put(F.col("kind") == "asset", _asset_class(F.col("label"))),
+        "currency": put(F.col("kind") == "currency", first),
+        "header": put(F.col("kind") == "header", F.transform("cells", lambda c: F.lower(F.trim(c)))),
+    }, sums={"account_seq": F.col("marker"), "rows_so_far": F.lit(1)})
+    # Rows before the first marker belong to no account, unless the file has no marker at all.
+    owned = state.where((F.col("account_seq") > 0) | (F.col("markers_in_file") == 0))
+    # Rows of an account are numbered from its marker on, or from the file's first row.
+    starts = state.where("marker = 1").select(*GROUP, F.col("rows_so_far").alias("__first"))
+    here = lambda name: F.when(F.col("account_at").isNull() | (F.col(name)["at"] >= F.col("account_at")), F.col(name)).alias(name)
+    return owned.join(starts, GROUP, "left").select(
+        *GROUP, (F.col("rows_so_far") - F.coalesce("__first", F.lit(1)) + 1).alias("row_num"), "pos", "cells", "first", "section", "label", "kind",
+        here("current")["value"].alias("current"), here("asset"), here("currency"), here("header"),
     )
 
 
 def statement_headers(classified: DataFrame) -> DataFrame:
     """Account, base currency and period of each account group; missing parts stay null."""
-    state = carry_forward(classified, GROUP, "page", "pos", {"current": F.col("section")})
-    body = state.where(F.col("section").isNull() & F.col("current").isin("Account Information", "Net Asset Value"))
+    body = classified.where(F.col("section").isNull() & F.col("current").isin("Account Information", "Net Asset Value"))
     cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
     info = (F.col("current") == "Account Information") & (F.size("cells") >= 2)
     prior, end = to_period_date(cell(0)), to_period_date(cell(2))
@@ -171,15 +196,15 @@ def _section_state(classified: DataFrame, name: str) -> DataFrame:
     inside = classified.join(_section_bounds(classified, name), GROUP).where(
         (F.col("pos") >= F.col("start_pos")) & (F.col("end_pos").isNull() | (F.col("pos") < F.col("end_pos")))
     )
-    state = carry_forward(inside, GROUP, "page", "pos", {
-        "asset_state": F.when(F.col("kind") == "asset", _asset_class(F.col("label"))),
-        "currency_state": F.when(F.col("kind") == "currency", F.col("first")),
-        "header": F.when(F.col("kind") == "header", F.transform("cells", lambda c: F.lower(F.trim(c)))),
-    })
-    return state.withColumns({
-        "asset_class": F.nullif(F.col("asset_state"), F.lit("")),
-        "currency": F.coalesce("currency_state", F.lit("USD")),
-    }).drop("asset_state", "currency_state")
+    return _since_start(inside).withColumn("currency", F.coalesce("currency", F.lit("USD")))
+
+
+def _since_start(rows: DataFrame) -> DataFrame:
+    """The state columns as plain values, null where they were set before the section started."""
+    value = lambda name: F.when(F.col(name)["at"] >= F.col("start_pos"), F.col(name)["value"])
+    return rows.withColumns({
+        "asset_class": F.nullif(value("asset"), F.lit("")), "currency": value("currency"), "header": value("header"),
+    }).drop("asset")
 
 
 def _field(names: list[str]) -> Column:
@@ -194,21 +219,24 @@ def _mapped(columns: dict[str, list[str]]) -> Column:
 
 
 def _data_rows(state: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """Data rows of a mapped table with the text of each field as ``in_<field>``; a symbol is needed."""
     rows = state.where((F.col("kind") == "data") & F.col("asset_class").isNotNull() & _mapped(columns))
-    return rows.withColumn("symbol", _field(columns["symbol"])).where(F.coalesce("symbol", F.lit("")) != "")
+    read = computed(rows, **{f"in_{name}": _field(names) for name, names in columns.items()})
+    return read.withColumnRenamed("in_symbol", "symbol").where(F.coalesce("symbol", F.lit("")) != "")
 
 
-def _with_terms(rows: DataFrame) -> DataFrame:
+def _typed(rows: DataFrame, numbers: list[str], **more: Column) -> DataFrame:
+    """Numbers, option terms and further columns from the field texts, each parsed once."""
     terms = F.when(F.col("asset_class") == "OPT", option_terms(F.col("symbol")))
-    return rows.withColumn("terms", terms).withColumns({t: F.col(f"terms.{t}") for t in ("expiry", "strike", "right")}).drop("terms")
+    parsed = computed(rows, **{f: to_decimal(F.col(f"in_{f}")) for f in numbers}, terms=terms, **more)
+    return parsed.withColumns({t: F.col(f"terms.{t}") for t in ("expiry", "strike", "right")}).drop("terms")
 
 
 def extract_positions(classified: DataFrame, headers: DataFrame) -> DataFrame:
     """Open positions of every account group, not yet validated (see the position rules)."""
-    rows = _data_rows(_section_state(classified, "Open Positions"), POSITION_COLUMNS)
-    numbers = {f: to_decimal(_field(POSITION_COLUMNS[f])) for f in
-               ("quantity", "cost_basis", "market_price", "market_value", "unrealized_pnl")}
-    return _with_terms(rows.withColumns(numbers)).join(headers, GROUP).select(
+    numbers = ["quantity", "cost_basis", "market_price", "market_value", "unrealized_pnl"]
+    rows = _typed(_data_rows(_section_state(classified, "Open Positions"), POSITION_COLUMNS), numbers)
+    return rows.join(headers, GROUP).select(
         *GROUP, "account_id", "symbol", "asset_class", *numbers, "currency",
         F.col("period_end").alias("statement_date"), "expiry", "strike", "right", "cells",
     )
@@ -216,15 +244,12 @@ def extract_positions(classified: DataFrame, headers: DataFrame) -> DataFrame:
 
 def extract_trades(classified: DataFrame, headers: DataFrame) -> DataFrame:
     """Trades of every account group: side from the sign, zero quantities dropped, not yet validated."""
+    numbers = ["price", "proceeds", "commission", "realized_pnl"]
     rows = _data_rows(_section_state(classified, "Trades"), TRADE_COLUMNS)
-    quantity = to_decimal(_field(TRADE_COLUMNS["quantity"]))
-    numbers = {f: to_decimal(_field(TRADE_COLUMNS[f])) for f in ("price", "proceeds", "commission", "realized_pnl")}
-    typed = (
-        rows.withColumns({"signed": quantity, "trade_date": to_trade_time(_field(TRADE_COLUMNS["trade_date"])), **numbers})
-        .where(F.col("signed") != 0)
-        .withColumns({"side": F.when(F.col("signed") > 0, "BOT").otherwise("SLD"), "quantity": F.abs("signed")})
-    )
-    return _with_terms(typed).join(headers, GROUP).select(
+    typed = _typed(rows, numbers, signed=to_decimal(F.col("in_quantity")), trade_date=to_trade_time(F.col("in_trade_date")))
+    sided = typed.where(F.col("signed") != 0).withColumns(
+        {"side": F.when(F.col("signed") > 0, "BOT").otherwise("SLD"), "quantity": F.abs("signed")})
+    return sided.join(headers, GROUP).select(
         *GROUP, "account_id", "trade_date", "symbol", "asset_class", "side", "quantity", *numbers,
         "currency", "expiry", "strike", "right", "cells",
     )
@@ -237,17 +262,12 @@ def diagnose(classified: DataFrame) -> DataFrame:
     total, parsed, error, skipped_no_asset_class, skipped_no_mapping, skipped_empty_symbol,
     outside_section.
     """
-    numbered = running_total(classified, GROUP, "page", [F.col("pos")], F.lit(1), "row_num")
     bounds = _section_bounds(classified, "Open Positions")
-    placed = numbered.join(bounds, GROUP, "left").where(
+    placed = classified.join(bounds, GROUP, "left").where(
         F.col("end_pos").isNull() | (F.col("pos") <= F.col("end_pos"))
     )
     before = F.col("start_pos").isNull() | (F.col("pos") < F.col("start_pos"))
-    inside_only = lambda kind, value: F.when(~before & (F.col("kind") == kind), value)
-    state = carry_forward(placed, GROUP, "page", "pos", {
-        "asset_state": inside_only("asset", _asset_class(F.col("label"))),
-        "header": inside_only("header", F.transform("cells", lambda c: F.lower(F.trim(c)))),
-    }).withColumn("asset_class", F.nullif(F.col("asset_state"), F.lit("")))
+    state = _since_start(placed)
     state = state.withColumn("symbol", F.coalesce(_field(POSITION_COLUMNS["symbol"]), F.lit("")))
     terms = option_terms(F.col("symbol"))
     complete = (F.col("asset_class") != "OPT") | (terms["expiry"].isNotNull() & terms["strike"].isNotNull())

@@ -42,6 +42,30 @@ def test_two_level_scans_match_brute_force_with_a_hot_key(spark):
     assert (got["state"].fillna("-") == want["state"].fillna("-")).all()
 
 
+def test_segment_scan_matches_brute_force_with_bounded_segments(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(2000):
+        key = "hot" if rng.random() < 0.8 else rng.choice("abc")
+        # Sparse numbers, so that only a rank can make segments of equal size.
+        rows.append((key, rng.randrange(1 << 62), rng.randrange(-9, 10), rng.choice([None, None, None, "u", "v", "w"]), rng.choice([None, None, [1, 2], [3]])))
+    df = spark.createDataFrame(rows, "k string, pos long, v int, s string, a array<int>").repartition(5)
+    placed = S.in_segments(df, ["k", "pos"], rows=30)
+    sizes = placed.groupBy("part", "seg").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 30 and sizes[1] >= 2000 / 30
+    got = S.segment_scan(placed, ["k"], "pos", last={"state": F.col("s"), "both": F.struct("pos", "a"), "array": F.col("a")}, sums={"total": F.col("v"), "n": F.lit(1)})
+    got = got.orderBy("k", "pos").toPandas()
+    pdf = pd.DataFrame(rows, columns=["k", "pos", "v", "s", "a"]).sort_values(["k", "pos"])
+    groups = pdf.groupby("k")
+    assert got["total"].astype(int).tolist() == groups["v"].cumsum().tolist() and got["n"].tolist() == (groups.cumcount() + 1).tolist()
+    assert got["state"].fillna("-").tolist() == groups["s"].ffill().fillna("-").tolist()
+    assert [list(a) if a is not None else None for a in got["array"]] == [a if isinstance(a, list) else None for a in groups["a"].ffill()]
+    assert [b["pos"] for b in got["both"]] == pdf["pos"].tolist()
+    # One segment for everything gives the same.
+    whole = S.segment_scan(S.in_segments(df, ["k", "pos"], rows=10**6), ["k"], "pos", sums={"total": F.col("v")}).orderBy("k", "pos").toPandas()
+    assert whole["total"].tolist() == got["total"].tolist()
+
+
 @pytest.mark.parametrize("span", [2, 9, 26])
 def test_exponential_average_matches_recursion(spark, span):
     rng = random.Random(5)

@@ -86,6 +86,47 @@ def test_row_diagnosis(spark):
     assert S.problem_context(got, 1, 0).count() == 4
 
 
+def huge_account(name, n):
+    """One page whose single table holds nearly all rows: positions of three classes, currencies that change, skipped labels."""
+    rows = [pad("Open Positions", 9), PH]
+    want, outside = [], 0
+    asset, currency = None, "USD"
+    for i in range(n):
+        if i % 701 == 0:
+            asset = (i // 701) % 4
+            rows.append(pad(["Stocks", "ETFs", "Bonds", "Equity and Index Opt"][asset], 9))
+        if i % 333 == 5:
+            currency = ["EUR", "SGD", "USD"][i // 333 % 3]
+            rows.append(pad(currency, 9))
+        symbol = f"S{i} 31MAR26 48 C" if asset == 3 else f"S{i}"
+        rows.append([symbol, f"{i + 1:,}", "1", "1", "2", "3", "4", "5", ""])
+        if asset == 2:
+            outside += 1
+        else:
+            want.append((name, symbol, ["STK", "ETF", "", "OPT"][asset], i + 1, currency))
+    return [[["Account Information", ""], ["Account", name], ["Base Currency", "SGD"]], [["Net Asset Value", "", ""], ["December 31, 2025", "", "March 6, 2026"]],
+            rows, [pad("Trades", 11), TH]], want, outside
+
+
+def test_one_page_may_hold_most_rows(spark):
+    big, want, outside = huge_account("U7", 3000)
+    small, more, _ = huge_account("U8", 40)
+    rows = land(spark, {"big": big + small, "other": account("U9")}).repartition(6)
+    segments = S.merge_fragments(rows, segment_rows=100).groupBy("part", "seg").count()
+    assert segments.agg(F.max("count")).first()[0] <= 100 and segments.count() >= 31
+    classified = S.classify_rows(rows, segment_rows=100)
+    headers = S.statement_headers(classified)
+    found = {(r.account_id, r.symbol, r.asset_class, int(r.quantity), r.currency) for r in S.extract_positions(classified, headers).where("account_id <> 'U9'").collect()}
+    assert found == set(want + more)
+    counts = {r.account_seq: r for r in S.diagnosis_counts(S.diagnose(classified)).where("file_id = 'big'").collect()}
+    assert (counts[1].parsed, counts[1].skipped, counts[1].outside) == (len(want), outside, 5)
+    assert counts[2].parsed == len(more)
+    # Row numbers start anew with each account and have no gaps.
+    numbers = classified.groupBy("file_id", "account_seq").agg(F.min("row_num"), F.max("row_num"), F.count_distinct("row_num"), F.count("*"))
+    assert all(r[2] == 1 and r[3] == r[4] == r[5] for r in numbers.collect())
+    assert S.classify_rows(rows.limit(0)).count() == 0
+
+
 def test_file_without_account_marker(spark):
     rows = land(spark, {"x": [[pad("Open Positions", 9), PH, pad("Stocks", 9), ["A", "1", "1", "1", "1", "1", "1", "0", ""]]]})
     classified = S.classify_rows(rows)
