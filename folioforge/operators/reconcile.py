@@ -6,13 +6,13 @@ holding before the shuffle — and only the days are matched with snapshot pairs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.instruments import is_option, position_key, signed_quantity
 from folioforge.operators.holdings import dedup_positions, snapshot_dates
-from folioforge.operators.keyed import first_per_key, null_safe_join
-from folioforge.operators.scans import running_total
+from folioforge.operators.keyed import first_per_key
+from folioforge.operators.scans import in_segments, segment_scan
 from folioforge.operators.trades import dedup_trades, with_account
 from folioforge.schemas import POSITION_KEY
 
@@ -140,19 +140,26 @@ def pair_summary(result: DataFrame) -> DataFrame:
 
 
 def ledger(trades: DataFrame, positions: DataFrame, statements: DataFrame) -> DataFrame:
-    """Every trade of every pair with the running quantity of its holding."""
+    """Every trade of every pair with the running quantity of its holding.
+
+    Holdings are keyed without nulls (absent option terms get a stand-in), so joins and scans share plain keys. The trades
+    are cut into segments of a bounded size once; a holding with most trades of a day spreads over many.
+    """
     pairs = snapshot_pairs(positions, statements)
     moves = paired_trades(trades, positions, statements, pairs)
     symbol, *terms = position_key()
-    base = (
-        dedup_positions(positions, statements)
-        .select("account_id", symbol, *terms, F.col("statement_date").alias("base_date"), F.col("quantity").alias("base_qty"))
-    )
-    opened = null_safe_join(moves, base, ["account_id", "base_date", *POSITION_KEY], "left").withColumn(
-        "base_qty", F.coalesce("base_qty", F.lit(0))
-    )
-    return running_total(
-        opened, [*PAIR, *POSITION_KEY], "day",
-        [F.col("trade_date"), F.col("side"), F.col("quantity"), F.col("price")],
-        F.col("signed"), "running_qty", start=F.col("base_qty"),
-    )
+    base = dedup_positions(positions, statements).select(
+        "account_id", F.col("statement_date").alias("base_date"), _holding(symbol, *terms), F.col("quantity").alias("base_qty"))
+    keyed = moves.withColumn("__holding", _holding(*[F.col(c) for c in POSITION_KEY]))
+    opened = keyed.join(base, ["account_id", "base_date", "__holding"], "left").withColumn("base_qty", F.coalesce("base_qty", F.lit(0)))
+    keys = [*PAIR, "__holding"]
+    placed = in_segments(opened, [*keys, "day", "trade_date", "side", "quantity", "price"])
+    order = F.struct("day", "trade_date", "side", "quantity", "price")
+    scanned = segment_scan(placed.withColumn("__order", order), keys, "__order", sums={"running_qty": F.col("signed")})
+    return scanned.withColumn("running_qty", F.col("base_qty") + F.col("running_qty")).drop("__holding", "__order", "part", "seg")
+
+
+def _holding(symbol: Column, expiry: Column, strike: Column, right: Column) -> Column:
+    """One text per holding; absent terms differ from every term that can occur."""
+    texts = [F.coalesce(c.cast("string"), F.lit("-")) for c in (symbol, expiry, strike, right)]
+    return F.concat_ws("|", *texts).alias("__holding")

@@ -1,10 +1,8 @@
 """Ordered computations that survive a hot key, and global ones that avoid a single-task window.
 
-A plain window sends all rows of a key to one task. The two-level forms below first reduce each
-block of a key (a day) with an ordinary aggregation, scan the few block results, and
-finish inside each block, so the largest unit of work is one block. Where the data has no block of
-bounded size, :func:`in_segments` cuts the ordered rows into some and :func:`segment_scan` scans them in
-three levels.
+A plain window sends all rows of a key to one task. :func:`in_segments` cuts the ordered rows into segments of a
+bounded size, whatever the keys, and :func:`segment_scan` scans them in three levels: segments, the segments of a range
+of rows, and the ranges of a key.
 """
 
 from __future__ import annotations
@@ -20,65 +18,7 @@ from folioforge.operators.keyed import null_safe_join
 from folioforge.operators.lineage import written_once
 
 SEGMENT_ROWS = 20_000
-
-
-def running_total(
-    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[Column], value: Column, alias: str,
-    start: Column | None = None,
-) -> DataFrame:
-    """Running sum of ``value`` per key in (block, order), computed in two levels.
-
-    ``start`` is an opening balance added to every row of the key.
-    """
-    staged = df.withColumn("__value", value)
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        staged.groupBy(*keys, block).agg(F.sum("__value").alias("__block_sum"))
-        .withColumn("__carried", F.coalesce(F.sum("__block_sum").over(before), F.lit(0)))
-        .drop("__block_sum")
-    )
-    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("__carried") + F.sum("__value").over(inside)
-    if start is not None:
-        total = start + total
-    return (
-        null_safe_join(staged, carried, [*keys, block])
-        .withColumn(alias, total)
-        .drop("__value", "__carried")
-    )
-
-
-def carry_forward(
-    df: DataFrame, keys: Sequence[str], block: str, order: str, columns: dict[str, Column]
-) -> DataFrame:
-    """Last non-null value up to the current row for each named column, in two levels.
-
-    ``columns`` maps an output name to the expression that is null where nothing new is set.
-    """
-    staged = df.withColumns({f"__set_{n}": c for n, c in columns.items()})
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        staged.groupBy(*keys, block)
-        .agg(*[
-            F.max_by(
-                F.col(f"__set_{n}"), F.when(F.col(f"__set_{n}").isNotNull(), F.col(order))
-            ).alias(f"__last_{n}")
-            for n in columns
-        ])
-        .withColumns({
-            f"__before_{n}": F.last(f"__last_{n}", ignorenulls=True).over(before) for n in columns
-        })
-        .drop(*[f"__last_{n}" for n in columns])
-    )
-    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        null_safe_join(staged, carried, [*keys, block])
-        .withColumns({
-            n: F.coalesce(F.last(f"__set_{n}", ignorenulls=True).over(inside), F.col(f"__before_{n}"))
-            for n in columns
-        })
-        .drop(*[f"__{kind}_{n}" for n in columns for kind in ("set", "before")])
-    )
+TIE_BYTES = 3
 
 
 def in_segments(df: DataFrame, order: Sequence[str], rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -139,49 +79,50 @@ def exponential_average(
     """Recursive exponential average (weight 2/(span+1), seeded with the first value) for every row.
 
     ``position`` is the 1-based row number inside the key. The recursion unrolls into a weighted
-    sum; to keep the weights in range the rows are cut into blocks over which the decay is 1e-18,
-    less than one unit in the last place, so that only the end of the preceding block still counts.
+    sum; to keep the weights in range the rows are cut into blocks over which the decay is 1e-18. A block is summarised
+    by its own weighted sum, and the sums of the blocks before are composed by the same recursion, block by block, as
+    far back as their weight is a number at all (eighteen blocks; before that it is zero in double precision).
     All windows are partitioned by the key, so no exchange is added to the one for the position.
     """
     alpha = 2.0 / (span + 1.0)
     decay = 1.0 - alpha
     width = max(1, math.ceil(18.0 * math.log(10.0) / -math.log(decay)))
+    block_decay = decay ** width
+    reach = math.ceil(math.log(5e-324) / math.log(block_decay))
     block = F.floor((F.col(position) - 1) / F.lit(width)).cast("int")
     offset = ((F.col(position) - 1) % F.lit(width)).cast("double")
     seed = F.col(position) == 1
     inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    previous = Window.partitionBy(key).orderBy("__block").rangeBetween(-1, -1)
+    previous = Window.partitionBy(key).orderBy("__block").rangeBetween(-reach, -1)
     local = F.sum(
         F.when(seed, F.col(value)).otherwise(F.col(value) * alpha) * F.pow(F.lit(decay), -F.col("__offset"))
     ).over(inside) * F.pow(F.lit(decay), F.col("__offset"))
+    tails = F.collect_list(F.when(F.col("__offset") == width - 1, F.struct("__block", "__local"))).over(previous)
+    carried = F.aggregate(F.array_sort("__tails"), F.lit(0.0), lambda before, t: before * block_decay + t["__local"])
     return (
         df.withColumn("__block", block).withColumn("__offset", offset)
         .withColumn("__local", local)
-        .withColumn(
-            "__tail",
-            F.max(F.when(F.col("__offset") == width - 1, F.col("__local"))).over(previous),
-        )
-        .withColumn(
-            alias,
-            F.col("__local") + F.coalesce(F.col("__tail"), F.lit(0.0)) * F.pow(F.lit(decay), F.col("__offset") + 1),
-        )
-        .drop("__block", "__offset", "__local", "__tail")
+        .withColumn("__tails", tails)
+        .withColumn(alias, F.col("__local") + carried * F.pow(F.lit(decay), F.col("__offset") + 1))
+        .drop("__block", "__offset", "__local", "__tails")
     )
 
 
 def rank_by_score(
     df: DataFrame, score: str, tie: str, alias: str = "rank", groups: Sequence[str] = (), decimals: int = 1
 ) -> DataFrame:
-    """1..N by descending score (nulls last), ties by ``tie``, without sorting everything in one task.
+    """1..N by descending score, ties by ``tie``, without sorting everything in one task.
 
     Scores lie on a grid of 10^-decimals, so a histogram of the distinct scores gives the number of
-    better rows; only rows with an equal score are ranked among themselves.
+    better rows; only rows with an equal score are ranked among themselves. Rows without a score come last, by the text of
+    ``tie``, and only those with the same first bytes are ranked among themselves. ``groups`` must not be null.
     """
-    cell = F.round(F.col(score) * (10 ** decimals)).cast("long")
+    # Rows without a score fall into cells below all others, by the first bytes of their tie column, which keep its order.
+    start = F.rpad(F.hex(F.substring(F.encode(F.col(tie).cast("string"), "UTF-8"), 1, TIE_BYTES)), 2 * TIE_BYTES, "0")
+    unscored = F.lit(-(1 << 62)) - F.coalesce(F.conv(start, 16, 10).cast("long"), F.lit(-1))
+    cell = F.coalesce(F.round(F.col(score) * (10 ** decimals)).cast("long"), unscored)
     staged = df.withColumn("__cell", cell)
-    ahead = Window.partitionBy(*groups).orderBy(F.col("__cell").desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    ahead = Window.partitionBy(*groups).orderBy(F.col("__cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         staged.groupBy(*groups, "__cell").agg(F.count("*").alias("__n"))
         .withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
@@ -189,7 +130,7 @@ def rank_by_score(
     )
     peers = Window.partitionBy(*groups, "__cell").orderBy(F.col(score).desc_nulls_last(), tie)
     return (
-        null_safe_join(staged, offsets, [*groups, "__cell"])
+        staged.join(offsets, [*groups, "__cell"])
         .withColumn(alias, (F.col("__ahead") + F.row_number().over(peers)).cast("long"))
         .drop("__cell", "__ahead")
     )

@@ -12,11 +12,13 @@ from folioforge.functions.scores import weighted_mean
 from folioforge.operators.fundamentals import (
     detect_splits, is_flow, latest_metrics, latest_trailing, normalize_splits, period_preference, trailing_series,
 )
+from folioforge.operators.lineage import written_once
 from folioforge.operators.prices import latest_prices
 from folioforge.operators.scans import rank_by_score
 from folioforge.schemas import FLOW_METRICS, POINT_METRICS, SNAPSHOT_MEASURES
 
 HISTORY_RATIOS = ["pe_ttm", "pb", "ps", "ev_ebitda"]
+_LEAST_HISTORY = 4
 GROWTH_METRICS = {"revenue": "revenue_growth", "eps_diluted": "eps_growth", "net_income": "net_income_growth"}
 
 # Weights per preset and the category and direction of every scored ratio.
@@ -180,7 +182,7 @@ def ratio_history(metrics: DataFrame, prices: DataFrame, as_of_column: str = "pe
 
 def percentile(below: Column, n: Column) -> Column:
     """Share of values below the current one, in percent; null for fewer than four values."""
-    return F.when(n >= 4, below / n * 100)
+    return F.when(n >= _LEAST_HISTORY, below / n * 100)
 
 
 def history_summary(history: DataFrame) -> DataFrame:
@@ -277,6 +279,104 @@ def valuation(metrics: DataFrame, prices: DataFrame, growth_years: int = 1, hist
     return fundamental_scores(rows)
 
 
+# --- scores as of many days -------------------------------------------------------------------
+
+
+def _period_of(day: Column, days: list[date]) -> Column:
+    """Index of the first of the ascending ``days`` that is not before ``day``; their number where there is none."""
+    return F.size(F.filter(F.array(*[F.lit(d) for d in days]), lambda d: d < day))
+
+
+def facts_as_of(metrics: DataFrame, days: list[date], growth_years: int = 1) -> DataFrame:
+    """(symbol, period, metric columns, growth columns): what was newest on each day, carried on from earlier days.
+
+    A report counts from its period end; flows are trailing sums as in the ratio history, growth is that of the newest
+    annual report. Values stay in the share basis in which they were reported.
+    """
+    flows = trailing_series(metrics.where(is_flow()))
+    raw = as_double("metric_value")
+    interim = (F.coalesce("fiscal_period", F.lit("")) != "") & (F.col("fiscal_period") != "FY")
+    flow_facts = flows.select("symbol", "metric_name", "period_end", "fiscal_period", F.when(interim, F.coalesce("ttm_value", raw)).otherwise(raw).alias("v"))
+    points = metrics.where(F.col("metric_name").isin(POINT_METRICS)).select("symbol", "metric_name", "period_end", "fiscal_period", raw.alias("v"))
+    annual = metrics.where((F.col("fiscal_period") == "FY") & F.col("metric_name").isin(list(GROWTH_METRICS))).select(
+        "symbol", "metric_name", "period_end", "fiscal_period", raw.alias("v"))
+    older = Window.partitionBy("symbol", "metric_name").orderBy(F.year("period_end")).rangeBetween(Window.unboundedPreceding, -growth_years)
+    before = F.max(F.struct(F.col("period_end").alias("at"), F.col("v").alias("old"))).over(older)
+    span = F.datediff("period_end", "b.at") / 365.25
+    simple = (F.col("v") - F.col("b.old")) / F.abs("b.old")
+    rate = simple if growth_years == 1 else F.when(F.col("v") > 0, F.pow(F.col("v") / F.col("b.old"), 1.0 / span) - 1)
+    names = F.create_map(*[F.lit(x) for pair in GROWTH_METRICS.items() for x in pair])
+    grown = annual.withColumn("b", before).select(
+        "symbol", names[F.col("metric_name")].alias("metric_name"), "period_end", "fiscal_period", F.when(F.col("b.old") > 0, rate).alias("v"))
+    facts = flow_facts.unionByName(points).unionByName(grown).withColumns({
+        "period": _period_of(F.col("period_end"), days),
+        "order": F.datediff("period_end", F.lit(date(1970, 1, 1))) * 10 + period_preference(),
+    }).where(F.col("period") < len(days))
+    columns = FLOW_METRICS + POINT_METRICS + list(GROWTH_METRICS.values())
+    of = lambda m: F.when(F.col("metric_name") == m, F.col("order"))
+    known = facts.groupBy("symbol", "period").agg(
+        *[F.max_by("v", of(m)).alias(f"v_{m}") for m in columns], *[F.max(of(m)).alias(f"at_{m}") for m in columns])
+    grid = known.select("symbol").distinct().withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(len(days) - 1))))
+    so_far = Window.partitionBy("symbol").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    # A newest report without a value (growth without an older year) hides the value before it.
+    newest = lambda m: F.last(F.when(F.col(f"at_{m}").isNotNull(), F.struct(f"v_{m}")), ignorenulls=True).over(so_far)[f"v_{m}"]
+    filled = grid.join(known, ["symbol", "period"], "left").withColumn("reported", F.count(F.greatest(*[f"at_{m}" for m in columns])).over(so_far))
+    return filled.select("symbol", "period", "reported", *[newest(m).alias(m) for m in columns]).where("reported > 0").drop("reported")
+
+
+def percentiles_as_of(history: DataFrame, days: list[date]) -> DataFrame:
+    """(symbol, period, current and percentile of each history ratio) among all its values up to each day.
+
+    No history is sorted, and none is read once per day: the current values of the days cut each ratio's range into cells, the
+    history is counted once per (period, cell), and sums of these counts say how many values lie below. Exact, because
+    the cuts are the values that are asked for. ``history`` is read twice.
+    """
+    placed = history.withColumn("period", _period_of(F.col("price_date"), days)).where(F.col("period") < len(days))
+    at = lambda r: F.when(F.col(r).isNotNull(), F.col("price_date"))
+    ends = placed.groupBy("symbol", "period").agg(*[F.max_by(r, at(r)).alias(r) for r in HISTORY_RATIOS])
+    grid = ends.select("symbol").distinct().withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(len(days) - 1))))
+    so_far = Window.partitionBy("symbol").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    current = grid.join(ends, ["symbol", "period"], "left").select(
+        "symbol", "period", *[F.last(r, ignorenulls=True).over(so_far).alias(r) for r in HISTORY_RATIOS])
+    cuts = current.groupBy("symbol").agg(*[F.array_sort(F.collect_set(r)).alias(f"cuts_{r}") for r in HISTORY_RATIOS])
+    # Cell j holds the values from cut j - 1 up to below cut j.
+    cell = lambda r: F.size(F.filter(F.col(f"cuts_{r}"), lambda c: c <= F.col(r)))
+    cells = placed.join(cuts, "symbol").select("symbol", "period", F.inline(F.array(*[
+        F.struct(F.lit(r).alias("ratio"), F.when(F.col(r).isNotNull(), cell(r)).alias("cell")) for r in HISTORY_RATIOS])))
+    counted = cells.where(F.col("cell").isNotNull()).groupBy("symbol", "ratio", "period", "cell").agg(F.count("*").alias("n"))
+    asked = current.join(cuts, "symbol").select("symbol", F.col("period").alias("upto"), F.inline(F.array(*[
+        F.struct(F.lit(r).alias("ratio"), F.col(r).alias("current"), F.array_position(f"cuts_{r}", F.col(r)).alias("place")) for r in HISTORY_RATIOS]))
+    ).where(F.col("current").isNotNull())
+    summed = asked.join(counted, ["symbol", "ratio"]).where(F.col("period") <= F.col("upto")).groupBy("symbol", "upto", "ratio").agg(
+        F.max("current").alias("current"), F.sum("n").alias("n"), F.sum(F.when(F.col("cell") < F.col("place"), F.col("n")).otherwise(0)).alias("below"))
+    pick = lambda r, value: F.max(F.when(F.col("ratio") == r, value))
+    return summed.groupBy("symbol", F.col("upto").alias("period")).agg(
+        *[pick(r, F.col("current")).alias(f"hist_{r}") for r in HISTORY_RATIOS],
+        *[pick(r, percentile(F.col("below"), F.col("n"))).alias(f"{r}_pctl") for r in HISTORY_RATIOS])
+
+
+def score_history(metrics: DataFrame, prices: DataFrame, days: list[date], growth_years: int = 1) -> DataFrame:
+    """Ratios, percentiles and scores of every symbol and preset as of each of the ``days``, in one plan.
+
+    What later days know is not used: prices, reports and the values that percentiles are taken among end on the day.
+    """
+    days = sorted(set(days))
+    if not days:
+        raise ValueError("no days")
+    history = written_once(ratio_history(metrics, prices))
+    bars = prices.select("symbol", _period_of(F.col("price_date"), days).alias("period"), "price_date", as_double("adj_close").alias("close"))
+    closes = bars.where(F.col("period") < len(days)).groupBy("symbol", "period").agg(F.max_by("close", "price_date").alias("close"))
+    so_far = Window.partitionBy("symbol").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    known = facts_as_of(metrics, days, growth_years).join(closes, ["symbol", "period"], "full").withColumns({
+        "price": F.last("close", ignorenulls=True).over(so_far), "known": F.coalesce(*FLOW_METRICS, *POINT_METRICS).isNotNull()})
+    rows = ratios(known.where(F.col("price").isNotNull() & F.col("known")).drop("close", "known"))
+    rows = rows.join(percentiles_as_of(history, days), ["symbol", "period"], "left").withColumns(
+        {r: F.coalesce(f"hist_{r}", r) for r in HISTORY_RATIOS})
+    day_of = F.get(F.array(*[F.lit(d) for d in days]), F.col("period"))
+    valued = rows.withColumns({"peg": peg(F.col("pe_ttm"), F.col("eps_growth")), "snapshot_date": day_of})
+    return fundamental_scores(valued).drop("period", *[f"hist_{r}" for r in HISTORY_RATIOS])
+
+
 def snapshots(valued: DataFrame, day: date) -> DataFrame:
     """Rows for the snapshot table: finite values, 6 decimals, one row per (symbol, date, preset)."""
     names = {"pe_percentile": "pe_ttm_pctl", "pb_percentile": "pb_pctl", "ps_percentile": "ps_pctl",
@@ -296,6 +396,44 @@ def missing_history(valued: DataFrame) -> DataFrame:
     ).distinct()
 
 
+# Bits of ``present`` in :func:`coverage`.
+HAS_PRICES, HAS_METRICS, HAS_SHARES = 1, 2, 4
+
+
+def coverage(metrics: DataFrame, prices: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """What is known of every symbol of any source, from one aggregation over their union.
+
+    Columns: rows of bars (with first and last day) and of metrics, share counts, values of each history ratio, ``present`` (bit
+    mask) and ``missing``: prices, metrics, shares, or the history ratios with too few values for a percentile.
+    ``symbols`` names more of them (for example those held), which may be in no other source.
+    """
+    history = ratio_history(metrics, prices)
+    zero = F.lit(0)
+    counts = ["n_bars", "n_metrics", "n_shares", *[f"n_{r}" for r in HISTORY_RATIOS]]
+
+    def counted(df: DataFrame, day: Column | None = None, **ones: Column) -> DataFrame:
+        return df.select("symbol", (F.lit(None).cast("date") if day is None else day).alias("day"), *[ones.get(c, zero).cast("long").alias(c) for c in counts])
+
+    parts = [
+        counted(prices, F.col("price_date"), n_bars=F.lit(1)),
+        counted(metrics, n_metrics=F.lit(1), n_shares=(F.col("metric_name") == "shares_outstanding").cast("long")),
+        counted(history, **{f"n_{r}": F.col(r).isNotNull().cast("long") for r in HISTORY_RATIOS}),
+    ]
+    if symbols is not None:
+        parts.append(counted(symbols))
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.unionByName(part)
+    summed = everything.groupBy("symbol").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), *[F.sum(c).alias(c) for c in counts])
+    mask = lambda c, bit: F.when(F.col(c) > 0, bit).otherwise(0)
+    lacking = {"prices": "n_bars", "metrics": "n_metrics", "shares": "n_shares"}
+    missing = F.array_compact(F.array(
+        *[F.when(F.col(c) == 0, name) for name, c in lacking.items()],
+        *[F.when(F.col(f"n_{r}") < _LEAST_HISTORY, r) for r in HISTORY_RATIOS]))
+    return summed.withColumns({
+        "present": mask("n_bars", HAS_PRICES) + mask("n_metrics", HAS_METRICS) + mask("n_shares", HAS_SHARES), "missing": missing})
+
+
 def score_table(valued: DataFrame) -> DataFrame:
     """Scores rounded to one decimal and ranked within each preset."""
     rounded = valued.select(

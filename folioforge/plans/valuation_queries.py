@@ -13,6 +13,7 @@ from folioforge.operators.prices import latest_prices
 from folioforge.plans import views as V
 from folioforge.plans.fundamental_queries import _FLOW_LIST, _PREF, FUND
 from folioforge.plans.holding_queries import DEDUP, _latest
+from folioforge.plans.oracle_views import VIEWS
 from folioforge.plans.registry import query, show
 from folioforge.schemas import FLOW_METRICS, POINT_METRICS, SNAPSHOT_MEASURES, VALUATION_PRESETS
 
@@ -196,17 +197,37 @@ def valuation_snapshot(spark, sf):
     return show(X.snapshots(_valued(spark, sf), V.AS_OF), market_cap=1, enterprise_value=1)
 
 
-# A history that starts days before the newest bars, so that some symbols have too few values.
-LATE = {**VAL, "history": (VAL["history"][0], VAL["history"][1].replace("> 0) x", "> 0 AND price_date >= DATE '2001-10-28') x"))}
+# Two companies that do not report what a ratio history needs.
+_SILENT = "symbol IN ('Brand#5', 'Brand#6') AND metric_name IN ('shares_outstanding', 'eps_diluted')"
+PARTLY = {**VAL, "stock_metrics": (VIEWS["stock_metrics"][0], f"SELECT * FROM ({VIEWS['stock_metrics'][1].strip()}) reported WHERE NOT ({_SILENT})")}
 
 
 @query("missing_history", ("valued",), f"""
 SELECT symbol, {', '.join(f'coalesce(n_{r}, 0) AS n_{r}' for r in X.HISTORY_RATIOS)} FROM valued
-WHERE coalesce({', '.join(f'{r}_pctl' for r in X.HISTORY_RATIOS)}) IS NULL""", extra=LATE)
+WHERE coalesce({', '.join(f'{r}_pctl' for r in X.HISTORY_RATIOS)}) IS NULL""", extra=PARTLY)
 def missing_history(spark, sf):
-    valued = X.valuation(
-        V.stored(V.stock_metrics, spark, sf), V.stored(V.daily_prices, spark, sf), history_from=date(2001, 10, 28))
-    return show(X.missing_history(valued))
+    metrics = V.stored(V.stock_metrics, spark, sf).where(~F.expr(_SILENT))
+    return show(X.missing_history(X.valuation(metrics, V.stored(V.daily_prices, spark, sf))))
+
+
+@query("symbol_coverage", ("history", "daily_prices", "stock_metrics", "positions"), """
+SELECT symbol, first_day, last_day, n_bars, n_metrics, n_shares, n_pe_ttm, n_pb, n_ps, n_ev_ebitda,
+ CASE WHEN n_bars > 0 THEN 1 ELSE 0 END + CASE WHEN n_metrics > 0 THEN 2 ELSE 0 END + CASE WHEN n_shares > 0 THEN 4 ELSE 0 END AS present,
+ concat_ws(',', CASE WHEN n_bars = 0 THEN 'prices' END, CASE WHEN n_metrics = 0 THEN 'metrics' END, CASE WHEN n_shares = 0 THEN 'shares' END,
+  CASE WHEN n_pe_ttm < 4 THEN 'pe_ttm' END, CASE WHEN n_pb < 4 THEN 'pb' END, CASE WHEN n_ps < 4 THEN 'ps' END, CASE WHEN n_ev_ebitda < 4 THEN 'ev_ebitda' END) AS missing
+FROM (SELECT s.symbol, first_day, last_day, coalesce(n_bars, 0) AS n_bars, coalesce(n_metrics, 0) AS n_metrics, coalesce(n_shares, 0) AS n_shares,
+  coalesce(n_pe_ttm, 0) AS n_pe_ttm, coalesce(n_pb, 0) AS n_pb, coalesce(n_ps, 0) AS n_ps, coalesce(n_ev_ebitda, 0) AS n_ev_ebitda
+ FROM (SELECT symbol FROM daily_prices UNION SELECT symbol FROM stock_metrics UNION SELECT symbol FROM positions WHERE asset_class IN ('STK', 'ETF') UNION SELECT 'UNLISTED') s
+ LEFT JOIN (SELECT symbol, min(price_date) AS first_day, max(price_date) AS last_day, count(*) AS n_bars FROM daily_prices GROUP BY 1) p ON p.symbol = s.symbol
+ LEFT JOIN (SELECT symbol, count(*) AS n_metrics, count(*) FILTER (WHERE metric_name = 'shares_outstanding') AS n_shares FROM stock_metrics GROUP BY 1) m ON m.symbol = s.symbol
+ LEFT JOIN (SELECT symbol, count(pe_ttm) AS n_pe_ttm, count(pb) AS n_pb, count(ps) AS n_ps, count(ev_ebitda) AS n_ev_ebitda FROM history GROUP BY 1) h ON h.symbol = s.symbol) x""",
+       extra=VAL, days=("first_day", "last_day"))
+def symbol_coverage(spark, sf):
+    """Every symbol that is quoted, reported or held, and one that is in no source."""
+    held = V.positions(spark, sf).where(F.col("asset_class").isin("STK", "ETF")).select("symbol")
+    wanted = held.unionByName(spark.createDataFrame([("UNLISTED",)], "symbol string"))
+    found = X.coverage(V.stored(V.stock_metrics, spark, sf), V.stored(V.daily_prices, spark, sf), wanted)
+    return show(found.withColumn("missing", F.array_join("missing", ",")))
 
 
 _STATS = {**{f"weighted_{r}": 8 for r in X.WEIGHTED_RATIOS}, "weighted_pe_ttm": 5, "earnings_yield_on_cost": 9, "herfindahl": 5, "top_holding_pct": 7}
@@ -304,3 +325,61 @@ def delete_metrics(spark, sf):
     rows = V.stock_metrics(spark, sf)
     doomed = spark.createDataFrame([(" brand#3 ",), ("BRAND#12",)], "name string").select(F.initcap(F.trim("name")).alias("symbol"))
     return K.delete_keys(rows, doomed, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("rows"))
+
+
+# --- scores at every year end -----------------------------------------------------------------
+
+_ALL_METRICS = FLOW_METRICS + POINT_METRICS
+AS_OF = {
+    **VAL,
+    "score_days": (["daily_prices"], """
+SELECT make_date(y, 12, 31) AS day FROM (SELECT unnest(generate_series(min(year(price_date)), max(year(price_date)))) AS y FROM daily_prices) x"""),
+    "facts_all": (["raw_series", "stock_metrics"], f"""
+SELECT m.symbol, m.metric_name, m.period_end AS reported, {_PREF.replace('fiscal_period', 'm.fiscal_period')} AS pref,
+ CASE WHEN m.fiscal_period <> 'FY' THEN coalesce(s.ttm_value, m.metric_value::DOUBLE) ELSE m.metric_value::DOUBLE END AS v
+FROM stock_metrics m LEFT JOIN raw_series s ON s.symbol = m.symbol AND s.metric_name = m.metric_name AND s.period_end = m.period_end AND s.fiscal_period = m.fiscal_period"""),
+    "newest_facts": (["facts_all", "score_days"], """
+SELECT symbol, day, metric_name, v FROM (SELECT f.*, d.day, row_number() OVER (PARTITION BY symbol, metric_name, d.day ORDER BY reported DESC, pref DESC) AS rn
+ FROM facts_all f JOIN score_days d ON f.reported <= d.day) x WHERE rn = 1"""),
+    "newest_growth": (["stock_metrics", "score_days"], """
+SELECT symbol, day, max(g) FILTER (WHERE metric_name = 'revenue') AS revenue_growth, max(g) FILTER (WHERE metric_name = 'eps_diluted') AS eps_growth,
+ max(g) FILTER (WHERE metric_name = 'net_income') AS net_income_growth
+FROM (SELECT n.symbol, n.metric_name, n.day, CASE WHEN arg_max(o.v, o.period_end) > 0 THEN (any_value(n.v) - arg_max(o.v, o.period_end)) / abs(arg_max(o.v, o.period_end)) END AS g
+ FROM (SELECT m.symbol, m.metric_name, d.day, max(m.period_end) AS period_end, arg_max(m.metric_value::DOUBLE, m.period_end) AS v
+  FROM stock_metrics m JOIN score_days d ON m.period_end <= d.day WHERE fiscal_period = 'FY' AND metric_name IN ('revenue', 'net_income', 'eps_diluted') GROUP BY 1, 2, 3) n
+ LEFT JOIN (SELECT symbol, metric_name, period_end, metric_value::DOUBLE AS v FROM stock_metrics WHERE fiscal_period = 'FY') o
+  ON o.symbol = n.symbol AND o.metric_name = n.metric_name AND year(o.period_end) <= year(n.period_end) - 1 GROUP BY 1, 2, 3) x GROUP BY 1, 2"""),
+    "inputs_as_of": (["newest_facts", "newest_growth", "daily_prices", "score_days"], f"""
+SELECT i.*, p.price, g.revenue_growth, g.eps_growth, g.net_income_growth
+FROM (SELECT symbol, day, {', '.join(_filter(m) for m in _ALL_METRICS)} FROM newest_facts GROUP BY 1, 2) i
+JOIN (SELECT symbol, day, arg_max(adj_close, price_date)::DOUBLE AS price FROM daily_prices JOIN score_days ON price_date <= day GROUP BY 1, 2) p ON p.symbol = i.symbol AND p.day = i.day
+LEFT JOIN newest_growth g ON g.symbol = i.symbol AND g.day = i.day"""),
+    "ratios_as_of": (["inputs_as_of"], VAL["ratios"][1].replace("FROM inputs", "FROM inputs_as_of")),
+    "current_as_of": (["history_long", "score_days"], """
+SELECT symbol, day, ratio, arg_max(v, price_date) AS current FROM history_long JOIN score_days ON price_date <= day GROUP BY 1, 2, 3"""),
+    "percentiles_as_of": (["current_as_of", "history_long"], """
+SELECT c.symbol, c.day, c.ratio, any_value(c.current) AS current,
+ CASE WHEN count(*) >= 4 THEN count(*) FILTER (WHERE h.v < c.current) / count(*) * 100 END AS percentile
+FROM current_as_of c JOIN history_long h ON h.symbol = c.symbol AND h.ratio = c.ratio AND h.price_date <= c.day GROUP BY 1, 2, 3"""),
+    "valued_as_of": (["ratios_as_of", "percentiles_as_of"], f"""
+SELECT *, {_CATEGORY} FROM (SELECT r.* REPLACE ({', '.join(f'coalesce(hist_{x}, r.{x}) AS {x}' for x in X.HISTORY_RATIOS)}), {', '.join(f'{x}_pctl' for x in X.HISTORY_RATIOS)},
+  CASE WHEN eps_growth * 100 > 0 THEN coalesce(hist_pe_ttm, r.pe_ttm) / (eps_growth * 100) END AS peg
+ FROM ratios_as_of r LEFT JOIN (SELECT symbol, day, {', '.join(f"max(current) FILTER (WHERE ratio = '{x}') AS hist_{x}, max(percentile) FILTER (WHERE ratio = '{x}') AS {x}_pctl" for x in X.HISTORY_RATIOS)}
+  FROM percentiles_as_of GROUP BY 1, 2) s ON s.symbol = r.symbol AND s.day = r.day) z"""),
+    "scored_as_of": (["valued_as_of"], VAL["scored"][1].replace("FROM valued v", "FROM valued_as_of v")),
+}
+
+
+def _score_history(spark, sf):
+    metrics, prices = V.stored(V.stock_metrics, spark, sf), V.stored(V.daily_prices, spark, sf)
+    year = F.year("price_date")
+    first, last = prices.agg(F.min(year), F.max(year)).first()
+    return X.score_history(metrics, prices, [date(y, 12, 31) for y in range(first, last + 1)])
+
+
+@query("score_history", ("scored_as_of",), f"""
+SELECT symbol, day AS snapshot_date, preset, price, {_rounded(_SCORES)}, {', '.join(f'round({r}_pctl, 9) AS {r}_pctl' for r in X.HISTORY_RATIOS)}, round(peg, 6) AS peg
+FROM scored_as_of""", extra=AS_OF, days=("snapshot_date",))
+def score_history(spark, sf):
+    columns = ["symbol", "snapshot_date", "preset", "price", *_SCORES, *[f"{r}_pctl" for r in X.HISTORY_RATIOS], "peg"]
+    return show(_score_history(spark, sf).select(*columns), **_SCORES, **{f"{r}_pctl": 9 for r in X.HISTORY_RATIOS}, peg=6)

@@ -25,23 +25,6 @@ def test_full_outer_join_matches_null_keys(spark):
     assert rows == {(None, 1, 3), ("x", 2, None), ("y", None, 4)}
 
 
-def test_two_level_scans_match_brute_force_with_a_hot_key(spark):
-    rng = random.Random(3)
-    rows = []
-    for i in range(1200):
-        key = "hot" if rng.random() < 0.7 else rng.choice("abc")
-        rows.append((key, rng.randrange(20), i, rng.randrange(-9, 10), rng.choice([None, None, None, "u", "v", "w"])))
-    df = spark.createDataFrame(rows, "k string, block int, pos int, v int, s string").repartition(4)
-    got = S.running_total(df, ["k"], "block", [F.col("pos")], F.col("v"), "total")
-    got = S.carry_forward(got, ["k"], "block", "pos", {"state": F.col("s")}).toPandas().set_index("pos")
-    pdf = pd.DataFrame(rows, columns=["k", "block", "pos", "v", "s"]).sort_values(["k", "block", "pos"])
-    pdf["total"] = pdf.groupby("k")["v"].cumsum()
-    pdf["state"] = pdf.groupby("k")["s"].ffill()
-    want = pdf.set_index("pos").loc[got.index]
-    assert (got["total"].astype(int) == want["total"]).all()
-    assert (got["state"].fillna("-") == want["state"].fillna("-")).all()
-
-
 def test_segment_scan_matches_brute_force_with_bounded_segments(spark):
     rng = random.Random(4)
     rows = []
@@ -78,6 +61,28 @@ def test_exponential_average_matches_recursion(spark, span):
     assert ((got - want).abs() / want).max() < 1e-12
 
 
+@pytest.mark.parametrize("span", [2, 9, 26])
+def test_exponential_average_remembers_a_far_higher_level(spark, span):
+    """An early level 1e30 and 1e250 times the later one, over many blocks."""
+    for early in (1e30, 1e250):
+        values, rng = [early], random.Random(6)
+        values += [rng.uniform(0.5, 1.5) for _ in range(6000)]
+        alpha, want = 2 / (span + 1), [values[0]]
+        for v in values[1:]:
+            want.append(alpha * v + (1 - alpha) * want[-1])
+        df = spark.createDataFrame([("s", i + 1, v) for i, v in enumerate(values)], "k string, rn int, v double").repartition(3)
+        got = S.exponential_average(df, "k", "rn", "v", span, "e", "rn").orderBy("rn").toPandas()["e"]
+        assert ((got - pd.Series(want)).abs() / pd.Series(want)).max() < 1e-10
+
+
+def test_ranks_of_many_rows_without_score(spark):
+    rows = [("p", f"{i * 7919 % 1000:03d}é"[:i % 4 + 1] + f"-{i}", None if i % 3 else i / 10) for i in range(900)]
+    got = {r.n: r.rank for r in S.rank_by_score(spark.createDataFrame(rows, "g string, n string, s double"), "s", "n", groups=["g"]).collect()}
+    scored = sorted((r for r in rows if r[2] is not None), key=lambda r: (-r[2], r[1]))
+    rest = sorted((r[1] for r in rows if r[2] is None), key=lambda n: n.encode())
+    assert [got[n] for _, n, _ in scored] == list(range(1, 301)) and [got[n] for n in rest] == list(range(301, 901))
+
+
 def test_rank_and_share(spark):
     rows = [("p", n, s) for n, s in (("a", 50.0), ("b", 70.5), ("c", 50.0), ("d", None), ("e", None))]
     ranked = S.rank_by_score(spark.createDataFrame(rows, "g string, n string, s double"), "s", "n", groups=["g"])

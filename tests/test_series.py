@@ -1,4 +1,6 @@
+import random
 from datetime import date, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -9,6 +11,7 @@ from folioforge.functions.scores import PRESET_WEIGHTS, SIGNALS, rounded_score
 from folioforge.operators import beta as B
 from folioforge.operators import prices as P
 from folioforge.operators import technical as TA
+from folioforge.operators import valuation as X
 
 
 def make(symbol, n, seed):
@@ -116,3 +119,43 @@ def test_price_gaps_and_normalization(spark):
                                 "symbol string, start date, end date")
     gaps = sorted((r.symbol, r.gap_start, r.gap_end) for r in P.missing_ranges(req, bars).collect())
     assert gaps == [("A", date(2024, 1, 1), date(2024, 1, 31)), ("A", date(2024, 3, 2), date(2024, 4, 1)), ("B", date(2024, 1, 1), date(2024, 1, 9))]
+
+
+def test_percentiles_and_facts_as_of_many_days(spark):
+    """Each day sees what a run over the rows up to that day would see."""
+    rng = random.Random(7)
+    start, rows = date(2020, 1, 1), []
+    for symbol, n in (("A", 400), ("B", 90), ("C", 3)):
+        for i in range(n):
+            day = start + timedelta(days=2 * i)
+            rows.append((symbol, day, 1.0, *[rng.choice([None, round(rng.uniform(1, 5), 1)]) for _ in range(4)]))
+    names = "symbol string, price_date date, price double, pe_ttm double, pb double, ps double, ev_ebitda double"
+    days = [date(2019, 12, 31), date(2020, 1, 9), date(2020, 6, 30), date(2021, 3, 1), date(2023, 1, 1)]
+    got = {(r.symbol, r.period): r for r in X.percentiles_as_of(spark.createDataFrame(rows, names).repartition(3), days).collect()}
+    seen = 0
+    for symbol in "ABC":
+        for period, day in enumerate(days):
+            for k, ratio in enumerate(X.HISTORY_RATIOS):
+                values = [r[3 + k] for r in rows if r[0] == symbol and r[1] <= day and r[3 + k] is not None]
+                r = got.get((symbol, period))
+                if not values:
+                    assert r is None or r[f"hist_{ratio}"] is None
+                    continue
+                seen += 1
+                assert r[f"hist_{ratio}"] == values[-1]
+                want = 100 * sum(v < values[-1] for v in values) / len(values) if len(values) >= 4 else None
+                assert r[f"{ratio}_pctl"] == pytest.approx(want)
+    assert seen > 40
+
+    def fact(symbol, metric, end, value, period):
+        return (symbol, metric, Decimal(value), end, period, "10-K", end.year, None, None)
+    facts = [fact("A", "total_assets", date(2019, 12, 31), 5, "FY"), fact("A", "total_assets", date(2020, 6, 30), 7, "Q2"),
+             fact("A", "revenue", date(2018, 12, 31), 50, "FY"), fact("A", "revenue", date(2019, 12, 31), 60, "FY"), fact("A", "revenue", date(2020, 12, 31), 30, "FY"),
+             fact("B", "total_assets", date(2022, 12, 31), 9, "FY")]
+    schema = "symbol string, metric_name string, metric_value decimal(28,6), period_end date, fiscal_period string, filing_type string, fiscal_year int, duration_days int, reporting_style string"
+    found = {(r.symbol, r.period): r for r in X.facts_as_of(spark.createDataFrame(facts, schema), days).collect()}
+    assert [found["A", p].total_assets for p in range(5)] == [5, 5, 7, 7, 7] and [p for s, p in found if s == "B"] == [4]
+    assert [found["A", p].revenue_growth for p in range(5)] == pytest.approx([0.2, 0.2, 0.2, -0.5, -0.5])
+    assert [found["A", p].revenue for p in range(5)] == [60, 60, 60, 30, 30]
+    with pytest.raises(ValueError, match="no days"):
+        X.score_history(None, None, [])
