@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 
 # Bytes of an Arrow batch, unless the session has its own limit: Spark's 64 MB, held twice over on either side, is a
 # large part of what an executor of a few GB has beside its heap.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 _BATCH_LIMIT, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 * 2**20
 
 
@@ -39,11 +40,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def text_bytes(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
     """UTF-8 of every text of a batch, a few rows at a time; null becomes empty."""
     for at in range(0, len(column), rows):
         for value in column.slice(at, rows).cast(pa.binary()).to_pylist():
             yield value or b""
+    give_back()
 
 
 def each_batch(
@@ -58,7 +70,7 @@ def each_batch(
             columns = step(batch)
             arrays = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=t) for n, t in zip(names, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-        pa.default_memory_pool().release_unused()  # the worker lives on and shares its executor's memory
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

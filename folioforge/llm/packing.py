@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import texts
+from folioforge.llm.common import give_back, texts
 from folioforge.llm.tokens import CACHE_ENTRIES, WORD_BPE, encoder
 from folioforge.operators.lineage import written_once
 
@@ -171,6 +171,9 @@ def pieces(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, en
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], type=kinds[k]) for k in range(len(names))], names=names)
+        if cache_entries < CACHE_ENTRIES:  # asked to spare memory
+            encoder(tokenizer, cache_entries).forget()
+        give_back()
 
     return texts(documents).mapInArrow(cut, schema)
 

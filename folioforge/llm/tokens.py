@@ -119,6 +119,12 @@ class WordEncoder:
             self._word_bytes += size
         return [b"".join([cache[w] for w in words]) for words in split]
 
+    def forget(self) -> None:
+        """Drop what the caches hold."""
+        self._words.clear()
+        self._parts.clear()
+        self._word_bytes = self._part_bytes = 0
+
     def stream(self, column: pa.Array, rows: int = 256) -> Iterator[bytes]:
         """The ids of each text of a column (null: none), a few rows at a time to bound what is held at once."""
         for at in range(0, len(column), rows):
