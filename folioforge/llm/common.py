@@ -20,7 +20,10 @@ _BATCH_LIMIT, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session to BATCH_BYTES where it has Spark's default."""
+    """Bound the Arrow batches of the session to BATCH_BYTES where it has Spark's default.
+
+    For operators that run one after the other in the same executors, as in a pipeline.
+    """
     if spark.conf.get(_BATCH_LIMIT, f"{_SPARK_DEFAULT}b").lower() in (f"{_SPARK_DEFAULT}b", str(_SPARK_DEFAULT), "64m", "64mb"):
         spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
 
@@ -31,7 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; other columns cannot clash with an operator's own."""
-    small_batches(documents.sparkSession)
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -72,7 +74,6 @@ def each_batch(
             yield pa.RecordBatch.from_arrays(arrays, names=names)
         give_back()
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import give_back, texts
+from folioforge.llm.common import give_back, small_batches, texts
 from folioforge.llm.tokens import CACHE_ENTRIES, WORD_BPE, encoder
 from folioforge.operators.lineage import written_once
 
@@ -151,7 +151,9 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], in
 def pieces(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, end_id: int = 1, with_ids: bool = False,
            cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Every document as pieces of at most ``size`` ids; a piece also knows its rank among its task's equal lengths."""
-    end = np.array([end_id], "<u4").tobytes()
+    end, spare = np.array([end_id], "<u4").tobytes(), cache_entries < CACHE_ENTRIES
+    if spare:
+        small_batches(documents.sparkSession)
     schema = _PIECES + ", ids array<int>" * with_ids
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
@@ -171,9 +173,9 @@ def pieces(documents: DataFrame, size: int = 4096, tokenizer: str = WORD_BPE, en
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], type=kinds[k]) for k in range(len(names))], names=names)
-        if cache_entries < CACHE_ENTRIES:  # asked to spare memory
+        if spare:
             encoder(tokenizer, cache_entries).forget()
-        give_back()
+            give_back()
 
     return texts(documents).mapInArrow(cut, schema)
 
