@@ -54,3 +54,27 @@ def stored_statement_load(spark, sf):
     stored = tables.read_table(spark, root, "statements").select(
         F.lit("statements").alias("child"), F.col("id").alias("statement_id"), F.lit(1).cast("bigint").alias("rows"), F.lit(0).cast("decimal(38,10)").alias("quantity"))
     return show(counts[0].unionByName(counts[1]).unionByName(stored))
+
+
+@query("stored_cascade_delete", ("statements", "positions", "trades"), """
+SELECT 'positions' AS child, statement_id, count(*) AS rows FROM positions
+WHERE statement_id LIKE '%7' OR split_part(statement_id, '-', 1) <> 'U3' AND statement_id NOT LIKE '%1996' GROUP BY ALL
+UNION ALL SELECT 'trades', statement_id, count(*) FROM trades
+WHERE statement_id LIKE '%7' OR split_part(statement_id, '-', 1) <> 'U3' AND statement_id NOT LIKE '%1996' GROUP BY ALL
+UNION ALL SELECT 'statements', id, 1 FROM statements
+WHERE id LIKE '%7' OR split_part(id, '-', 1) <> 'U3' AND id NOT LIKE '%1996'""")
+def stored_cascade_delete(spark, sf):
+    """Statements, positions and trades stored; then one year, and one account but for a year, deleted with all children."""
+    root = fresh_path(spark, "tables")
+    for table, view in (("statements", V.statements), ("positions", V.positions), ("trades", V.trades)):
+        tables.write_table(view(spark, sf), root, table)
+    heads = tables.read_table(spark, root, "statements")
+    gone = ((F.col("account_id") == "U3") | F.col("id").endswith("1996")) & ~F.col("id").endswith("7")
+    tables.delete_statements(spark, root, heads.where(gone).select("id"))
+    kept = [
+        tables.read_table(spark, root, child).groupBy("statement_id").agg(F.count("*").alias("rows"))
+        .select(F.lit(child).alias("child"), "statement_id", "rows") for child in ("positions", "trades")
+    ]
+    left = tables.read_table(spark, root, "statements").select(
+        F.lit("statements").alias("child"), F.col("id").alias("statement_id"), F.lit(1).cast("bigint").alias("rows"))
+    return show(kept[0].unionByName(kept[1]).unionByName(left))

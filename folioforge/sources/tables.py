@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.operators.keyed import delete_keys, first_per_key
-from folioforge.operators.lineage import remove, written_once
+from folioforge.operators.lineage import written_once
 from folioforge.operators.statements import accepted_trades
 from folioforge.schemas import KEYS, TABLES
+from folioforge.sources import loads
+from folioforge.sources.loads import PARTITION_COLUMN
 
 # Tables are partitioned by the year of their date: coarse enough for large files, fine enough that
 # a load rewrites only the years it touches.
@@ -20,7 +22,6 @@ _PARTITION_DATE = {
     "statements": "period_end", "positions": "statement_date", "trades": "trade_date",
     "stock_metrics": "period_end", "daily_prices": "price_date", "valuation_snapshots": "snapshot_date",
 }
-PARTITION_COLUMN = "part_year"
 
 
 def _partition_value(table: str) -> Column:
@@ -36,14 +37,19 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Typed scan. Filters on the date column are not needed to prune; filter on ``part_year`` for that."""
-    schema = T.StructType([*TABLES[table].fields, T.StructField(PARTITION_COLUMN, T.IntegerType())])
-    return spark.read.schema(schema).parquet(f"{root}/{table}")
-
+    """Typed scan. Filters on the date column are not needed to prune; filter on ``part_year`` for that.
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    Partitions of a committed load that the table does not hold yet are read from the load's staged files.
+    """
+    schema = T.StructType([*TABLES[table].fields, T.StructField(PARTITION_COLUMN, T.IntegerType())])
+    path, waiting = f"{root}/{table}", loads.pending(spark, root, table)
+    if waiting is None:
+        return spark.read.schema(schema).parquet(path)
+    staged, years = waiting
+    fresh = spark.read.schema(schema).parquet(staged)
+    if not loads.exists(spark, path):
+        return fresh
+    return spark.read.schema(schema).parquet(path).where(~F.col(PARTITION_COLUMN).isin(years)).unionByName(fresh)
 
 
 def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> None:
@@ -60,34 +66,42 @@ def _years(df: DataFrame) -> set[int]:
     return {int(r[0]) for r in df.select(PARTITION_COLUMN).distinct().collect()}
 
 
-def _replace(
-    spark: SparkSession, root: str, table: str, doomed: DataFrame, keys: Sequence[str], incoming: DataFrame | None, years: set[int],
-) -> None:
-    """Rewrite only the partitions ``years``: their rows without the doomed keys, and the incoming rows.
-
-    The merged rows are staged first, because a path must not be overwritten while it is read. Partitions that
-    end up empty are removed.
-    """
-    path = f"{root}/{table}"
+def _replacement(
+    stored: DataFrame | None, doomed: DataFrame, keys: Sequence[str], incoming: DataFrame | None, years: set[int],
+) -> DataFrame | None:
+    """New content of the partitions ``years``: their rows without the doomed keys, and the incoming rows."""
     parts = [incoming] if incoming is not None else []
-    if _exists(spark, path) and years:
-        stored = read_table(spark, root, table).where(F.col(PARTITION_COLUMN).isin(sorted(years)))
-        parts.append(delete_keys(stored, doomed, keys))
-    if not parts:
-        return
-    merged = written_once(reduce(DataFrame.unionByName, parts))
-    (
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION_COLUMN).parquet(path)
-    )
-    for year in years - _years(merged):
-        remove(spark, f"{path}/{PARTITION_COLUMN}={year}")
+    if stored is not None and years:
+        parts.append(delete_keys(stored.where(F.col(PARTITION_COLUMN).isin(sorted(years))), doomed, keys))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _write(spark: SparkSession, root: str, load: str, changes: dict[str, tuple[DataFrame | None, set[int]]]) -> None:
+    """Stage the changed partitions of every table, then commit them together."""
+    for table, (rows, years) in changes.items():
+        if rows is not None and years:
+            loads.stage(load, table, rows)
+    loads.commit(spark, root, load, {table: years for table, (rows, years) in changes.items() if rows is not None})
+
+
+def _stored(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """The table after earlier loads have ended, or None before its first load."""
+    return read_table(spark, root, table) if loads.exists(spark, f"{root}/{table}") else None
 
 
 def _staged(df: DataFrame, table: str) -> DataFrame:
     return written_once(conform(df, table).withColumn(PARTITION_COLUMN, _partition_value(table)))
 
 
+def _upsert(
+    stored: DataFrame | None, df: DataFrame, table: str, last: Sequence[Column], keys: Sequence[str],
+) -> tuple[DataFrame | None, set[int]]:
+    # ``last`` may use columns that the table does not have, such as a load number.
+    incoming = _staged(first_per_key(df, keys, last), table)
+    years = _years(incoming)
+    return _replacement(stored, incoming, keys, incoming, years), years
+
+
 def upsert_table(df: DataFrame, root: str, table: str, last: Sequence[Column], keys: Sequence[str] | None = None) -> None:
     """Keyed upsert that reads and rewrites only the partitions the load touches.
 
@@ -96,42 +110,65 @@ def upsert_table(df: DataFrame, root: str, table: str, last: Sequence[Column], k
     keys = list(keys or KEYS[table])
     if _PARTITION_DATE[table] not in keys:
         raise ValueError(f"the key of {table} has to contain {_PARTITION_DATE[table]}")
-    # ``last`` may use columns that the table does not have, such as a load number.
-    incoming = _staged(first_per_key(df, keys, last), table)
-    _replace(df.sparkSession, root, table, incoming, keys, incoming, _years(incoming))
+    spark = df.sparkSession
+    load = loads.begin(spark, root)
+    _write(spark, root, load, {table: _upsert(_stored(spark, root, table), df, table, last, keys)})
+
+
+def _deletion(stored: DataFrame | None, doomed: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, set[int]]:
+    if stored is None:
+        return None, set()
+    years = _years(stored.join(doomed.select(*keys).distinct(), list(keys), "left_semi"))
+    return (_replacement(stored, doomed, keys, None, years) if years else None), years
 
 
 def delete_from_table(spark: SparkSession, root: str, table: str, doomed: DataFrame, keys: Sequence[str]) -> None:
     """Delete by key, rewriting only the partitions that hold a doomed row."""
-    hit = read_table(spark, root, table).join(doomed.select(*keys).distinct(), list(keys), "left_semi")
-    _replace(spark, root, table, doomed, keys, None, _years(hit))
+    load = loads.begin(spark, root)
+    _write(spark, root, load, {table: _deletion(_stored(spark, root, table), doomed, keys)})
+
+
+def delete_statements(spark: SparkSession, root: str, doomed: DataFrame) -> None:
+    """Delete the statements in ``doomed`` (id) with their positions and trades, in one load.
+
+    Ids that are not stored are ignored. Of each table only the partitions with a row of these statements are rewritten.
+    """
+    load = loads.begin(spark, root)
+    # Written first, since ``doomed`` may be read from the tables that the load changes.
+    ids = written_once(doomed.select("id").where(F.col("id").isNotNull()).distinct())
+    children = ids.select(F.col("id").alias("statement_id"))
+    _write(spark, root, load, {
+        "statements": _deletion(_stored(spark, root, "statements"), ids, ["id"]),
+        "positions": _deletion(_stored(spark, root, "positions"), children, ["statement_id"]),
+        "trades": _deletion(_stored(spark, root, "trades"), children, ["statement_id"]),
+    })
 
 
 def store_statements(root: str, statements: DataFrame, positions: DataFrame, trades: DataFrame) -> None:
-    """Store statements with their positions and trades.
+    """Store statements with their positions and trades in one load: readers see all of it or nothing.
 
     A header replaces the one with its key. The positions and trades of the same statement ids are replaced whole;
-    trades that another stored statement of the account already has are left out.
+    trades that another stored statement of the account already has are left out. Such a trade has the same time,
+    so only the years of the incoming trades are searched.
     """
     spark = statements.sparkSession
+    load = loads.begin(spark, root)
     headers = written_once(statements)
     ids = headers.select(F.col("id").alias("statement_id")).distinct()
-    upsert_table(headers, root, "statements", [F.col("created_at").desc(), F.col("id")])
-
-    def stored(table: str) -> DataFrame | None:
-        return read_table(spark, root, table) if _exists(spark, f"{root}/{table}") else None
-
-    old_trades, old_positions = stored("trades"), stored("positions")
-    if old_trades is not None:
-        accounts = headers.select("account_id").distinct()
-        others = delete_keys(old_trades.join(accounts, "account_id", "left_semi"), ids, ["statement_id"])
-        trades = accepted_trades(trades, others)
-    for table, old, new in (("positions", old_positions, positions), ("trades", old_trades, trades)):
-        incoming = _staged(new, table)
-        years = _years(incoming)
-        if old is not None:
-            years |= _years(old.join(ids, "statement_id", "left_semi"))
-        _replace(spark, root, table, ids, ["statement_id"], incoming, years)
+    old = {table: _stored(spark, root, table) for table in ("statements", "positions", "trades")}
+    changes = {"statements": _upsert(
+        old["statements"], headers, "statements", [F.col("created_at").desc(), F.col("id")], KEYS["statements"])}
+    new = {"positions": _staged(positions, "positions"), "trades": _staged(trades, "trades")}
+    for table, rows in new.items():
+        stored, years = old[table], _years(rows)
+        if stored is not None:
+            if table == "trades":
+                near = stored.where(F.col(PARTITION_COLUMN).isin(sorted(years)))
+                near = near.join(headers.select("account_id").distinct(), "account_id", "left_semi")
+                rows = accepted_trades(rows, delete_keys(near, ids, ["statement_id"]))
+            years |= _years(stored.join(ids, "statement_id", "left_semi"))
+        changes[table] = _replacement(stored, ids, ["statement_id"], rows, years), years
+    _write(spark, root, load, changes)
 
 
 def export_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:

@@ -11,7 +11,7 @@ from folioforge.operators import quality as Q
 from folioforge.operators import statement_rows as S
 from folioforge.operators import trades as T
 from folioforge.plans import views as V
-from folioforge.sources import landed, tables
+from folioforge.sources import landed, loads, tables
 
 PH = ["Symbol", "Quantity", "Mult", "Cost Price", "Cost Basis", "Close Price", "Value", "Unrealized P/L", "Code"]
 TH = ["Symbol", "Date/Time", "Quantity", "T. Price", "C. Price", "Proceeds", "Comm/Fee", "Basis", "Realized P/L", "MTM P/L", "Code"]
@@ -194,7 +194,7 @@ def test_writes_touch_only_their_partitions(spark, tmp_path):
     rows = [("A", date(y, 1, 2), float(y), 0) for y in range(2010, 2020)] + [("B", date(2015, 1, 2), 1.0, 0)]
     schema = "symbol string, price_date date, close double, n int"
     tables.upsert_table(spark.createDataFrame(rows, schema), root, "daily_prices", [F.col("n").desc()])
-    files = lambda: {p.parent.name: p.name for p in Path(root).rglob("*.parquet")}
+    files = lambda: {p.parent.name: p.name for p in Path(root, "daily_prices").rglob("*.parquet")}
     before = files()
     tables.upsert_table(spark.createDataFrame([("A", date(2013, 1, 2), 9.0, 1)], schema), root, "daily_prices", [F.col("n").desc()])
     after = files()
@@ -208,6 +208,81 @@ def test_writes_touch_only_their_partitions(spark, tmp_path):
         tables.upsert_table(spark.createDataFrame(rows, schema), root, "daily_prices", [F.col("n").desc()], keys=["symbol"])
 
 
+def statement_load(spark, ids, quantity):
+    heads = spark.createDataFrame([(i, "U1", date(y, 1, 1), date(y, 12, 31)) for i, y in ids], "id string, account_id string, period_start date, period_end date")
+    heads = heads.withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    rows = [(i, "AAPL", "STK", quantity, date(y, 12, 31), "U1") for i, y in ids]
+    positions = spark.createDataFrame(rows, "statement_id string, symbol string, asset_class string, quantity int, statement_date date, account_id string")
+    deals = [(i, datetime(y, 5, 1), "AAPL", "STK", "BOT", quantity, 1, "U1") for i, y in ids]
+    trades = spark.createDataFrame(
+        deals, "statement_id string, trade_date timestamp_ntz, symbol string, asset_class string, side string, quantity int, price int, account_id string")
+    return heads, positions, trades
+
+
+def stored_state(spark, root):
+    return {t: sorted((r[0], int(r[1])) for r in tables.read_table(spark, root, t).select("statement_id", "quantity").collect())
+            for t in ("positions", "trades")} | {"statements": sorted(r.id for r in tables.read_table(spark, root, "statements").collect())}
+
+
+def expected_state(rows):
+    return {"positions": rows, "trades": rows, "statements": [i for i, _ in rows]}
+
+
+def test_stopped_loads_are_whole_or_absent(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    tables.store_statements(root, *statement_load(spark, [("a", 2019), ("b", 2020)], 1))
+    first = expected_state([("a", 1), ("b", 1)])
+    assert stored_state(spark, root) == first
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    # Stopped after staging one of three tables: nothing of the load is seen, and the next load drops it.
+    real_stage = loads.stage
+    with monkeypatch.context() as m:
+        m.setattr(loads, "stage", lambda load, table, rows: stop() if table == "trades" else real_stage(load, table, rows))
+        with pytest.raises(RuntimeError):
+            tables.store_statements(root, *statement_load(spark, [("b", 2020), ("c", 2021)], 2))
+    assert stored_state(spark, root) == first
+    loads.recover(spark, root)
+    assert stored_state(spark, root) == first and not list(Path(root, "_loads").iterdir())
+
+    # Stopped after the commit, with one of three tables copied: all of it is seen, before and after recovery.
+    real_publish = loads._publish_table
+    second = expected_state([("a", 1), ("b", 2), ("c", 2)])
+    with monkeypatch.context() as m:
+        m.setattr(loads, "_publish_table", lambda *a: real_publish(*a) if a[3] == "statements" else stop())
+        with pytest.raises(RuntimeError):
+            tables.store_statements(root, *statement_load(spark, [("b", 2020), ("c", 2021)], 2))
+    assert stored_state(spark, root) == second
+    loads.recover(spark, root)
+    assert stored_state(spark, root) == second
+    assert loads.pending(spark, root, "trades") is None
+
+    # The first load of a table may also stop after its commit.
+    fresh = f"{tmp_path}/fresh"
+    with monkeypatch.context() as m:
+        m.setattr(loads, "_publish_table", stop)
+        with pytest.raises(RuntimeError):
+            tables.store_statements(fresh, *statement_load(spark, [("a", 2019)], 3))
+    assert stored_state(spark, fresh) == expected_state([("a", 3)])
+
+
+def test_stored_cascade_delete(spark, tmp_path):
+    root = str(tmp_path)
+    tables.store_statements(root, *statement_load(spark, [("a", 2019), ("b", 2020), ("c", 2021)], 1))
+    files = lambda t: {p.parent.name: p.name for p in Path(root, t).rglob("*.parquet")}
+    before = {t: files(t) for t in ("statements", "positions", "trades")}
+    doomed = spark.createDataFrame([("b",), ("b",), ("unknown",), (None,)], "id string")
+    tables.delete_statements(spark, root, doomed)
+    assert stored_state(spark, root) == expected_state([("a", 1), ("c", 1)])
+    for t, had in before.items():
+        assert files(t) == {k: v for k, v in had.items() if k != "part_year=2020"}
+    # Ids may be read from the tables themselves; nothing is left, and the tables still read.
+    tables.delete_statements(spark, root, tables.read_table(spark, root, "statements").select("id"))
+    assert stored_state(spark, root) == expected_state([])
+
+
 def test_years_come_from_the_trades(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     for name in ("part", "orders", "customer"):
