@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.keyed import delete_keys, null_safe_join
+from folioforge.operators.keyed import delete_keys
 from folioforge.operators.trades import with_account
-from folioforge.schemas import TRADE_FINGERPRINT
+from folioforge.schemas import TRADE_FINGERPRINT, TRADES
 
 _FINGERPRINT = ["account_id", *TRADE_FINGERPRINT]
 
 
+def _fingerprint() -> Column:
+    """The identity of a trade as one value of fixed types. Missing parts are equal to each other in it."""
+    types = {f.name: f.dataType for f in TRADES.fields}
+    return F.struct(*[F.col(c).cast(types[c]).alias(c) for c in _FINGERPRINT])
+
+
 def accepted_trades(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming trades that no other statement of the account has.
 
     Both sides carry account_id. ``stored`` excludes the statements being loaded. Among statements
     of one load the smallest id keeps a shared trade; repeated rows inside a statement all stay.
-    Holders are reduced to one row per fingerprint before the joins, so repeated trades do not
-    multiply.
+    Stored and incoming rows meet once, tagged, in one partial aggregation per fingerprint, whose exchange
+    the join back to the incoming rows keeps.
     """
-    holder = incoming.groupBy(*_FINGERPRINT).agg(F.min("statement_id").alias("holder"))
-    known = stored.select(*_FINGERPRINT).distinct()
-    fresh = null_safe_join(holder, known, _FINGERPRINT, "left_anti")
+    tagged = incoming.select(_fingerprint().alias("fingerprint"), "statement_id", F.lit(False).alias("known")).unionByName(
+        stored.select(_fingerprint().alias("fingerprint"), F.lit(None).cast("string").alias("statement_id"), F.lit(True).alias("known")))
+    fresh = (
+        tagged.groupBy("fingerprint").agg(F.min("statement_id").alias("holder"), F.bool_or("known").alias("known"))
+        .where(~F.col("known")).drop("known")
+    )
     return (
-        null_safe_join(incoming, fresh, _FINGERPRINT)
-        .where(F.col("statement_id") == F.col("holder")).drop("holder")
+        incoming.withColumn("fingerprint", _fingerprint()).join(fresh, "fingerprint")
+        .where(F.col("statement_id") == F.col("holder")).select(*incoming.columns)
     )
 
 
