@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioforge.operators import quality as Q
 from folioforge.operators.lineage import fresh_path
+from folioforge.plans import landed_views as L
 from folioforge.plans import views as V
 from folioforge.plans.registry import query, show
-from folioforge.sources import tables
+from folioforge.sources import landed, tables
 
 
 @query("stored_upsert_prices", ("daily_prices",), """
@@ -78,3 +80,67 @@ def stored_cascade_delete(spark, sf):
     left = tables.read_table(spark, root, "statements").select(
         F.lit("statements").alias("child"), F.col("id").alias("statement_id"), F.lit(1).cast("bigint").alias("rows"))
     return show(kept[0].unionByName(kept[1]).unionByName(left))
+
+
+@query("checked_metric_load", ("stock_metrics",), """
+SELECT unnest(['received', 'accepted', 'rule symbol', 'rule metric_value', 'rule period_end', 'rule cik', 'inserted', 'updated', 'stored', 'quarantined']) AS figure,
+ unnest([received, accepted, blanks, valueless, 0, companyless, inserted, updated, stored, quarantined]) AS rows FROM (
+ SELECT count(*) AS received, count(*) FILTER (sound) AS accepted, count(*) FILTER (blank) AS blanks, count(*) FILTER (valueless) AS valueless,
+  count(*) FILTER (companyless) AS companyless, count(*) FILTER (sound AND NOT early) AS inserted, count(*) FILTER (sound AND early) AS updated,
+  count(*) FILTER (sound OR early) AS stored, count(*) FILTER (NOT sound) AS quarantined
+ FROM (SELECT *, NOT (blank OR valueless OR companyless) AS sound FROM (
+  SELECT year(period_end) < 1997 AS early, fiscal_year % 5 = 0 AND metric_name = 'revenue' AS blank,
+   fiscal_year % 7 = 0 AND metric_name = 'net_income' AS valueless, fiscal_year % 3 = 0 AND metric_name = 'total_assets' AS companyless
+  FROM stock_metrics) flags) judged) counted""")
+def checked_metric_load(spark, sf):
+    """Metrics before 1997 stored; then all come again with spaces and capitals, some without symbol, value or CIK."""
+    root, metrics = fresh_path(spark, "tables"), V.stock_metrics(spark, sf).withColumn("source", F.lit("SEC_EDGAR"))
+    tables.write_table(Q.clean_metrics(metrics.where(F.year("period_end") < 1997)), root, "stock_metrics")
+
+    def spoiled(column: str, metric: str, every: int, value):
+        return F.when((F.col("fiscal_year") % every == 0) & (F.lower(F.trim("metric_name")) == metric), value).otherwise(F.col(column))
+
+    second = metrics.withColumn("metric_name", F.concat(F.lit(" "), F.upper("metric_name"))).withColumns({
+        "symbol": spoiled("symbol", "revenue", 5, F.lit("  ")), "metric_value": spoiled("metric_value", "net_income", 7, F.lit(None)),
+        "cik": spoiled("cik", "total_assets", 3, F.lit(None))})
+    report = tables.upsert_checked(Q.clean_metrics(second), root, "stock_metrics", Q.metric_rules(), [F.col("metric_value")])
+    observed = {"received": report.received, "accepted": report.accepted, **{f"rule {k}": v for k, v in report.broken.items()},
+                "inserted": report.inserted, "updated": report.updated}
+    rows = spark.createDataFrame(list(observed.items()), "figure string, rows long")
+    stored = tables.read_table(spark, root, "stock_metrics").agg(F.lit("stored").alias("figure"), F.count("*").alias("rows"))
+    held = report.quarantine.agg(F.lit("quarantined").alias("figure"), F.count("*").alias("rows"))
+    return rows.unionByName(stored).unionByName(held)
+
+
+@query("landed_rows_quarantine", ("trades",), """
+SELECT statement_id AS file_id, CASE WHEN quantity = 9 THEN 'malformed' WHEN quantity = 11 THEN 'place' ELSE 'kept' END AS reason, count(*) AS rows
+FROM trades GROUP BY ALL""")
+def landed_rows_quarantine(spark, sf):
+    """One JSON line a trade, written to the shared folder; some are cut off in the middle, some have no row number."""
+    path = fresh_path(spark, "lines")
+    number = F.when(F.col("quantity") == 11, F.lit(None)).otherwise(F.lit(1)).cast("bigint")
+    line = F.to_json(F.struct(
+        F.col("statement_id").alias("file_id"), F.lit(1).cast("bigint").alias("page"), F.lit(1).cast("bigint").alias("table_no"),
+        number.alias("row_no"), F.array("symbol", "side").alias("cells")))
+    cut = F.when(F.col("quantity") == 9, F.substr("line", F.lit(1), F.length("line") - 5)).otherwise(F.col("line"))
+    V.trades(spark, sf).withColumn("line", line).select(cut.alias("value")).write.text(path)
+    kept, lost = landed.landed_statement_rows(spark, path)
+    named = lost.select(F.regexp_extract("raw", '"file_id":"([^"]*)"', 1).alias("file_id"), "reason")
+    return kept.select("file_id", F.lit("kept").alias("reason")).unionByName(named).groupBy("file_id", "reason").agg(F.count("*").alias("rows"))
+
+
+@query("landed_facts_quarantine", ("stock_metrics",), """
+SELECT lpad(CAST(n AS VARCHAR), 10, '0') AS cik, CASE WHEN n % 5 = 0 THEN 'malformed' WHEN n % 7 = 0 THEN 'facts' ELSE 'kept' END AS reason, count(*) AS files
+FROM (SELECT DISTINCT CAST(cik AS INT) AS n FROM stock_metrics) c GROUP BY ALL""")
+def landed_facts_quarantine(spark, sf):
+    """One facts file a company; some end in the middle, some have no fact tree."""
+    path, number = fresh_path(spark, "facts"), F.col("cik").cast("int")
+    body = (
+        F.when(number % 5 == 0, F.substr("body", F.lit(1), F.length("body") - 3))
+        .when(number % 7 == 0, F.regexp_replace("body", '"facts":', '"other":')).otherwise(F.col("body"))
+    )
+    L.company_documents(spark, sf).select("cik", body.alias("value")).write.partitionBy("cik").text(path)
+    kept, lost = landed.landed_company_facts(spark, path + "/*/")
+    found = F.lpad(F.regexp_extract("body", r'"cik":(\d+)', 1), 10, "0").alias("cik")
+    rows = kept.select(found, F.lit("kept").alias("reason")).unionByName(lost.select(found, "reason"))
+    return rows.groupBy("cik", "reason").agg(F.count("*").alias("files"))

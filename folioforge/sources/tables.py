@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.operators.keyed import delete_keys, first_per_key
+from folioforge.operators.keyed import delete_keys, first_per_key, null_safe_join
 from folioforge.operators.lineage import written_once
+from folioforge.operators.quality import with_violations
 from folioforge.operators.statements import accepted_trades
 from folioforge.schemas import KEYS, TABLES
 from folioforge.sources import loads
@@ -53,7 +55,8 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -> None:
-    """Write conformed rows partitioned by year; overwrite replaces the whole table."""
+    """Write conformed rows partitioned by year; overwrite replaces the whole table. A stopped load is ended first."""
+    loads.recover(df.sparkSession, root)
     (
         conform(df, table).withColumn(PARTITION_COLUMN, _partition_value(table))
         .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(PARTITION_COLUMN)
@@ -171,6 +174,52 @@ def store_statements(root: str, statements: DataFrame, positions: DataFrame, tra
     _write(spark, root, load, changes)
 
 
+@dataclass(frozen=True)
+class LoadReport:
+    """What a checked load did. ``broken`` counts the rows that break each rule (a row may break several)."""
+
+    received: int
+    accepted: int
+    broken: dict[str, int]
+    inserted: int
+    updated: int
+    quarantine: DataFrame
+
+
+def upsert_checked(
+    df: DataFrame, root: str, table: str, rules: dict[str, Column], last: Sequence[Column], keys: Sequence[str] | None = None,
+) -> LoadReport:
+    """Upsert the rows that keep all rules; the others are written to a quarantine relation with their violations.
+
+    All counts are observed while the rows are written: the rule counts when they are parted, inserted and updated
+    keys when the accepted rows are matched with the stored keys of their partitions. Nothing is read again to be counted.
+    """
+    spark, keys = df.sparkSession, list(keys or KEYS[table])
+    load = loads.begin(spark, root)
+    seen = Observation()
+    judged = with_violations(df, rules).observe(
+        seen, F.count(F.lit(1)).alias("received"), F.count_if(F.size("violations") == 0).alias("accepted"),
+        *[F.count_if(F.array_contains("violations", name)).alias(f"rule_{name}") for name in rules])
+    parted = written_once(judged)
+    good = parted.where(F.size("violations") == 0).drop("violations")
+    incoming = conform(first_per_key(good, keys, last), table).withColumn(PARTITION_COLUMN, _partition_value(table))
+    stored, matched = _stored(spark, root, table), Observation()
+    if stored is None:
+        incoming = incoming.withColumn("known", F.lit(False))
+    else:
+        # Only the stored partitions of the load are searched for its keys.
+        near = stored.where(F.col(PARTITION_COLUMN).isin(sorted(_years(incoming))))
+        incoming = null_safe_join(incoming, near.select(*keys).distinct().withColumn("known", F.lit(True)), keys, "left")
+    incoming = written_once(incoming.observe(
+        matched, F.count_if(~F.coalesce("known", F.lit(False))).alias("inserted"), F.count_if("known").alias("updated"))).drop("known")
+    years = _years(incoming)
+    _write(spark, root, load, {table: (_replacement(stored, incoming, keys, incoming, years), years)})
+    counts, met = seen.get, matched.get
+    return LoadReport(
+        counts["received"], counts["accepted"], {name: counts[f"rule_{name}"] for name in rules}, met["inserted"], met["updated"],
+        parted.where(F.size("violations") > 0))
+
+
 def export_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Selected columns as CSV files with a header."""
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)

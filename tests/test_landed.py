@@ -266,6 +266,9 @@ def test_stopped_loads_are_whole_or_absent(spark, tmp_path, monkeypatch):
         with pytest.raises(RuntimeError):
             tables.store_statements(fresh, *statement_load(spark, [("a", 2019)], 3))
     assert stored_state(spark, fresh) == expected_state([("a", 3)])
+    # Writing a table whole ends the stopped load first, so that its files do not hide the new rows.
+    tables.write_table(statement_load(spark, [("a", 2019)], 4)[1], fresh, "positions")
+    assert stored_state(spark, fresh) == expected_state([("a", 3)]) | {"positions": [("a", 4)]}
 
 
 def test_stored_cascade_delete(spark, tmp_path):
@@ -307,3 +310,51 @@ def test_bars_and_statement_rows_from_files(spark, tmp_path):
     assert {v for r in Q.quarantine(bars, Q.price_rules()).collect() for v in r.violations} >= {"symbol", "price_date", "open", "close"}
     (tmp_path / "rows.json").write_text(json.dumps({"file_id": "f", "page": 1, "table_no": 0, "row_no": 0, "cells": ["a", None]}) + "\n")
     assert landed.read_statement_rows(spark, str(tmp_path / "rows.json")).first().cells == ["a", ""]
+
+
+def test_malformed_landed_lines(spark, tmp_path):
+    good = {"file_id": "f", "page": 1, "table_no": 0, "row_no": 0, "cells": ["a", None]}
+    lines = [json.dumps(good), json.dumps(good)[:-9], "", "  ", "[1]", "7", json.dumps(good | {"page": "x"}), json.dumps(good | {"row_no": None}), "{}",
+             json.dumps(good | {"extra": 1})]
+    (tmp_path / "rows.json").write_text("\n".join(lines) + "\n")
+    kept, lost = landed.landed_statement_rows(spark, str(tmp_path / "rows.json"))
+    assert [r.cells for r in kept.collect()] == [["a", ""], ["a", ""]]
+    reasons = sorted(r.reason for r in lost.collect())
+    assert reasons.count("place") == 2 and reasons.count("malformed") == 4
+    assert {r.raw for r in lost.collect()} >= {lines[1], lines[6]} and lost.first().file.endswith("rows.json")
+    (tmp_path / "none.json").write_text("")
+    assert [df.count() for df in landed.landed_statement_rows(spark, str(tmp_path / "none.json"))] == [0, 0]
+
+
+def test_malformed_facts_files(spark, tmp_path):
+    bodies = {"CIK0000000001.json": {"cik": 1, "facts": {"us-gaap": {}}}, "2.json": {"cik": 2}, "x.json": {"facts": {}}, "part-00007.json": {"cik": 3, "facts": {}}}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(json.dumps(body))
+    (tmp_path / "4.json").write_text('{"cik": 4, "facts": {"us-gaap": {')
+    (tmp_path / "5.json").write_text(" ")
+    (tmp_path / "6.json").write_text("")
+    kept, lost = landed.landed_company_facts(spark, str(tmp_path))
+    assert sorted(r.cik for r in kept.collect()) == ["0000000001", "0000000003"]
+    assert sorted((r.cik or "", r.reason) for r in lost.collect()) == [
+        ("", "cik"), ("0000000002", "facts"), ("0000000004", "malformed"), ("0000000005", "malformed")]
+
+
+def test_checked_upsert_observes_its_counts(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "symbol string, price_date date, open double, high double, low double, close double, volume bigint"
+    bar = lambda symbol, day, close=1.0: (symbol, day, 1.0, 1.0, 1.0, close, 5)
+    days = [date(2023, 1, 2), date(2024, 1, 2)]
+    load = lambda rows: tables.upsert_checked(
+        Q.clean_symbols(spark.createDataFrame(rows, schema)), root, "daily_prices", Q.price_rules(), [F.col("close").desc()])
+    first = load([bar("a", days[0]), bar(" ", days[0]), bar("b", None, -1.0)])
+    assert (first.received, first.accepted, first.inserted, first.updated) == (3, 1, 1, 0)
+    assert first.broken["symbol"] == first.broken["price_date"] == first.broken["close"] == 1 and first.broken["open"] == 0
+    assert sorted(r.violations for r in first.quarantine.collect()) == [["price_date", "close"], ["symbol"]]
+    # Repeated keys of one load count once, and only stored keys are updates.
+    second = load([bar("A", days[0], 2.0), bar("A ", days[0], 3.0), bar("A", days[1]), bar("c", days[0])])
+    assert (second.received, second.accepted, second.inserted, second.updated) == (4, 4, 2, 1)
+    got = {(r.symbol, r.price_date.year): float(r.close) for r in tables.read_table(spark, root, "daily_prices").collect()}
+    assert got == {("A", 2023): 3, ("A", 2024): 1, ("C", 2023): 1}
+    empty = load([bar("", days[0])])
+    assert (empty.received, empty.accepted, empty.inserted, empty.updated) == (1, 0, 0, 0)
+    assert tables.read_table(spark, root, "daily_prices").count() == 3
