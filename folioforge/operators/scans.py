@@ -21,17 +21,19 @@ SEGMENT_ROWS = 20_000
 TIE_BYTES = 3
 
 
-def in_segments(df: DataFrame, order: Sequence[str], rows: int = SEGMENT_ROWS) -> DataFrame:
+def in_segments(df: DataFrame, order: Sequence[str], rows: int = SEGMENT_ROWS, place: str | None = None) -> DataFrame:
     """The rows in segments of at most ``rows`` neighbours in ``order``, as columns ``part`` and ``seg``.
 
     Rows are dealt out by ranges of the order, sorted within their partition and counted there, so a segment is bounded
     whatever the keys look like: a hot key simply has many of them. ``part`` numbers the ranges, ``seg`` the segments of one range.
+    ``place`` names a column for the number of each row, ascending in ``order`` and without gaps inside a range.
     The result is written once, because the numbers must not be drawn again.
     """
-    place = F.col("__place")
+    number = F.col("__place")
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
     return written_once(ordered.withColumns({
-        "part": F.shiftright(place, 33).cast("int"), "seg": F.floor(F.pmod(place, F.lit(1 << 33)) / rows).cast("int"),
+        "part": F.shiftright(number, 33).cast("int"), "seg": F.floor(F.pmod(number, F.lit(1 << 33)) / rows).cast("int"),
+        **({place: number} if place else {}),
     }).drop("__place"))
 
 
@@ -58,7 +60,8 @@ def segment_scan(
         return {f"__{tag}_{n}": F.last(f"__last_{n}", ignorenulls=True).over(before) for n in last} | {
             f"__{tag}_{n}": F.sum(f"__sum_{n}").over(before) for n in sums}
 
-    by_segment = staged.groupBy(*whole).agg(*newest("__set_", order), *[F.sum(f"__add_{n}").alias(f"__sum_{n}") for n in sums])
+    # Written, since it is read twice: the rows are summarised once.
+    by_segment = written_once(staged.groupBy(*whole).agg(*newest("__set_", order), *[F.sum(f"__add_{n}").alias(f"__sum_{n}") for n in sums]))
     by_range = by_segment.groupBy(*ranges).agg(*newest("__last_", "seg"), *[F.sum(f"__sum_{n}").alias(f"__sum_{n}") for n in sums])
     outer = by_range.withColumns(earlier(keys, "part", "outer")).select(*ranges, *[f"__outer_{n}" for n in [*last, *sums]])
     carried = by_segment.withColumns(earlier(ranges, "seg", "inner")).join(outer, ranges).select(

@@ -2,8 +2,8 @@
 
 Rows are (file_id, page, table_no, row_no, cells); a row belongs to a file, so file_id is not null. The row-by-row reading
 state (account, section, asset class, currency, column header, row number) is "last value set before this row" or a count up to
-it. All of it comes from one scan over segments of a bounded number of rows (:func:`classify_rows`), so a file is spread
-over its rows even if a single page or table holds most of them; extractions only filter and project.
+it. All of it comes from one scan over the rows that change it, in segments of a bounded number of rows (:func:`classify_rows`), so a
+file is spread over its rows even if a single page or table holds most of them; extractions only filter and project.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import option_terms, to_decimal, to_period_date, to_trade_time
+from folioforge.operators.lineage import written_once
 from folioforge.operators.scans import SEGMENT_ROWS, in_segments, segment_scan
 
 # Vocabulary of the statement layout.
@@ -86,54 +87,104 @@ def _asset_class(label: Column) -> Column:
 
 
 def _tables(placed: DataFrame) -> DataFrame:
-    """One row per table: whether it starts a section of its own, the width that its rows take, and the file's markers.
+    """One row per table: whether it starts a section of its own, and the width that its rows take.
 
     A headless fragment takes the width of the headed table before it; the first table of a file counts as headed.
+    Rows are reduced by values of fixed size only, so they are counted in their tasks and never sorted or sent.
     """
-    headed = _first("head").isin(HEADER_WORDS) | section_name("head").isNotNull() | asset_label("head").isNotNull()
-    tables = placed.groupBy("file_id", F.struct("page", "table_no").alias("table")).agg(
-        F.min_by("cells", "row_no").alias("head"), F.max(F.size("cells")).alias("width"), F.sum("marker").alias("markers"),
-        F.min(F.struct("part", "seg")).alias("at"),
-    ).withColumn("headed", F.coalesce(headed, F.lit(False)))
-    files = tables.groupBy("file_id").agg(
-        F.min("table").alias("first_table"), F.min_by("width", "table").alias("first_width"), F.sum("markers").alias("markers_in_file"))
-    scanned = segment_scan(
-        tables.select("file_id", "table", "headed", "width", "at.part", "at.seg"), ["file_id"], "table",
-        last={"target": F.when(F.col("headed"), F.col("width"))})
-    return scanned.join(files, "file_id").select(
+    headed = _first().isin(HEADER_WORDS) | section_name().isNotNull() | asset_label().isNotNull()
+    at = F.shiftleft(F.col("part").cast("long"), 32) + F.col("seg")
+    tables = written_once(placed.groupBy("file_id", "page", "table_no").agg(
+        F.min_by(F.coalesce(headed, F.lit(False)), "row_no").alias("headed"), F.max(F.size("cells")).alias("width"), F.min(at).alias("at"),
+    ).select(
+        "file_id", F.struct("page", "table_no").alias("table"), F.coalesce("headed", F.lit(False)).alias("headed"), "width",
+        F.shiftright("at", 32).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("seg")))
+    files = tables.groupBy("file_id").agg(F.min("table").alias("first_table"), F.min_by("width", "table").alias("first_width"))
+    scanned = segment_scan(tables, ["file_id"], "table", last={"target": F.when(F.col("headed"), F.col("width"))})
+    return written_once(scanned.join(files, "file_id").select(
         "file_id", "table.page", "table.table_no", (F.col("headed") | (F.col("table") == F.col("first_table"))).alias("starts"),
-        F.coalesce("target", "first_width").alias("target"), "markers_in_file")
+        F.coalesce("target", "first_width").alias("target")))
 
 
 def merge_fragments(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Rows in segments, headerless table fragments fitted to the preceding headed table of the file.
 
-    Fragment rows take the width of that table (padded or cut) and lose repeated page headers; ``marker`` is 1 where an
-    account starts.
+    Fragment rows take the width of that table (padded or cut); ``kept`` is false for repeated page headers, which later
+    steps leave out. ``marker`` is 1 where an account starts, ``place`` numbers the rows of each range without gaps.
     """
-    clean = rows.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit("")))).withColumn(
-        "marker", (_first() == "Account Information").cast("long")
-    )
-    placed = in_segments(clean, ["file_id", *_PLACE], segment_rows)
+    clean = rows.where(F.col("page").isNotNull() & F.col("table_no").isNotNull()).withColumn(
+        "cells", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
+    placed = in_segments(clean, ["file_id", *_PLACE], segment_rows, place="place")
     cells, target = F.col("cells"), F.col("target")
     fitted = F.when(F.size("cells") < target, F.concat("cells", F.array_repeat(F.lit(""), target - F.size("cells")))).when(
         (F.size("cells") > target) & (target > 0), F.slice("cells", F.lit(1), target)).otherwise(cells)
     return (
         placed.join(_tables(placed), ["file_id", "page", "table_no"])
-        .where(F.col("starts") | ~((_first() == "Open Positions") & _alone()))
-        .withColumn("cells", F.when(F.col("starts"), cells).otherwise(fitted))
-        .select("file_id", "part", "seg", "page", F.struct(*_PLACE).alias("pos"), "cells", "marker", "markers_in_file")
+        .withColumns({
+            "marker": (_first() == "Account Information").cast("long"),
+            "kept": F.col("starts") | ~((_first() == "Open Positions") & _alone()),
+            "cells": F.when(F.col("starts"), cells).otherwise(fitted),
+        })
+        .select("file_id", "part", "seg", "place", F.struct(*_PLACE).alias("pos"), "cells", "marker", "kept")
     )
 
 
+# Rows that look up their state together: a row compares itself with the state changes among so many rows at most.
+_CHUNK_BITS = 10
+
+
+def _states(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The reading state where it changes: (chunk, place, end, state) and one row per state.
+
+    A state holds from ``place`` up to ``end`` (exclusive). Only the rows that set something or are left out are scanned, with
+    the first row of a file in each range; all other rows look their state up. ``shift`` + place is the row's number in its account.
+    """
+    first, pos, marked = F.col("first"), F.col("pos"), F.col("marker") == 1
+    put = lambda cond, value: F.when(cond, F.struct(pos.alias("at"), value.alias("value")))
+    sets = marked | F.col("section").isNotNull() | F.col("kind").isin("asset", "currency", "header")
+    changes = facts.where(~F.col("kept") | sets).select(
+        "file_id", "part", "seg", "place", F.lit(1).alias("own"), F.when(F.col("kept"), F.struct(
+            "marker", F.when(marked, pos).alias("account_at"),
+            put(F.col("section").isNotNull(), F.col("section")).alias("current"),
+            put(F.col("kind") == "asset", _asset_class(F.col("label"))).alias("asset"),
+            put(F.col("kind") == "currency", first).alias("currency"),
+            put(F.col("kind") == "header", F.transform("cells", lambda c: F.lower(F.trim(c)))).alias("header"))).alias("sets"))
+    # The rows of a file in a range are neighbours there.
+    spans = written_once(facts.groupBy("file_id", "part").agg(
+        F.min("place").alias("first_place"), F.count("*").alias("n"), F.min("seg").alias("seg"), F.sum("marker").alias("markers")))
+    leading = spans.select("file_id", "part", "seg", F.col("first_place").alias("place"), F.lit(0).alias("own"), F.lit(None).alias("sets"))
+    changes = written_once(changes.unionByName(leading).withColumn("order", F.col("place") * 2 + F.col("own")))
+    state = segment_scan(changes, ["file_id"], "order", last={n: F.col(f"sets.{n}") for n in ("account_at", "current", "asset", "currency", "header")},
+                         sums={"account_seq": F.coalesce("sets.marker", F.lit(0)), "lost": ((F.col("own") == 1) & F.col("sets").isNull()).cast("long")})
+    earlier = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = spans.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(
+        spans.groupBy("file_id").agg(F.sum("markers").alias("markers_in_file")), "file_id")
+    following = F.lead("place").over(Window.partitionBy("file_id", "part").orderBy("order"))
+    state = state.join(counted.drop("seg"), ["file_id", "part"]).withColumns({
+        "end": F.coalesce(following, F.col("first_place") + F.col("n")), "shift": F.col("before") - F.col("first_place") + 1 - F.col("lost")})
+    state = written_once(state)
+    # Rows of an account are numbered from its marker on, or from the file's first row.
+    starts = state.where("sets.marker = 1").select(*GROUP, (F.col("place") + F.col("shift")).alias("__first"))
+    here = lambda name: F.when(F.col("account_at").isNull() | (F.col(name)["at"] >= F.col("account_at")), F.col(name)).alias(name)
+    # Rows before the first marker belong to no account, unless the file has no marker at all.
+    owned = state.where((F.col("place") < F.col("end")) & ((F.col("account_seq") > 0) | (F.col("markers_in_file") == 0))).join(starts, GROUP, "left")
+    states = written_once(owned.select(
+        F.col("order").alias("state"), "account_seq", (F.col("shift") - F.coalesce("__first", F.lit(1)) + 1).alias("shift"), "place", "end",
+        here("current")["value"].alias("current"), here("asset"), here("currency"), here("header")))
+    chunk = lambda place: F.shiftright(place, _CHUNK_BITS)
+    spread = written_once(states.select(F.explode(F.sequence(chunk("place"), chunk(F.col("end") - 1))).alias("chunk"), F.col("place").alias("since"), "end", "state"))
+    return spread, states.drop("place", "end")
+
+
 def classify_rows(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Rows of each account with their layout facts and the reading state at each of them.
 
     Output: file_id, account_seq, row_num (within the account), pos (sortable place), cells, first, section, label, kind; the
     state is ``current`` (section) and ``asset``, ``currency``, ``header``: what was set last in the account, as (at, value) with
-    ``at`` the place where it was set. Several extractions read it, so callers usually write it once.
+    ``at`` the place where it was set. Several extractions read it, so callers usually write it once. Rows are dealt out once,
+    by :func:`in_segments`; after that they only look up small tables.
     """
-    first, pos = F.col("first"), F.col("pos")
+    first = F.col("first")
     kind = (
         F.when(F.size("cells") == 0, "empty").when(F.col("section").isNotNull(), "section")
         .when(first.isin(HEADER_WORDS), "header").when(F.col("label").isNotNull(), "asset")
@@ -141,22 +192,12 @@ def classify_rows(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFram
     )
     named = computed(merge_fragments(rows, segment_rows), first=_first(), section=section_name(), label=asset_label())
     facts = named.withColumn("kind", kind)
-    put = lambda cond, value: F.when(cond, F.struct(pos.alias("at"), value.alias("value")))
-    state = segment_scan(facts, ["file_id"], "pos", last={
-        "account_at": F.when(F.col("marker") == 1, pos),
-        "current": put(F.col("section").isNotNull(), F.col("section")),
-        "asset": put(F.col("kind") == "asset", _asset_class(F.col("label"))),
-        "currency": put(F.col("kind") == "currency", first),
-        "header": put(F.col("kind") == "header", F.transform("cells", lambda c: F.lower(F.trim(c)))),
-    }, sums={"account_seq": F.col("marker"), "rows_so_far": F.lit(1)})
-    # Rows before the first marker belong to no account, unless the file has no marker at all.
-    owned = state.where((F.col("account_seq") > 0) | (F.col("markers_in_file") == 0))
-    # Rows of an account are numbered from its marker on, or from the file's first row.
-    starts = state.where("marker = 1").select(*GROUP, F.col("rows_so_far").alias("__first"))
-    here = lambda name: F.when(F.col("account_at").isNull() | (F.col(name)["at"] >= F.col("account_at")), F.col(name)).alias(name)
-    return owned.join(starts, GROUP, "left").select(
-        *GROUP, (F.col("rows_so_far") - F.coalesce("__first", F.lit(1)) + 1).alias("row_num"), "pos", "cells", "first", "section", "label", "kind",
-        here("current")["value"].alias("current"), here("asset"), here("currency"), here("header"),
+    spread, states = _states(facts)
+    placed = facts.where("kept").withColumn("chunk", F.shiftright("place", _CHUNK_BITS))
+    inside = (F.col("place") >= F.col("since")) & (F.col("place") < F.col("end"))
+    return placed.join(spread, "chunk").where(inside).join(states, "state").select(
+        *GROUP, (F.col("place") + F.col("shift")).alias("row_num"), "pos", "cells", "first", "section", "label", "kind",
+        "current", "asset", "currency", "header",
     )
 
 
@@ -173,22 +214,23 @@ def statement_headers(classified: DataFrame) -> DataFrame:
         F.max_by(cell(1), at(info & (cell(0) == "Base Currency"))).alias("base_currency"),
         F.min_by(F.struct(F.date_add(prior, 1).alias("start"), end.alias("end")), at(dated)).alias("period"),
     )
-    return classified.select(*GROUP).distinct().join(found, GROUP, "left").select(
+    # Written, so that rows which join it know how small it is and need not be sent.
+    return written_once(classified.select(*GROUP).distinct().join(found, GROUP, "left").select(
         *GROUP, F.nullif(F.col("account_id"), F.lit("")).alias("account_id"),
         F.coalesce("base_currency", F.lit("USD")).alias("base_currency"),
         F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"),
-    )
+    ))
 
 
 def _section_bounds(classified: DataFrame, name: str) -> DataFrame:
     """First row of a section per group and the first row of a different section after it."""
-    heads = classified.where(F.col("section").isNotNull()).select(*GROUP, "pos", "section")
+    heads = written_once(classified.where(F.col("section").isNotNull()).select(*GROUP, "pos", "section"))
     starts = heads.where(F.col("section") == name).groupBy(*GROUP).agg(F.min("pos").alias("start_pos"))
     ends = heads.join(starts, GROUP).groupBy(*GROUP).agg(
         F.min("start_pos").alias("start_pos"),
         F.min(F.when((F.col("section") != name) & (F.col("pos") > F.col("start_pos")), F.col("pos"))).alias("end_pos"),
     )
-    return ends
+    return written_once(ends)
 
 
 def _section_state(classified: DataFrame, name: str) -> DataFrame:
@@ -319,4 +361,5 @@ def problem_context(diagnosed: DataFrame, before: int = 10, after: int = 5) -> D
         .select(*GROUP, F.explode(F.sequence(F.col("row_num") - before, F.col("row_num") + after)).alias("row_num"))
         .distinct()
     )
+    covered = written_once(covered)
     return diagnosed.join(covered, [*GROUP, "row_num"], "left_semi")

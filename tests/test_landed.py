@@ -127,6 +127,18 @@ def test_one_page_may_hold_most_rows(spark):
     assert S.classify_rows(rows.limit(0)).count() == 0
 
 
+def test_rows_are_dealt_out_once(spark):
+    """Rows only look up small tables after their segments are written: no exchange, sort or window of rows."""
+    big, want, _ = huge_account("U7", 400)
+    classified = S.classify_rows(land(spark, {"big": big, "two": account("U1") + account("U2")}), segment_rows=50)
+    lazy = [classified, S.extract_positions(classified, S.statement_headers(classified)), S.diagnose(classified)]
+    for df in lazy:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Exchange hashpartitioning", "Exchange rangepartitioning", "SortMergeJoin", "Window"))
+    found = {(r.account_id, r.symbol, r.asset_class, int(r.quantity), r.currency) for r in lazy[1].where("account_id = 'U7'").collect()}
+    assert found == set(want)
+
+
 def test_file_without_account_marker(spark):
     rows = land(spark, {"x": [[pad("Open Positions", 9), PH, pad("Stocks", 9), ["A", "1", "1", "1", "1", "1", "1", "0", ""]]]})
     classified = S.classify_rows(rows)
