@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: quality rules, near-duplicates, decontamination, personal data, packing.
 
 Each stage takes all that its predecessor kept, written as Parquet and read again. The first four return the columns of
-``documents``: the quality rules drop rejected documents, one document of each group of five-word similarity 0.8 stays, contaminated
-documents go, and personal data is replaced by labels inside the texts. The last stage returns the packed pieces with their token ids;
+``documents``: the quality rules drop rejected documents, of each component of SimHash fingerprints (popcount grid, three bits) one document
+stays and of these one of each group of five-word similarity 0.8, contaminated documents go, and personal data is replaced by labels inside the texts. The last stage returns the packed pieces with their token ids;
 ``packing.sequences`` puts them together.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import decontaminate, packing, pii, quality, similar
+from folioforge.llm import decontaminate, packing, pii, quality, simhash, similar
 from folioforge.operators.lineage import written_once
 
 # The workers of a cluster live on from stage to stage, so the last one keeps fewer token ids than packing alone would.
@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.representatives(docs)
+    """One document of each component of op7's fingerprints, then one of each group of similar texts among these."""
+    return similar.representatives(written_once(simhash.representatives(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

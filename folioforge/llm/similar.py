@@ -5,8 +5,8 @@ corpus meet as well. So candidates come from min-hashes of the shingles: 16 band
 0.9998 at 0.8. Every candidate pair is verified by the exact Jaccard similarity of its shingle sets.
 
 Copies never meet: the search runs over distinct texts (words with A-Z lower-cased). In a bucket of up to ``DENSE``
-texts all pairs are compared. In a larger one each text is compared with one of its texts, another in every band, and the texts are dealt
-into hands of about ``DEALT`` that are compared among themselves; that already joins a group of near copies. What else the texts of such buckets could be similar to is found exactly among all of them (:func:`crowded_links`): two
+texts all pairs are compared. In a larger one each text is compared with one of its texts, another in every band; then the texts are dealt
+into hands of about ``DEALT``, whose texts are compared where they are not joined yet. That already joins a group of near copies. What else the texts of such buckets could be similar to is found exactly among all of them (:func:`crowded_links`): two
 sets of similarity 0.8 share one of their rarest shingles, so texts that have only a common passage in common never meet, and texts
 already joined are not compared again. ``dense`` thus changes the plan and never a group.
 
@@ -153,13 +153,17 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similari
     hand = F.pmod(F.xxhash64("key", "bucket"), F.greatest(F.lit(1), (F.col("n") / DEALT).cast("long")))
     crowded = written_once(placed.join(many, "bucket").select("key", F.xxhash64("bucket", hand).alias("bucket"), "hub"))
     starred = crowded.where("key != hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    dealt = crowded.select("key", "bucket")
-    starred = starred.union(dealt.toDF("a", "bucket").join(dealt.toDF("b", "bucket"), "bucket").where("a < b").select("a", "b"))
     pairs = written_once(pairs.union(starred).distinct())
     found = _verified(pairs, _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), texts, shingle), similarity)
     if not crowded.head(1):
         return found
-    return found.union(crowded_links(_sets(crowded.select("key").distinct(), texts, shingle), roots(found), similarity))
+    sets = _sets(crowded.select("key").distinct(), texts, shingle)
+    # The hubs have joined most of a group of near copies; hands compare only texts that are still apart.
+    grouped = roots(found).withColumnRenamed("node", "key")
+    dealt = written_once(crowded.select("key", "bucket").join(grouped, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")))
+    hands = dealt.toDF("bucket", "a", "ra").join(dealt.toDF("bucket", "b", "rb"), "bucket").where("a < b AND ra != rb").select("a", "b")
+    found = found.union(_verified(written_once(hands.distinct()), sets, similarity))
+    return found.union(crowded_links(sets, roots(found), similarity))
 
 
 def representatives(documents: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, dense: int = DENSE) -> DataFrame:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from folioforge.llm import packing, registry, tokens
+from folioforge.llm import packing, registry, similar, simhash, tokens
 from folioforge.operators.lineage import written_once
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +56,31 @@ def test_stages_and_packing(spark, tmp_path):
     assert {(r.doc_id, r.piece, r.start, r.ids_crc32) for r in got} == want and len(got) == len(want)
 
 
+def test_near_duplicates_by_fingerprint_and_by_similarity(spark):
+    """Texts within three bits go by op7's fingerprints even below similarity 0.8; similar texts further apart go as well."""
+    rng = random.Random(5)
+    close = far = None
+    while close is None or far is None:
+        words = prose(rng, 30).split()
+        other = list(words)
+        for at in rng.sample(range(30), 2):
+            other[at] = f"x{rng.randrange(4000)}"
+        # A long repeat holds most shingles, so the fingerprint hardly moves while the set of shingles changes.
+        a, b = " ".join(words + ["so it goes on and"] * 200), " ".join(other + ["so it goes on and"] * 200)
+        close = close or (a, b)
+        long = prose(rng, 120).split()
+        changed = [*long[:60], "changed", *long[61:]]
+        bits = bin(simhash.fingerprint(" ".join(long).encode()) ^ simhash.fingerprint(" ".join(changed).encode())).count("1")
+        far = far or ((" ".join(long), " ".join(changed)) if bits > simhash.MAX_DISTANCE else None)
+    of = lambda t: set(similar.shingles(t.encode().split()).tolist())
+    likeness = [len(of(a) & of(b)) / len(of(a) | of(b)) for a, b in (close, far)]
+    apart = bin(simhash.fingerprint(close[0].encode()) ^ simhash.fingerprint(close[1].encode())).count("1")
+    assert likeness[0] < similar.SIMILARITY <= likeness[1] and apart <= simhash.MAX_DISTANCE
+    rows = [(1, close[0]), (2, close[1]), (3, far[0]), (4, far[1]), (5, prose(rng, 80))]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 5}
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
