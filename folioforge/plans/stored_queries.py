@@ -43,7 +43,8 @@ UNION ALL SELECT 'statements', id, 1, 0 FROM statements""")
 def stored_statement_load(spark, sf):
     """Yearly statements are stored, then the overlapping ones (whose trades all exist) and the first year once more."""
     root = fresh_path(spark, "tables")
-    heads, positions, trades = V.stored(V.statements, spark, sf), V.stored(V.positions_overlap, spark, sf), V.stored(V.trades_overlap, spark, sf)
+    base = V.stored(V.trades_base, spark, sf)
+    heads, positions, trades = V.stored(V.statements, spark, sf), V.stored(V.positions_overlap, spark, sf, base), V.trades_overlap(spark, sf, base)
     overlap = F.col("id").endswith("-overlap")
     first = F.col("period_end") == heads.agg(F.min("period_end")).scalar()
     for load in (heads.where(~overlap), heads.where(overlap | first)):
@@ -68,8 +69,9 @@ WHERE id LIKE '%7' OR split_part(id, '-', 1) <> 'U3' AND id NOT LIKE '%1996'""")
 def stored_cascade_delete(spark, sf):
     """Statements, positions and trades stored; then one year, and one account but for a year, deleted with all children."""
     root = fresh_path(spark, "tables")
-    for table, view in (("statements", V.statements), ("positions", V.positions), ("trades", V.trades)):
-        tables.write_table(view(spark, sf), root, table)
+    base = V.stored(V.trades_base, spark, sf)
+    for table, rows in (("statements", V.statements(spark, sf)), ("positions", V.positions(spark, sf, base)), ("trades", V.trades(spark, sf, base))):
+        tables.write_table(rows, root, table)
     heads = tables.read_table(spark, root, "statements")
     gone = ((F.col("account_id") == "U3") | F.col("id").endswith("1996")) & ~F.col("id").endswith("7")
     tables.delete_statements(spark, root, heads.where(gone).select("id"))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.operators.lineage import remove
 
 PARTITION_COLUMN = "part_year"
+# Every load writes the touched partitions twice, so their size counts.
+CODEC = "zstd"
 _MANIFEST, _DONE = "manifest.json", "done"
 
 
@@ -82,7 +84,7 @@ def _publish_table(spark: SparkSession, root: str, load: str, table: str, years:
     held = {int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(target) if "=" in s.getPath().getName()}
     if held:
         (
-            spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
             .partitionBy(PARTITION_COLUMN).parquet(path)
         )
     for year in set(years) - held:
@@ -114,7 +116,7 @@ def begin(spark: SparkSession, root: str) -> str:
 
 def stage(load: str, table: str, rows: DataFrame) -> None:
     """Write the whole new content of the partitions that the load replaces in ``table``."""
-    rows.write.partitionBy(PARTITION_COLUMN).parquet(f"{load}/{table}")
+    rows.write.option("compression", CODEC).partitionBy(PARTITION_COLUMN).parquet(f"{load}/{table}")
 
 
 def commit(spark: SparkSession, root: str, load: str, years: dict[str, set[int]]) -> None:

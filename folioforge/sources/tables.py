@@ -59,7 +59,7 @@ def write_table(df: DataFrame, root: str, table: str, mode: str = "overwrite") -
     loads.recover(df.sparkSession, root)
     (
         conform(df, table).withColumn(PARTITION_COLUMN, _partition_value(table))
-        .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(PARTITION_COLUMN)
+        .write.mode(mode).option("partitionOverwriteMode", "static").option("compression", loads.CODEC).partitionBy(PARTITION_COLUMN)
         .parquet(f"{root}/{table}")
     )
 
