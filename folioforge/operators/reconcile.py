@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.instruments import is_option, position_key, signed_quantity
 from folioforge.operators.holdings import dedup_positions, snapshot_dates
 from folioforge.operators.keyed import first_per_key
+from folioforge.operators.lineage import written_once
 from folioforge.operators.scans import in_segments, segment_scan
 from folioforge.operators.trades import dedup_trades, with_account
 from folioforge.schemas import POSITION_KEY
@@ -145,7 +146,8 @@ def ledger(trades: DataFrame, positions: DataFrame, statements: DataFrame) -> Da
     Holdings are keyed without nulls (absent option terms get a stand-in), so joins and scans share plain keys. The trades
     are cut into segments of a bounded size once; a holding with most trades of a day spreads over many.
     """
-    pairs = snapshot_pairs(positions, statements)
+    # Written, so that the trades which meet them know how few they are and need not be sent.
+    pairs = written_once(snapshot_pairs(positions, statements))
     moves = paired_trades(trades, positions, statements, pairs)
     symbol, *terms = position_key()
     base = dedup_positions(positions, statements).select(

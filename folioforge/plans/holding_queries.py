@@ -321,7 +321,8 @@ FROM moves m LEFT JOIN positions_dedup b ON b.account_id = m.account_id AND b.st
  AND b.expiry IS NOT DISTINCT FROM m.expiry AND b.strike IS NOT DISTINCT FROM m.strike AND b."right" IS NOT DISTINCT FROM m."right" """,
        extra=RECON, days=("base_date", "target_date"))
 def trade_ledger(spark, sf):
-    rows = R.ledger(V.stored(V.trades_overlap, spark, sf), V.stored(V.positions_overlap, spark, sf), V.statements(spark, sf))
+    base = V.stored(V.trades_base, spark, sf)
+    rows = R.ledger(V.trades_overlap(spark, sf, base), V.stored(V.positions_overlap, spark, sf, base), V.statements(spark, sf))
     return show(rows.select(
         *R.PAIR, "symbol", F.date_format("trade_date", "yyyy-MM-dd HH:mm:ss").alias("trade_time"), "side", "quantity", "running_qty"))
 

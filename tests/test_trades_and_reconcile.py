@@ -131,3 +131,18 @@ def test_consolidation_fallbacks(spark):
     assert full["AAPL 20260417 200 C"].breakeven == pytest.approx(202.5)
     report = {r.symbol: r for r in H.consolidate(rows, option_notional=False).collect()}
     assert report["AAPL 20260417 200 C"].market_value == 1000
+
+
+def test_written_trades_serve_all_views(spark):
+    from folioforge.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    base = V.stored(V.trades_base, spark, sf)
+    for view in (V.trades, V.trades_overlap, V.positions, V.positions_overlap):
+        shared, own = view(spark, sf, base), view(spark, sf)
+        assert shared.columns == own.columns and shared.count() == own.count() > 0
+        assert shared.exceptAll(own).isEmpty() and own.exceptAll(shared).isEmpty()
+    # The shared rows are read without a join, and lines meet the wide parts after their orders.
+    assert "Join" not in V.trades_overlap(spark, sf, base)._jdf.queryExecution().optimizedPlan().toString()
+    plan = V.trades(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("l_partkey") < plan.index("o_orderkey")
