@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths written on the way to the relation that is being distilled.
+_ON_THE_WAY: ContextVar[list[str] | None] = ContextVar("folioforge_on_the_way", default=None)
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and every executor reach.
@@ -46,4 +53,41 @@ def written_once(df: DataFrame) -> DataFrame:
     Later steps then scan columns of a table instead of repeating its plan, and a lost executor
     costs a re-read. The files go when the application ends.
     """
-    return written_to(df, fresh_path(df.sparkSession))
+    return written_to(df, _noted(fresh_path(df.sparkSession)))
+
+
+def _noted(path: str) -> str:
+    made = _ON_THE_WAY.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query that wrote them ends, unless the session has a setting of its own."""
+    if spark.conf.get(_DROP_SHUFFLES, None) is not None:
+        yield
+        return
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES)
+
+
+def distilled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The relation that ``make`` returns, written once; all that was written on the way to it is deleted then.
+
+    So a chain of wide intermediates takes the disk of its widest step, not of all steps together. Nothing made inside ``make``
+    may be read afterwards.
+    """
+    path, made = _noted(fresh_path(spark)), []
+    token = _ON_THE_WAY.set(made)
+    try:
+        with shuffles_dropped(spark):
+            return written_to(make(), path)
+    finally:
+        _ON_THE_WAY.reset(token)
+        for other in made:
+            remove(spark, other)

@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import facts as A
+from folioforge.operators import lineage
 from folioforge.operators import quality as Q
 from folioforge.operators import statement_rows as S
 from folioforge.operators import trades as T
@@ -370,3 +372,31 @@ def test_checked_upsert_observes_its_counts(spark, tmp_path):
     empty = load([bar("", days[0])])
     assert (empty.received, empty.accepted, empty.inserted, empty.updated) == (1, 0, 0, 0)
     assert tables.read_table(spark, root, "daily_prices").count() == 3
+
+
+def test_cells_travel_as_one_text(spark):
+    """Packing is reversible whatever the cells hold, and null rows, rows without cells and empty cells stay apart."""
+    odd = [None, [], [""], ["", ""], ["a"], ["\x1b"], ["\x1f"], ["\x1be", "\x1bb"], ["\x1b\x1f\x1b", "", "é\n,", "x\x1f"], ["\x1b", "b"], ["e\x1b", "\x1fb"]]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, cells array<string>")
+    back = rows.withColumn("cells", S._packed()).withColumn("cells", S._unpacked())
+    assert back.schema["cells"].dataType == rows.schema["cells"].dataType
+    assert [r.cells for r in back.orderBy("id").collect()] == odd
+    # Rows are sent with their cells in one text.
+    segments = S.merge_fragments(land(spark, {"one": account("U3")}))
+    assert segments.where("size(cells) > 1").count() > 0
+
+
+def test_classified_rows_leave_nothing_behind(spark):
+    """What is written on the way to a distilled relation goes, shuffle files too; only the relation itself stays."""
+    root = Path(lineage.shared_folder(spark).removeprefix("file://"))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {p.name for d in manager.localDirsString() for p in Path(d).rglob("shuffle_*")}
+    rows = land(spark, {"two": account("U1") + account("U2")}).repartition(3)
+    want, before, sent = S.classify_rows(rows).count(), set(root.iterdir()), shuffles()
+    classified = lineage.distilled(spark, lambda: S.classify_rows(lineage.distilled(spark, lambda: rows)))
+    made, until = set(root.iterdir()) - before, time.time() + 30
+    while shuffles() - sent and time.time() < until:
+        time.sleep(0.5)
+    assert len([p for p in made if p.is_dir()]) == 1 and not shuffles() - sent
+    assert classified.count() == want > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
