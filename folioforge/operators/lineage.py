@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Paths written on the way to the relation that is being distilled.
 _ON_THE_WAY: ContextVar[list[str] | None] = ContextVar("folioforge_on_the_way", default=None)
@@ -76,18 +78,53 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_DROP_SHUFFLES)
 
 
-def distilled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """The relation that ``make`` returns, written once; all that was written on the way to it is deleted then.
+def distilled(spark: SparkSession, *makes: Callable[[], DataFrame]) -> DataFrame:
+    """The relations that ``makes`` return, written once one after the other; all that was written on the way to each is deleted then.
 
-    So a chain of wide intermediates takes the disk of its widest step, not of all steps together. Nothing made inside ``make``
+    So a chain of wide intermediates takes the disk of its widest step, not of all steps together. Nothing made inside a ``make``
     may be read afterwards.
     """
-    path, made = _noted(fresh_path(spark)), []
+    path = _noted(fresh_path(spark))
+    for make in makes:
+        made: list[str] = []
+        token = _ON_THE_WAY.set(made)
+        try:
+            with shuffles_dropped(spark):
+                df = make()
+                df.write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            _ON_THE_WAY.reset(token)
+            for other in made:
+                remove(spark, other)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+SLICES, SLICE_ROWS = 8, 2_000_000
+
+
+def distilled_in_slices(
+    spark: SparkSession, make: Callable[[], Sequence[DataFrame]], key: str, step: Callable[[DataFrame], DataFrame],
+    slices: int = SLICES, rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``step`` of the rows of the relations that ``make`` returns (of one schema), written once, one slice of the keys after the other.
+
+    A slice goes when its result is written, so the exchanges and intermediates of ``step`` take the disk of one slice, not of all
+    rows. ``step`` must treat each key by itself. Up to ``rows`` rows are done at once; a key is never cut, so one that holds
+    most rows takes as much disk as without slices.
+    """
+    path, made = _noted(fresh_path(spark, "slices")), []
     token = _ON_THE_WAY.set(made)
     try:
         with shuffles_dropped(spark):
-            return written_to(make(), path)
+            for whole in make():  # one by one, so that the exchanges of one are gone before the next is written
+                dealt = whole.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
+                dealt.write.mode("append").partitionBy("slice").option("compression", "zstd").parquet(path)
     finally:
         _ON_THE_WAY.reset(token)
         for other in made:
             remove(spark, other)
+    landed = spark.read.schema(StructType([*whole.schema.fields, StructField("slice", IntegerType())])).parquet(path)
+    sizes = {r["slice"]: r["count"] for r in landed.groupBy("slice").count().collect()}
+    folders = [f"{path}/slice={k}" for k in sorted(sizes)] if sum(sizes.values()) > rows else [path]
+    # Noted inside its step, a folder is deleted with what the step made.
+    return distilled(spark, *[lambda at=at: step(spark.read.schema(whole.schema).parquet(_noted(at))) for at in folders])

@@ -8,15 +8,15 @@ from folioforge.operators import facts as A
 from folioforge.operators import prices as P
 from folioforge.operators import quality as Q
 from folioforge.operators import statement_rows as S
-from folioforge.operators.lineage import distilled
+from folioforge.operators.lineage import distilled_in_slices
 from folioforge.plans import landed_views as L
 from folioforge.plans import views as V
 from folioforge.plans.registry import query, show
 
 
 def _classified(spark, sf):
-    """Land the rows, then classify them once for all extractions; the landed rows go when they are classified."""
-    return distilled(spark, lambda: S.classify_rows(distilled(spark, lambda: L.statement_rows(spark, sf))))
+    """Land the rows, then classify them once for all extractions, slice by slice; landed rows go when they are classified."""
+    return distilled_in_slices(spark, lambda: L.statement_rows(spark, sf), "file_id", S.classify_rows)
 
 
 def _parsed(spark, sf):

@@ -33,14 +33,15 @@ def _number(col: str, digits: int) -> Column:
     return F.format_number(F.col(col), digits)
 
 
-def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one file per yearly statement: account block, positions by class, trades by class.
+def statement_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of one file per yearly statement: account block and positions by class; trades by class.
 
     Data rows fall into seven fragments per class on consecutive pages. Fragments after the first
     have no header; they are one column short, and odd ones repeat the section name first, which
     makes them tables of their own.
     """
-    positions, trades = V.positions(spark, sf_dir), V.trades(spark, sf_dir)
+    base = V.trades_base(spark, sf_dir, V.written_lines(spark, sf_dir))
+    positions, trades = V.positions(spark, sf_dir, base), V.trades(spark, sf_dir, base)
     width, twidth = len(POSITION_HEADER), len(TRADE_HEADER)
     files = V.statements(spark, sf_dir).where(~F.col("id").endswith("overlap")).select(
         F.col("id").alias("file_id"), "account_id", "period_start", "period_end")
@@ -86,7 +87,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("symbol"), F.date_format("trade_date", "yyyy-MM-dd,\nHH:mm:ss"), _number("signed", 4), _number("price", 4), "",
         _number("proceeds", 4), _number("commission", 6), "", _number("realized_pnl", 4), "",
     ]), F.shiftrightunsigned(F.xxhash64(*V.TRADE_COLUMNS), 2) + 10)
-    return fixed.unionByName(pos).unionByName(trd)
+    return fixed.unionByName(pos), trd
 
 
 def company_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import re
 import time
 from datetime import date, datetime
 from decimal import Decimal
@@ -12,6 +13,7 @@ from folioforge.operators import lineage
 from folioforge.operators import quality as Q
 from folioforge.operators import statement_rows as S
 from folioforge.operators import trades as T
+from folioforge.plans import landed_views as L
 from folioforge.plans import views as V
 from folioforge.sources import landed, loads, tables
 
@@ -400,3 +402,37 @@ def test_classified_rows_leave_nothing_behind(spark):
     assert len([p for p in made if p.is_dir()]) == 1 and not shuffles() - sent
     assert classified.count() == want > 0
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_slices_of_files_take_the_disk_of_one_slice(spark):
+    """A slice's landed rows are gone when the next one is classified; the rows are those of all files at once."""
+    root = Path(lineage.shared_folder(spark).removeprefix("file://"))
+    files = land(spark, {f"f{k}": account(f"U{k}") for k in range(12)} | {"two": account("U1") + account("U2")})
+    halves = lambda: (files.where("file_id < 'f5'"), files.where("file_id >= 'f5'"))
+    before, seen = set(root.iterdir()), []
+
+    def step(rows):
+        seen.append({p.name for made in set(root.iterdir()) - before for p in made.glob("slice=*")})
+        return S.classify_rows(rows)
+
+    sliced = lineage.distilled_in_slices(spark, halves, "file_id", step, slices=4, rows=20)
+    sizes = [len(s) for s in seen]
+    assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes) > 1 and sizes[-1] == 1
+    assert not [p for made in set(root.iterdir()) - before for p in made.glob("slice=*")]
+    as_rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert as_rows(sliced) == as_rows(S.classify_rows(files)) and sliced.count() > 0
+    none = lineage.distilled_in_slices(spark, lambda: [files.limit(0)], "file_id", S.classify_rows)
+    assert none.count() == 0
+
+
+def test_landing_writes_the_lines_once(spark, tmp_path):
+    """Positions and trades of the landed files come from one written relation of lines, not from joins of their own."""
+    day = datetime(1996, 3, 1)
+    spark.createDataFrame([(1, 4, "O", 1.0, day, "1")], V._SCHEMAS["orders"]).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(7, "p", "Brand#13", "PROMO", 3, 9.5)], V._SCHEMAS["part"]).write.parquet(str(tmp_path / "part.parquet"))
+    line = (1, 7, 2, 1, 3.0, 30.0, 0.05, 0.01, "N", "O", day)
+    spark.createDataFrame([line], V._SCHEMAS["lineitem"]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = L.statement_rows(spark, str(tmp_path))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in parts]
+    assert not any(re.search(r"Join Inner, \(l_", p) for p in plans)
+    assert [df.where("page between 30 and 37 or page between 130 and 137").where("row_no > 9").count() for df in parts] == [1, 1]
