@@ -27,8 +27,12 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 # The tokenizer's pre-token pattern, restricted to the letters that _PLAIN lets through, and its word end.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+_PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-įı-ſ]*")
+_PARTS = re.compile(r"[a-zß-öø-ſ]+|\n|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\na-z0-9ß-öø-ſ]+")
 _WORD_END = "</w>"
+# Stands between the ids of words while many are joined: no id, and since ids stay below 2**24 no other bytes look like it.
+_BREAK_ID = 0xFFFFFFFF
+_BREAK = b"\xff\xff\xff\xff"
 
 
 def _bytes(entries: dict[str, bytes]) -> int:
@@ -40,14 +44,20 @@ class WordEncoder:
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._np = np
         self._tokenizer = Tokenizer.from_file(path)
         self._special = tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values()) >= 2**24:
+            raise ValueError("ids of 2**24 and more are not supported")
         self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self._closes[[k for token, k in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        # The same model for pre-tokens that are cut and lower-cased already.
+        self._part_tokenizer = Tokenizer(self._tokenizer.model)
+        self._part_tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._words: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
         self._most, self._word_bytes, self._part_bytes = cache_entries, 0, 0
@@ -60,64 +70,79 @@ class WordEncoder:
         learned: dict[str, bytes] = {}
         for at in range(0, len(parts), 10_000):
             some = parts[at:at + 10_000]
-            joined = self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            joined = self._part_tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
             ids = self._np.array(joined.ids, "<u4")
             ends = self._np.flatnonzero(self._closes[ids]) + 1
-            if len(ends) != len(some):
+            if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("the tokenizer does not close each pre-token once")
-            raw, start = ids.tobytes(), 0
-            for part, end in zip(some, (4 * ends).tolist(), strict=True):
-                learned[part] = raw[start:end]
-                start = end
+            learned.update(zip(some, self._np.insert(ids, ends, _BREAK_ID).tobytes().split(_BREAK), strict=False))
         return learned
 
+    def _ids_of_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of at least these pre-tokens; a line feed stands for the border of two words."""
+        known, needed = self._parts, set(parts)
+        fresh = needed.difference(known)
+        if not fresh:
+            return known
+        border = {"\n": _BREAK} if "\n" in fresh else {}
+        learned = self._learn_parts(list(fresh.difference(border))) | border
+        size = _bytes(learned)
+        if len(known) + len(learned) > self._most or self._part_bytes + size > self._most * _ENTRY_BYTES:
+            learned |= {p: known[p] for p in needed.difference(fresh)}
+            size = _bytes(learned)
+            known.clear()
+            self._part_bytes = 0
+        if len(learned) > self._most or size > self._most * _ENTRY_BYTES:
+            return learned
+        known.update(learned)
+        self._part_bytes += size
+        return known
+
     def _learn_words(self, words: list[str]) -> dict[str, bytes]:
-        plain, split, known = _PLAIN.fullmatch, _PARTS.findall, self._parts
-        # Mostly no word holds a special token's text; only then each word is looked at.
-        joined = " ".join(words)
+        """All words are cut by one search over their lines, and their ids joined and cut again at once."""
+        joined = "\n".join(words)
         special = [s for s in self._special if s in joined]
         learned: dict[str, bytes] = {}
-        waiting: dict[str, list[str]] = {}
-        for word in words:
-            if not plain(word) or (special and any(s in word for s in special)):
-                learned[word] = self._encode_direct(word)
-                continue
-            parts = split(word.lower())
-            try:
-                learned[word] = b"".join([known[p] for p in parts])
-            except KeyError:
-                waiting[word] = parts
-        if waiting:
-            needed = {p for parts in waiting.values() for p in parts}
-            fresh = self._learn_parts([p for p in needed if p not in known])
-            fresh |= {p: known[p] for p in needed if p in known}
-            for word, parts in waiting.items():
-                learned[word] = b"".join([fresh[p] for p in parts])
-            size = _bytes(fresh)
-            if len(known) + len(fresh) > self._most or self._part_bytes + size > self._most * _ENTRY_BYTES:
-                known.clear()
-                self._part_bytes = 0
-            if len(fresh) <= self._most and size <= self._most * _ENTRY_BYTES:
-                known.update(fresh)
-                self._part_bytes += size
+        # Mostly all words are plain and none holds a special token's text; only otherwise each is looked at.
+        if special or not _PLAIN_LINES.fullmatch(joined):
+            plain = _PLAIN.fullmatch
+            learned = {w: self._encode_direct(w) for w in words if not plain(w) or any(s in w for s in special)}
+            words = [w for w in words if w not in learned]
+            joined = "\n".join(words)
+        if words:
+            parts = _PARTS.findall(joined.lower())
+            ids = b"".join(map(self._ids_of_parts(parts).__getitem__, parts))
+            learned.update(zip(words, ids.split(_BREAK), strict=True))
         return learned
 
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, in lower case where that cannot change their ids."""
+        text = text.replace("\n", " ")
+        if text.isascii():
+            lowered = text.lower()
+            if not any(s.lower() in lowered for s in self._special):
+                text = lowered
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        cache = self._words
-        missing = list({w for words in split for w in words if w not in cache})
+        split = [self._split(text) for text in texts]
+        cache, needed = self._words, set().union(*split)
+        missing = needed.difference(cache)
         if len(cache) + len(missing) > self._most or self._word_bytes > self._most * _ENTRY_BYTES // 2:
             cache.clear()
             self._word_bytes = 0
-            missing = list({w for words in split for w in words})
-        learned = self._learn_words(missing) if missing else {}
-        size = _bytes(learned)
-        if len(learned) > self._most or size > self._most * _ENTRY_BYTES // 2:
-            cache = cache | learned
-        else:
-            cache.update(learned)
-            self._word_bytes += size
-        return [b"".join([cache[w] for w in words]) for words in split]
+            missing = needed
+        # A small table of the words at hand is faster to look up than the whole cache.
+        found = needed.difference(missing)
+        ids = dict(zip(found, map(cache.__getitem__, found), strict=True))
+        if missing:
+            learned = self._learn_words(list(missing))
+            ids |= learned
+            size = _bytes(learned)
+            if len(learned) <= self._most and size <= self._most * _ENTRY_BYTES // 2:
+                cache.update(learned)
+                self._word_bytes += size
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
     def forget(self) -> None:
         """Drop what the caches hold."""

@@ -37,6 +37,34 @@ def test_words_give_the_ids_of_the_text(text):
     assert np.frombuffer(tokens.encoder(tokens.WORD_BPE).encode([text])[0], "<u4").tolist() == ids_of(text)
 
 
+# Batches that mix plain and odd words, letter case, empty words, long runs, and special tokens in their own and in other case.
+MIXED_TEXTS = [
+    "The the THE tHe", "", "  ", "THE!! WE'LL don't !'s ''S 2024x7", "a <|ENDOFTEXT|> B", "a <|endoftext|> B x<|startoftext|>Y", "RAÓ!! Ÿ ŉA ſs ÀÉß",
+    "Thé the 漢字 ΑΣ İI", "tab\tTab \x1c\x1fEnd", "xyzzy" * 300, "\n\nA\n b", "e\u0301 E\u0301", "\U0001f600 \xff\xfe ÿÿÿÿ",
+]
+
+
+@pytest.mark.parametrize("entries", [0, 1, 2, 7, 20, 1000])
+def test_mixed_batches_give_the_ids_of_their_texts(entries):
+    own = tokens.WordEncoder(tokens.WORD_BPE, entries)
+    rng, whole = np.random.default_rng(entries), Tokenizer.from_file(tokens.WORD_BPE)
+    want = {t: whole.encode(t, add_special_tokens=False).ids for t in MIXED_TEXTS}
+    for _ in range(30):
+        some = [MIXED_TEXTS[k] for k in rng.integers(0, len(MIXED_TEXTS), rng.integers(1, 6))]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(some)] == [want[t] for t in some]
+        assert len(own._words) <= entries and len(own._parts) <= entries
+
+
+def test_words_are_learned_once_in_any_case_and_all_at_once():
+    own, calls = tokens.WordEncoder(tokens.WORD_BPE), []
+    learn = own._learn_parts
+    own._learn_parts = lambda parts: calls.append(sorted(parts)) or learn(parts)
+    own.encode(["Some words", "SOME WORDS some", "some, Words"])
+    assert sorted(own._words) == ["some", "some,", "words"]
+    own.encode(["WORDS, Some"])
+    assert calls == [[",", "some", "words"]]
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(unit, n):
