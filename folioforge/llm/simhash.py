@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import each_batch, text_bytes, texts
 from folioforge.llm.components import roots
+from folioforge.operators.keyed import dealt_out
 from folioforge.operators.lineage import written_once
 
 MAX_DISTANCE = 3
@@ -109,7 +110,7 @@ def ball_links(fps: DataFrame) -> DataFrame:
         return each_batch(fps.select("fp"), "point long, fp long", step)
 
     hubs = points(1).groupBy("point").agg(F.min("fp").alias("b"))
-    return points(2).join(hubs, "point").where("fp != b").select(F.col("fp").alias("a"), "b")
+    return points(2).join(dealt_out(hubs), "point").where("fp != b").select(F.col("fp").alias("a"), "b")
 
 
 def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -140,18 +141,18 @@ def _named(members: DataFrame, dense: int) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")
     classes = written_once(members.groupBy("fp").agg(F.min(order).alias("first")))
     rooted = roots(links(classes, dense)).select(F.col("node").alias("fp"), "root")
-    joined = classes.join(rooted, "fp")
+    joined = classes.join(dealt_out(rooted), "fp")
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    linked = joined.join(least, "root").select("fp", "least")
+    linked = joined.join(dealt_out(least), "root").select("fp", "least")
     # Written before rows are joined to it: the rows are then dealt out by themselves, and frequent fingerprints can be split.
-    whole = written_once(classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")))
+    whole = written_once(classes.join(dealt_out(linked), "fp", "left").select("fp", F.coalesce("least", "first").alias("least")))
     return whole.select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.fp").alias("component_fp"))
 
 
 def clusters(documents: DataFrame, dense: int = DENSE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; the component is named by its smallest doc_id."""
     members = written_once(fingerprints(documents))
-    return members.join(_named(members, dense).drop("component_fp"), "fp").select(
+    return members.join(dealt_out(_named(members, dense).drop("component_fp")), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -168,5 +169,5 @@ def representatives(documents: DataFrame, text_col: str = "text", dense: int = D
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), fp_of(documents[text_col].cast("string")).alias("_own"))
     same = [F.xxhash64("_row.doc_id", "_own") == F.xxhash64(F.col("_id").cast(documents.schema["doc_id"].dataType), "_fp"),
             F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp"))]
-    kept = rows.join(chosen, same, "left_semi").select("_row", F.col("_row.doc_id").alias("_id"), "_own").dropDuplicates(["_id", "_own"])
+    kept = rows.join(dealt_out(chosen), same, "left_semi").select("_row", F.col("_row.doc_id").alias("_id"), "_own").dropDuplicates(["_id", "_own"])
     return kept.select(*[F.col("_row")[c].alias(c) for c in columns])

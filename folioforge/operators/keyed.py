@@ -27,6 +27,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def dealt_out(side: DataFrame) -> DataFrame:
+    """A side of a join that is dealt out with the other one by their keys, whatever its size.
+
+    For relations that grow with the input: compressed files look small enough to be broadcast long after the rows in them, several
+    relations at a time, are much of what a driver holds.
+    """
+    return side.hint("merge")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``.
 

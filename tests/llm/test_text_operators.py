@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioforge.llm import components, decontaminate, pii, quality, rlz, similar, simhash, toxicity
+from folioforge.operators.lineage import written_once
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -177,6 +178,19 @@ def test_clusters_and_representatives(spark):
     assert simhash.clusters(frame(spark, rows).limit(0)).count() == 0
 
 
+def joins_of(*frames):
+    """The join nodes of the plans, as they are before any stage has run."""
+    return {n for df in frames for n in re.findall(r"\w+(?:HashJoin|MergeJoin|LoopJoin)|CartesianProduct", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_fingerprints_and_links_are_not_broadcast(spark):
+    """Relations that grow with the input do not pass through the driver, however small their files are."""
+    links = written_once(spark.createDataFrame([(k, k // 3) for k in range(1, 60)], "a long, b long"))
+    rows = frame(spark, [(k, f"one two three four {k // 2}") for k in range(20)])
+    assert joins_of(components._large_star(links), components._small_star(links)) == {"SortMergeJoin"}
+    assert joins_of(simhash.clusters(rows), simhash.representatives(rows), simhash.ball_links(spark.range(20).toDF("fp"))) == {"SortMergeJoin"}
+
+
 def test_near_duplicates_by_similarity(spark):
     rng = random.Random(13)
     rows, k = [(i, prose(rng, 230)) for i in range(40)], 1000
