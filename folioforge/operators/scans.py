@@ -7,7 +7,7 @@ of rows, and the ranges of a key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import math
 
@@ -21,20 +21,23 @@ SEGMENT_ROWS = 20_000
 TIE_BYTES = 3
 
 
-def in_segments(df: DataFrame, order: Sequence[str], rows: int = SEGMENT_ROWS, place: str | None = None) -> DataFrame:
+def in_segments(
+    df: DataFrame, order: Sequence[str], rows: int = SEGMENT_ROWS, place: str | None = None, facts: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The rows in segments of at most ``rows`` neighbours in ``order``, as columns ``part`` and ``seg``.
 
     Rows are dealt out by ranges of the order, sorted within their partition and counted there, so a segment is bounded
     whatever the keys look like: a hot key simply has many of them. ``part`` numbers the ranges, ``seg`` the segments of one range.
     ``place`` names a column for the number of each row, ascending in ``order`` and without gaps inside a range.
-    The result is written once, because the numbers must not be drawn again.
+    The result is written once, because the numbers must not be drawn again; ``facts`` adds columns to the rows as they are written.
     """
     number = F.col("__place")
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
-    return written_once(ordered.withColumns({
+    segments = ordered.withColumns({
         "part": F.shiftright(number, 33).cast("int"), "seg": F.floor(F.pmod(number, F.lit(1 << 33)) / rows).cast("int"),
         **({place: number} if place else {}),
-    }).drop("__place"))
+    }).drop("__place")
+    return written_once(facts(segments) if facts else segments)
 
 
 def segment_scan(

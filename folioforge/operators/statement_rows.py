@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from folioforge.functions.text import option_terms, to_decimal, to_period_date, to_trade_time
+from folioforge.functions.text import to_decimal, to_period_date, to_trade_time, with_option_terms
 from folioforge.operators.lineage import written_once
 from folioforge.operators.scans import SEGMENT_ROWS, in_segments, segment_scan
 
@@ -50,16 +51,15 @@ def _first(cells: str = "cells") -> Column:
     return F.trim(F.coalesce(F.get(cells, F.lit(0)), F.lit("")))
 
 
-def _alone(cells: str = "cells") -> Column:
-    """Only the first cell has text."""
+def _filled(cells: str = "cells") -> Column:
+    """The place of the first cell with text after the first one, 0 if there is none."""
     rest = F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))
-    return F.forall(rest, lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")
+    return F.array_position(F.transform(rest, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""), True)
 
 
 def _match(first: Column, names: list[str], min_prefix: int) -> Column:
     """The name equal to the cell, else a name that starts with a long enough (cut off) cell."""
-    vocabulary = F.array(*[F.lit(n) for n in names])
-    starts = F.get(F.filter(vocabulary, lambda n: n.startswith(first)), F.lit(0))
+    starts = F.coalesce(*[F.when(F.lit(n).startswith(first), n) for n in names])
     return F.when(first.isin(names), first).when(F.length(first) >= min_prefix, starts)
 
 
@@ -79,18 +79,40 @@ def _unpacked(text: str = "cells") -> Column:
 def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     """The rows with further columns that are computed once per row.
 
-    Filters on them are not pushed below, where their expressions would be evaluated again.
+    Filters on them are not pushed below, where their expressions would be evaluated again. They are made by a projection, which is
+    compiled; the generator only takes them apart.
     """
-    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return rows.select(*[c for c in rows.columns if c not in columns], made)
+    kept = [c for c in rows.columns if c not in columns]
+    made = rows.select(*kept, F.struct(*[c.alias(n) for n, c in columns.items()]).alias("__made"))
+    return made.select(*kept, F.inline(F.array("__made")))
 
 
-def section_name(cells: str = "cells") -> Column:
-    return F.when(_alone(cells), _match(_first(cells), SECTIONS, _MIN_SECTION_PREFIX))
+def packed_rows(rows: DataFrame) -> DataFrame:
+    """The rows with their cells in one text, null cells as empty text; :func:`classify_rows` takes them with either.
 
+    Most cells hold neither mark and are only joined; the others are escaped one by one.
+    """
+    joined = F.col("__joined")
+    marks = F.length(joined) - F.length(F.replace(joined, F.lit(_BETWEEN)))
+    plain = ~F.contains(joined, F.lit(_ESCAPE)) & (marks == F.size("cells") - 1)
+    known = rows.withColumn("__joined", F.array_join("cells", _BETWEEN, "")).withColumn(
+        "__odd", F.when(~plain, F.transform("cells", lambda c: F.coalesce(c, F.lit("")))))
+    return known.withColumn("cells", F.when(F.size("cells") == 0, _ESCAPE).otherwise(F.coalesce(_packed("__odd"), joined))).drop("__joined", "__odd")
+
+
+def _row_facts(segments: DataFrame) -> DataFrame:
+    """What a row's cells say by themselves, found once, as the segments are written; later passes read only these columns.
 
-def asset_label(cells: str = "cells") -> Column:
-    return F.when(_alone(cells), _match(_first(cells), [*ASSET_LABELS, *SKIPPED_LABELS], _MIN_LABEL_PREFIX))
+    ``n`` cells, the ``first`` one, the ``section`` and ``label`` that it names, and ``filled`` (see :func:`_filled`) where it names
+    one or a currency: the name counts if the row, cut to its table's width, has no other text.
+    """
+    first, named = F.col("first"), F.col("section").isNotNull() | F.col("label").isNotNull() | F.col("first").isin(CURRENCIES)
+    return (
+        segments.withColumn("__cells", _unpacked())
+        .withColumns({"n": F.size("__cells"), "first": _first("__cells")})
+        .withColumns({"section": _match(first, SECTIONS, _MIN_SECTION_PREFIX), "label": _match(first, [*ASSET_LABELS, *SKIPPED_LABELS], _MIN_LABEL_PREFIX)})
+        .withColumn("filled", F.when(named, _filled("__cells"))).drop("__cells")
+    )
 
 
 def _asset_class(label: Column) -> Column:
@@ -107,10 +129,11 @@ def _tables(placed: DataFrame) -> DataFrame:
     A headless fragment takes the width of the headed table before it; the first table of a file counts as headed.
     Rows are reduced by values of fixed size only, so they are counted in their tasks and never sorted or sent.
     """
-    headed = _first().isin(HEADER_WORDS) | section_name().isNotNull() | asset_label().isNotNull()
+    alone = F.coalesce(F.col("filled") == 0, F.lit(False))
+    headed = F.col("first").isin(HEADER_WORDS) | (alone & (F.col("section").isNotNull() | F.col("label").isNotNull()))
     at = F.shiftleft(F.col("part").cast("long"), 32) + F.col("seg")
     tables = written_once(placed.groupBy("file_id", "page", "table_no").agg(
-        F.min_by(F.coalesce(headed, F.lit(False)), "row_no").alias("headed"), F.max(F.size("cells")).alias("width"), F.min(at).alias("at"),
+        F.min_by(headed, "row_no").alias("headed"), F.max("n").alias("width"), F.min(at).alias("at"),
     ).select(
         "file_id", F.struct("page", "table_no").alias("table"), F.coalesce("headed", F.lit(False)).alias("headed"), "width",
         F.shiftright("at", 32).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("seg")))
@@ -125,22 +148,25 @@ def merge_fragments(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFr
     """Rows in segments, headerless table fragments fitted to the preceding headed table of the file.
 
     Fragment rows take the width of that table (padded or cut); ``kept`` is false for repeated page headers, which later
-    steps leave out. ``marker`` is 1 where an account starts, ``place`` numbers the rows of each range without gaps.
+    steps leave out. ``marker`` is 1 where an account starts, ``place`` numbers the rows of each range without gaps. ``section`` and
+    ``label`` are the names that stand ``alone`` in the fitted row, ``n`` its cells.
     """
-    clean = rows.where(F.col("page").isNotNull() & F.col("table_no").isNotNull()).withColumn(
-        "cells", F.transform("cells", lambda c: F.coalesce(c, F.lit("")))).withColumn("cells", _packed())
-    placed = in_segments(clean, ["file_id", *_PLACE], segment_rows, place="place").withColumn("cells", _unpacked())
-    cells, target = F.col("cells"), F.col("target")
-    fitted = F.when(F.size("cells") < target, F.concat("cells", F.array_repeat(F.lit(""), target - F.size("cells")))).when(
-        (F.size("cells") > target) & (target > 0), F.slice("cells", F.lit(1), target)).otherwise(cells)
+    clean = rows.where(F.col("page").isNotNull() & F.col("table_no").isNotNull()).select("file_id", *_PLACE, "cells")
+    clean = clean if clean.schema["cells"].dataType == StringType() else packed_rows(clean)
+    placed = in_segments(clean, ["file_id", *_PLACE], segment_rows, place="place", facts=_row_facts)
+    n, target, starts, first = F.col("n"), F.col("target"), F.col("starts"), F.col("first")
+    cut = ~starts & (n > target) & (target > 0)
+    short = ~starts & (n < target)
+    cells = F.col("__cells")
     return (
         placed.join(_tables(placed), ["file_id", "page", "table_no"])
-        .withColumns({
-            "marker": (_first() == "Account Information").cast("long"),
-            "kept": F.col("starts") | ~((_first() == "Open Positions") & _alone()),
-            "cells": F.when(F.col("starts"), cells).otherwise(fitted),
-        })
-        .select("file_id", "part", "seg", "place", F.struct(*_PLACE).alias("pos"), "cells", "marker", "kept")
+        .withColumns({"__cells": _unpacked(), "alone": (F.col("filled") == 0) | (cut & (F.col("filled") >= target))})
+        .select(
+            "file_id", "part", "seg", "place", F.struct(*_PLACE).alias("pos"),
+            F.when(short, F.concat(cells, F.array_repeat(F.lit(""), target - n))).when(cut, F.slice(cells, F.lit(1), target)).otherwise(cells).alias("cells"),
+            F.when(short | cut, target).otherwise(n).alias("n"), "first", "alone",
+            F.when(F.col("alone"), F.col("section")).alias("section"), F.when(F.col("alone"), F.col("label")).alias("label"),
+            (first == "Account Information").cast("long").alias("marker"), (starts | ~((first == "Open Positions") & F.col("alone"))).alias("kept"))
     )
 
 
@@ -185,34 +211,44 @@ def _states(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     owned = state.where((F.col("place") < F.col("end")) & ((F.col("account_seq") > 0) | (F.col("markers_in_file") == 0))).join(starts, GROUP, "left")
     states = written_once(owned.select(
         F.col("order").alias("state"), "account_seq", (F.col("shift") - F.coalesce("__first", F.lit(1)) + 1).alias("shift"), "place", "end",
-        here("current")["value"].alias("current"), here("asset"), here("currency"), here("header")))
+        here("current")["value"].alias("current"), here("asset"), here("currency"), here("header")
+    ).withColumns({"position_cells": _reach(POSITION_COLUMNS), "trade_cells": _reach(TRADE_COLUMNS)}))
     chunk = lambda place: F.shiftright(place, _CHUNK_BITS)
     spread = written_once(states.select(F.explode(F.sequence(chunk("place"), chunk(F.col("end") - 1))).alias("chunk"), F.col("place").alias("since"), "end", "state"))
     return spread, states.drop("place", "end")
 
 
+def _reach(columns: dict[str, list[str]]) -> Column:
+    """For each field the place of the last header column that names it among the first 0, 1, 2, ... columns; null if none is named at all."""
+    header = F.col("header")["value"]
+    named = [n for group in columns.values() for n in group]
+    last = lambda names: F.transform(F.sequence(F.lit(0), F.size(header)), lambda k: F.array_max(
+        F.slice(F.transform(header, lambda h, i: F.when(h.isin(names), i)), F.lit(1), k)))
+    return F.when(F.exists(header, lambda h: h.isin(named)), F.array(*[last(names) for names in columns.values()]))
+
+
 def classify_rows(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Rows of each account with their layout facts and the reading state at each of them.
 
     Output: file_id, account_seq, row_num (within the account), pos (sortable place), cells, first, section, label, kind; the
     state is ``current`` (section) and ``asset``, ``currency``, ``header``: what was set last in the account, as (at, value) with
-    ``at`` the place where it was set. Several extractions read it, so callers usually write it once. Rows are dealt out once,
-    by :func:`in_segments`; after that they only look up small tables.
+    ``at`` the place where it was set; ``position_cells`` and ``trade_cells`` say under which cells the header has the fields. Rows
+    are dealt out once, by :func:`in_segments`, which keeps their facts; after that they only look up small tables, so each
+    extraction reads the columns that it needs from the segments.
     """
     first = F.col("first")
     kind = (
-        F.when(F.size("cells") == 0, "empty").when(F.col("section").isNotNull(), "section")
+        F.when(F.col("n") == 0, "empty").when(F.col("section").isNotNull(), "section")
         .when(first.isin(HEADER_WORDS), "header").when(F.col("label").isNotNull(), "asset")
-        .when(first.isin(CURRENCIES) & _alone(), "currency").when(first.startswith("Total"), "total").otherwise("data")
+        .when(first.isin(CURRENCIES) & F.col("alone"), "currency").when(first.startswith("Total"), "total").otherwise("data")
     )
-    named = computed(merge_fragments(rows, segment_rows), first=_first(), section=section_name(), label=asset_label())
-    facts = named.withColumn("kind", kind)
+    facts = merge_fragments(rows, segment_rows).withColumn("kind", kind)
     spread, states = _states(facts)
     placed = facts.where("kept").withColumn("chunk", F.shiftright("place", _CHUNK_BITS))
     inside = (F.col("place") >= F.col("since")) & (F.col("place") < F.col("end"))
     return placed.join(spread, "chunk").where(inside).join(states, "state").select(
         *GROUP, (F.col("place") + F.col("shift")).alias("row_num"), "pos", "cells", "first", "section", "label", "kind",
-        "current", "asset", "currency", "header",
+        "current", "asset", "currency", "header", "position_cells", "trade_cells",
     )
 
 
@@ -261,38 +297,34 @@ def _since_start(rows: DataFrame) -> DataFrame:
     value = lambda name: F.when(F.col(name)["at"] >= F.col("start_pos"), F.col(name)["value"])
     return rows.withColumns({
         "asset_class": F.nullif(value("asset"), F.lit("")), "currency": value("currency"), "header": value("header"),
+        **{c: F.when(F.col("header")["at"] >= F.col("start_pos"), F.col(c)) for c in ("position_cells", "trade_cells")},
     }).drop("asset")
 
 
-def _field(names: list[str]) -> Column:
-    """Cell under the last matching header column that the row reaches."""
-    places = F.transform("header", lambda h, i: F.when(h.isin(names) & (i < F.size("cells")), i))
-    return F.trim(F.get("cells", F.array_max(places)))
-
+def _field(reach: str, columns: dict[str, list[str]], name: str) -> Column:
+    """Cell under the last header column of the field that the row reaches."""
+    places = F.get(reach, F.lit([*columns].index(name)))
+    return F.trim(F.get("cells", F.get(places, F.least(F.size("cells"), F.size(places) - 1))))
 
-def _mapped(columns: dict[str, list[str]]) -> Column:
-    names = [n for group in columns.values() for n in group]
-    return F.coalesce(F.exists("header", lambda h: h.isin(names)), F.lit(False))
 
-
-def _data_rows(state: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+def _data_rows(state: DataFrame, reach: str, columns: dict[str, list[str]]) -> DataFrame:
     """Data rows of a mapped table with the text of each field as ``in_<field>``; a symbol is needed."""
-    rows = state.where((F.col("kind") == "data") & F.col("asset_class").isNotNull() & _mapped(columns))
-    read = computed(rows, **{f"in_{name}": _field(names) for name, names in columns.items()})
+    rows = state.where((F.col("kind") == "data") & F.col("asset_class").isNotNull() & F.col(reach).isNotNull())
+    read = computed(rows, **{f"in_{name}": _field(reach, columns, name) for name in columns})
     return read.withColumnRenamed("in_symbol", "symbol").where(F.coalesce("symbol", F.lit("")) != "")
 
 
 def _typed(rows: DataFrame, numbers: list[str], **more: Column) -> DataFrame:
     """Numbers, option terms and further columns from the field texts, each parsed once."""
-    terms = F.when(F.col("asset_class") == "OPT", option_terms(F.col("symbol")))
-    parsed = computed(rows, **{f: to_decimal(F.col(f"in_{f}")) for f in numbers}, terms=terms, **more)
-    return parsed.withColumns({t: F.col(f"terms.{t}") for t in ("expiry", "strike", "right")}).drop("terms")
+    read = with_option_terms(rows, F.when(F.col("asset_class") == "OPT", F.col("symbol")))
+    terms = {t: F.col("terms")[t] for t in ("expiry", "strike", "right")}
+    return computed(read, **{f: to_decimal(F.col(f"in_{f}")) for f in numbers}, **terms, **more).drop("terms")
 
 
 def extract_positions(classified: DataFrame, headers: DataFrame) -> DataFrame:
     """Open positions of every account group, not yet validated (see the position rules)."""
     numbers = ["quantity", "cost_basis", "market_price", "market_value", "unrealized_pnl"]
-    rows = _typed(_data_rows(_section_state(classified, "Open Positions"), POSITION_COLUMNS), numbers)
+    rows = _typed(_data_rows(_section_state(classified, "Open Positions"), "position_cells", POSITION_COLUMNS), numbers)
     return rows.join(headers, GROUP).select(
         *GROUP, "account_id", "symbol", "asset_class", *numbers, "currency",
         F.col("period_end").alias("statement_date"), "expiry", "strike", "right", "cells",
@@ -302,7 +334,7 @@ def extract_positions(classified: DataFrame, headers: DataFrame) -> DataFrame:
 def extract_trades(classified: DataFrame, headers: DataFrame) -> DataFrame:
     """Trades of every account group: side from the sign, zero quantities dropped, not yet validated."""
     numbers = ["price", "proceeds", "commission", "realized_pnl"]
-    rows = _data_rows(_section_state(classified, "Trades"), TRADE_COLUMNS)
+    rows = _data_rows(_section_state(classified, "Trades"), "trade_cells", TRADE_COLUMNS)
     typed = _typed(rows, numbers, signed=to_decimal(F.col("in_quantity")), trade_date=to_trade_time(F.col("in_trade_date")))
     sided = typed.where(F.col("signed") != 0).withColumns(
         {"side": F.when(F.col("signed") > 0, "BOT").otherwise("SLD"), "quantity": F.abs("signed")})
@@ -324,10 +356,10 @@ def diagnose(classified: DataFrame) -> DataFrame:
         F.col("end_pos").isNull() | (F.col("pos") <= F.col("end_pos"))
     )
     before = F.col("start_pos").isNull() | (F.col("pos") < F.col("start_pos"))
-    state = _since_start(placed)
-    state = state.withColumn("symbol", F.coalesce(_field(POSITION_COLUMNS["symbol"]), F.lit("")))
-    terms = option_terms(F.col("symbol"))
-    complete = (F.col("asset_class") != "OPT") | (terms["expiry"].isNotNull() & terms["strike"].isNotNull())
+    symbol = F.coalesce(_field("position_cells", POSITION_COLUMNS, "symbol"), F.lit(""))
+    state = computed(_since_start(placed), symbol=symbol)
+    state = with_option_terms(state, F.when(F.col("asset_class") == "OPT", F.col("symbol")))
+    complete = (F.col("asset_class") != "OPT") | (F.col("terms")["expiry"].isNotNull() & F.col("terms")["strike"].isNotNull())
     kind = F.col("kind")
     label = (
         F.when(kind == "empty", "empty").when(before, "outside_section").when(kind == "section", "section_header")
@@ -335,15 +367,13 @@ def diagnose(classified: DataFrame) -> DataFrame:
         .when((kind == "asset") & F.col("label").isin(list(ASSET_LABELS)), "asset_class")
         .when(kind == "asset", "asset_class_skipped").when(kind == "currency", "currency").when(kind == "total", "total")
         .when(F.col("asset_class").isNull(), "skipped_no_asset_class")
-        .when(~_mapped(POSITION_COLUMNS), "skipped_no_mapping")
+        .when(F.col("position_cells").isNull(), "skipped_no_mapping")
         .when(F.col("symbol") == "", "skipped_empty_symbol")
         .when(complete, "parsed").otherwise("error")
     )
     detail = F.when(F.col("symbol") != "", F.col("symbol")).otherwise(F.col("first"))
-    return state.select(
-        *GROUP, F.col("row_num").cast("long").alias("row_num"), "cells", "first", label.alias("classification"),
-        "asset_class", detail.alias("detail"),
-    )
+    return computed(state, classification=label, detail=detail).select(
+        *GROUP, F.col("row_num").cast("long").alias("row_num"), "cells", "first", "classification", "asset_class", "detail")
 
 
 # Classes counted as problems.

@@ -14,21 +14,20 @@ from folioforge.plans import views as V
 from folioforge.plans.registry import query, show
 
 
-def _classified(spark, sf):
-    """Land the rows, then classify them once for all extractions, slice by slice; landed rows go when they are classified."""
-    return distilled_in_slices(spark, lambda: L.statement_rows(spark, sf), "file_id", S.classify_rows)
+def _from_rows(spark, sf, read):
+    """Land the rows, then classify and ``read`` them slice by slice; a slice's rows and segments go when its result is written.
 
-
-def _parsed(spark, sf):
-    classified = _classified(spark, sf)
-    return classified, S.statement_headers(classified)
+    Classified rows are not written: they are the segments with what they look up in small tables.
+    """
+    landed = lambda: [S.packed_rows(rows) for rows in L.statement_rows(spark, sf)]
+    return distilled_in_slices(spark, landed, "file_id", lambda rows: read(S.classify_rows(rows)))
 
 
 @query("statement_headers", ("statements",), """
 SELECT id AS file_id, account_id, 'SGD' AS base_currency, period_start, period_end FROM statements WHERE id NOT LIKE '%overlap'""",
        days=("period_start", "period_end"))
 def statement_headers(spark, sf):
-    return show(_parsed(spark, sf)[1].drop("account_seq"))
+    return show(_from_rows(spark, sf, S.statement_headers).drop("account_seq"))
 
 
 @query("parsed_positions", ("positions",), """
@@ -37,9 +36,11 @@ SELECT statement_id AS file_id, account_id, symbol, asset_class, quantity::DOUBL
  statement_date, expiry, strike::DOUBLE AS strike, "right" FROM (SELECT *, split_part(statement_id, '-', 1) AS account_id FROM positions) p""",
        days=("statement_date", "expiry"))
 def parsed_positions(spark, sf):
-    classified, headers = _parsed(spark, sf)
-    rows = Q.accept(S.extract_positions(classified, headers), Q.position_rules())
-    return show(rows.drop("account_seq", "cells"))
+    def read(classified):
+        rows = Q.accept(S.extract_positions(classified, S.statement_headers(classified)), Q.position_rules())
+        return rows.drop("account_seq", "cells")
+
+    return show(_from_rows(spark, sf, read))
 
 
 @query("parsed_trades", ("trades",), """
@@ -47,11 +48,13 @@ SELECT statement_id AS file_id, strftime(trade_date, '%Y-%m-%d %H:%M:%S') AS tra
  price::DOUBLE AS price, proceeds::DOUBLE AS proceeds, commission::DOUBLE AS commission, realized_pnl::DOUBLE AS realized_pnl, expiry,
  strike::DOUBLE AS strike, "right" FROM trades""", days=("expiry",))
 def parsed_trades(spark, sf):
-    classified, headers = _parsed(spark, sf)
-    rows = Q.accept(S.extract_trades(classified, headers), Q.trade_rules())
-    return show(rows.select(
-        "file_id", F.date_format("trade_date", "yyyy-MM-dd HH:mm:ss").alias("trade_time"), "symbol", "asset_class", "side",
-        "quantity", "price", "proceeds", "commission", "realized_pnl", "expiry", "strike", "right"))
+    def read(classified):
+        rows = Q.accept(S.extract_trades(classified, S.statement_headers(classified)), Q.trade_rules())
+        return rows.select(
+            "file_id", F.date_format("trade_date", "yyyy-MM-dd HH:mm:ss").alias("trade_time"), "symbol", "asset_class", "side",
+            "quantity", "price", "proceeds", "commission", "realized_pnl", "expiry", "strike", "right")
+
+    return show(_from_rows(spark, sf, read))
 
 
 @query("row_diagnosis_counts", ("positions", "statements"), """
@@ -59,21 +62,24 @@ SELECT id AS file_id, coalesce(n, 0) + 5 + 2 + 3 + 9 + CAST(9 AS BIGINT) + 1 AS
  CAST(1 + 1 + 9 + 3 + 1 AS BIGINT) AS headers, CAST(5 AS BIGINT) AS outside
 FROM statements LEFT JOIN (SELECT statement_id, count(*) AS n FROM positions GROUP BY 1) p ON p.statement_id = id WHERE id NOT LIKE '%overlap'""")
 def row_diagnosis_counts(spark, sf):
-    return show(S.diagnosis_counts(S.diagnose(_classified(spark, sf))).drop("account_seq"))
+    return show(_from_rows(spark, sf, lambda classified: S.diagnosis_counts(S.diagnose(classified))).drop("account_seq"))
 
 
 @query("problem_context_rows", ("statements",), """
 SELECT id AS file_id, CAST(15 AS BIGINT) AS rows, CAST(1 AS BIGINT) AS problems FROM statements WHERE id NOT LIKE '%overlap'""")
 def problem_context_rows(spark, sf):
-    context = S.problem_context(S.diagnose(_classified(spark, sf)))
+    context = _from_rows(spark, sf, lambda classified: S.problem_context(S.diagnose(classified)).select("file_id", "classification"))
     return show(context.groupBy("file_id").agg(F.count("*").alias("rows"), F.count_if(F.col("classification").isin(S.PROBLEM_CLASSES)).alias("problems")))
 
 
 @query("statement_row_search", ("positions",), """
 SELECT statement_id AS file_id, symbol AS detail FROM positions WHERE lower(symbol) LIKE '%brand#2%'""")
 def statement_row_search(spark, sf):
-    found = S.search_rows(S.diagnose(_classified(spark, sf)), " BRAND#2 ")
-    return found.where(F.col("classification") == "parsed").select("file_id", "detail")
+    def read(classified):
+        found = S.search_rows(S.diagnose(classified), " BRAND#2 ")
+        return found.where(F.col("classification") == "parsed").select("file_id", "detail")
+
+    return _from_rows(spark, sf, read)
 
 
 def _facts(spark, sf):

@@ -388,6 +388,32 @@ def test_cells_travel_as_one_text(spark):
     assert segments.where("size(cells) > 1").count() > 0
 
 
+def test_rows_are_packed_whatever_they_hold(spark):
+    """Joining plain cells and escaping the others gives the same texts; null cells become empty."""
+    odd = [None, [], [""], ["", ""], [None], [None, "a", None], ["a"], ["\x1b"], ["\x1f"], ["\x1be", "\x1bb"], ["\x1f", "", "é\n,", "x\x1f"], ["b", "\x1f\x1f"]]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, cells array<string>")
+    texts = S.packed_rows(rows)
+    assert texts.schema["cells"].dataType.simpleString() == "string"
+    back = [r.cells for r in texts.withColumn("cells", S._unpacked()).orderBy("id").collect()]
+    assert back == [c and [t or "" for t in c] for c in odd]
+
+
+def test_facts_of_rows_are_found_once(spark):
+    """Extractions evaluate no lambda per cell of a row: a header's places are found per state, a row's names as it is dealt out."""
+    rows = land(spark, {"one": account("U3")})
+    classified = S.classify_rows(rows)
+    for df in (S.statement_headers(classified), S.extract_trades(classified, S.statement_headers(classified)), S.diagnose(classified)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(word in plan for word in ("exists(", "filter(", "forall(")) and "regexp_replace(trim" not in plan
+    # A wide row that names a section is one only after its text is cut off with the columns that its table does not have.
+    doc = [[pad("Open Positions", 3), ["Symbol", "Quantity", "Value"], pad("Stocks", 3)], [["ETFs", "", "", "note"], ["SPY", "2", "9", "x"]], [["ETFs", "", "note"], ["IWM", "1", "1"]]]
+    found = S.classify_rows(land(spark, {"x": doc}))
+    labels = {(r.pos.page, r.pos.row_no): (r.kind, r.label) for r in found.collect()}
+    assert labels[(2, 0)] == ("asset", "ETFs") and labels[(3, 0)] == ("data", None)
+    got = S.extract_positions(found, S.statement_headers(found))
+    assert {(r.symbol, r.asset_class, int(r.market_value)) for r in got.collect()} == {("SPY", "ETF", 9), ("ETFs", "ETF", 0), ("IWM", "ETF", 1)}
+
+
 def test_classified_rows_leave_nothing_behind(spark):
     """What is written on the way to a distilled relation goes, shuffle files too; only the relation itself stays."""
     root = Path(lineage.shared_folder(spark).removeprefix("file://"))
