@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import each_batch, small_batches, text_bytes
 from folioforge.llm.components import roots
+from folioforge.operators.keyed import dealt_out
 from folioforge.operators.lineage import written_once
 
 SHINGLE = 5
@@ -98,7 +99,7 @@ def _sets(keys: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = pairs.join(dealt_out(sets.toDF("a", "sa")), "a").join(dealt_out(sets.toDF("b", "sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return written_once(both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
@@ -118,13 +119,13 @@ def crowded_links(sets: DataFrame, joined: DataFrame, similarity: float = SIMILA
     sized = sets.select("key", F.size("s").alias("size"), F.explode("s").alias("shingle"))
     # Written first, so that a shingle of very many texts can be split in the join.
     frequent = written_once(sized.groupBy("shingle").agg(F.count("*").alias("texts")))
-    ordered = sized.join(frequent, "shingle").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("s"))
+    ordered = sized.join(dealt_out(frequent), "shingle").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("s"))
     early = ordered.select("key", "size", F.posexplode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).cast("int"))).alias("place", "x"))
-    grouped = early.where("x.texts > 1").join(joined.withColumnRenamed("node", "key"), "key", "left")
+    grouped = early.where("x.texts > 1").join(dealt_out(joined.withColumnRenamed("node", "key")), "key", "left")
     placed = written_once(grouped.select("key", "size", "place", "x.shingle", F.coalesce("root", "key").alias("root")))
     first = F.col("place") <= F.col("size") - _least_common(F.col("size"), F.col("size"), similarity)
     apart = placed.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("shingle")
-    held = written_once(placed.join(apart, "shingle", "left_semi"))
+    held = written_once(placed.join(dealt_out(apart), "shingle", "left_semi"))
     small, large = held.where(first), held
     # Most groups are single texts, for which these bounds already decide about sizes and places.
     bounds = lambda rows, t: rows.groupBy("shingle", F.col("root").alias(f"r{t}")).agg(
@@ -132,10 +133,10 @@ def crowded_links(sets: DataFrame, joined: DataFrame, similarity: float = SIMILA
     fewest = _least_common(F.col("low_a"), F.col("low_b"), similarity)
     could = (F.col("ra") != F.col("rb")) & (F.col("low_a") <= F.col("high_b")) & (F.col("high_a") >= F.ceil(F.col("low_b") * similarity - 1e-6)) & (
         (F.col("rest_a") >= fewest) & (F.col("rest_b") >= fewest))
-    groups = bounds(small, "a").withColumnRenamed("shingle", "x").join(bounds(large, "b"), (F.col("x") == F.col("shingle")) & could).select("shingle", "ra", "rb")
+    groups = bounds(small, "a").withColumnRenamed("shingle", "x").join(dealt_out(bounds(large, "b")), (F.col("x") == F.col("shingle")) & could).select("shingle", "ra", "rb")
     groups = written_once(groups)
-    meet = groups.join(small.select("shingle", F.col("root").alias("ra"), F.col("key").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa")), ["shingle", "ra"])
-    meet = meet.join(large.select("shingle", F.col("root").alias("rb"), F.col("key").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb")), ["shingle", "rb"])
+    meet = groups.join(dealt_out(small.select("shingle", F.col("root").alias("ra"), F.col("key").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"))), ["shingle", "ra"])
+    meet = meet.join(dealt_out(large.select("shingle", F.col("root").alias("rb"), F.col("key").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"))), ["shingle", "rb"])
     least = _least_common(F.col("na"), F.col("nb"), similarity)
     able = (F.col("na") <= F.col("nb")) & (F.col("na") >= least) & (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
     pairs = written_once(meet.where(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -148,10 +149,10 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similari
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "bucket")).alias("hub")).where("n > 1")
     sizes = written_once(sizes)
     few, many = sizes.where(F.col("n") <= dense).select("bucket"), sizes.where(F.col("n") > dense)
-    held = placed.join(few, "bucket")
-    pairs = held.toDF("bucket", "a").join(held.toDF("bucket", "b"), "bucket").where("a < b").select("a", "b")
+    held = placed.join(dealt_out(few), "bucket")
+    pairs = held.toDF("bucket", "a").join(dealt_out(held.toDF("bucket", "b")), "bucket").where("a < b").select("a", "b")
     hand = F.pmod(F.xxhash64("key", "bucket"), F.greatest(F.lit(1), (F.col("n") / DEALT).cast("long")))
-    crowded = written_once(placed.join(many, "bucket").select("key", F.xxhash64("bucket", hand).alias("bucket"), "hub"))
+    crowded = written_once(placed.join(dealt_out(many), "bucket").select("key", F.xxhash64("bucket", hand).alias("bucket"), "hub"))
     starred = crowded.where("key != hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     pairs = written_once(pairs.union(starred).distinct())
     found = _verified(pairs, _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), texts, shingle), similarity)
@@ -160,8 +161,8 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similari
     sets = _sets(crowded.select("key").distinct(), texts, shingle)
     # The hubs have joined most of a group of near copies; hands compare only texts that are still apart.
     grouped = roots(found).withColumnRenamed("node", "key")
-    dealt = written_once(crowded.select("key", "bucket").join(grouped, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")))
-    hands = dealt.toDF("bucket", "a", "ra").join(dealt.toDF("bucket", "b", "rb"), "bucket").where("a < b AND ra != rb").select("a", "b")
+    dealt = written_once(crowded.select("key", "bucket").join(dealt_out(grouped), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")))
+    hands = dealt.toDF("bucket", "a", "ra").join(dealt_out(dealt.toDF("bucket", "b", "rb")), "bucket").where("a < b AND ra != rb").select("a", "b")
     found = found.union(_verified(written_once(hands.distinct()), sets, similarity))
     return found.union(crowded_links(sets, roots(found), similarity))
 
@@ -176,11 +177,11 @@ def representatives(documents: DataFrame, text_col: str = "text", shingle: int =
     classes = written_once(members.groupBy("key").agg(F.min(order).alias("first"), F.first("buckets").alias("buckets")))
     texts = documents.select(_key_of(text).alias("key"), text.alias("text"))
     rooted = roots(links(classes.select("key", "buckets"), texts, shingle, similarity, dense)).select(F.col("node").alias("key"), "root")
-    joined = classes.select("key", "first").join(rooted, "key", "left")
+    joined = classes.select("key", "first").join(dealt_out(rooted), "key", "left")
     least = joined.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("least"))
     chosen = written_once(least.select(F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key")))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), _key_of(text).alias("_own"))
     same = [F.xxhash64("_row.doc_id", "_own") == F.xxhash64(F.col("_id").cast(documents.schema["doc_id"].dataType), "_key"),
             F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))]
-    kept = rows.join(chosen, same, "left_semi").select("_row", F.col("_row.doc_id").alias("_id"), "_own").dropDuplicates(["_id", "_own"])
+    kept = rows.join(dealt_out(chosen), same, "left_semi").select("_row", F.col("_row.doc_id").alias("_id"), "_own").dropDuplicates(["_id", "_own"])
     return kept.select(*[F.col("_row")[c].alias(c) for c in columns])

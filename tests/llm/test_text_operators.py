@@ -191,6 +191,20 @@ def test_fingerprints_and_links_are_not_broadcast(spark):
     assert joins_of(simhash.clusters(rows), simhash.representatives(rows), simhash.ball_links(spark.range(20).toDF("fp"))) == {"SortMergeJoin"}
 
 
+def test_similar_texts_are_not_broadcast(spark):
+    rows = frame(spark, [(k, f"one two three four five six {k // 2}") for k in range(20)])
+    sets = written_once(spark.createDataFrame([(k, [k // 3, k // 3 + 1]) for k in range(30)], "key long, s array<long>"))
+    pairs = sets.select(F.col("key").alias("a"), (F.col("key") + 1).alias("b"))
+    seen, write = [], similar.written_once
+    similar.written_once = lambda df: seen.append(df) or write(df)
+    try:
+        similar._verified(pairs, sets, 0.8)
+        similar.crowded_links(sets, spark.createDataFrame([(1, 0), (0, 0)], "node long, root long"))
+    finally:
+        similar.written_once = write
+    assert joins_of(similar.representatives(rows), *seen) == {"SortMergeJoin"}
+
+
 def test_near_duplicates_by_similarity(spark):
     rng = random.Random(13)
     rows, k = [(i, prose(rng, 230)) for i in range(40)], 1000
